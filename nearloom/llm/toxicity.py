@@ -22,11 +22,14 @@ from nearloom.llm.runtime import small_batches
 
 #: Labelled documents that the chain is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 10_000
-#: Features are hashed to so many values; a category's model considers the strongest of them, if in enough texts.
-SPACE, CONSIDERED, LEAST_TEXTS = 1 << 22, 3_000, 4
+#: Features are hashed to so many values; a category's model considers the strongest of them, if in enough texts and
+#: so many standard errors from independence that chance hardly makes them.
+SPACE, CONSIDERED, LEAST_TEXTS, LEAST_Z = 1 << 22, 400, 4, 4.0
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5)
-FOLDS, ROUNDS, L1, L2 = 3, 300, 1.0, 0.02
+FOLDS, ROUNDS, RIDGE = 3, 25, 0.1
+#: A category is flagged above what but one in a thousand negatives reach out of fold, within these probabilities.
+FALSE_RATE, LOWEST, HIGHEST = 0.001, 0.1, 0.5
 #: Words whose features a Python worker keeps from batch to batch.
 KEPT = 300_000
 
@@ -50,6 +53,7 @@ class Link(NamedTuple):
     weights: np.ndarray
     chained: np.ndarray
     bias: float
+    threshold: float = 0.5
 
 
 class Rows(NamedTuple):
@@ -82,54 +86,50 @@ class Rows(NamedTuple):
         kept = np.concatenate([[0], np.cumsum(keep)])
         return Rows(at[keep], kept[self.starts])
 
+    def dense(self, width: int) -> np.ndarray:
+        out = np.zeros((len(self), width), np.float32)
+        out[np.repeat(np.arange(len(self)), np.diff(self.starts)), self.columns] = 1
+        return out
+
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _descend(x: Rows, dense: np.ndarray, y: np.ndarray, width: int, l1: float, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by accelerated proximal gradient descent; ``dense`` columns and the bias have no L1."""
-    n = len(y)
-    total = width + dense.shape[1] + 1
-    penalised = np.zeros(total)
-    penalised[:width] = 1
-    w = v = np.zeros(total)
-    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    v = w.copy()
-    # A bound of the curvature: the largest squared row norm, a quarter of it, mean over rows by power iteration.
-    probe = np.ones(total)
-    for _ in range(12):
-        z = x.dot(probe[:width]) + dense @ probe[width:-1] + probe[-1]
-        probe = np.concatenate([x.back(z, width), dense.T @ z, [z.sum()]])
-        norm = np.linalg.norm(probe)
-        probe /= max(norm, 1e-12)
-    step = 1 / (0.25 * norm * 1.1 / n + l2)
-    t = 1.0
+def _newton(x: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ridge logistic regression by Newton's method; ``x`` is at most TRAIN_ROWS by CONSIDERED numbers.
+
+    Both classes weigh the same in all, so that one rare word is enough for a rare class.
+    """
+    n, width = x.shape
+    a = np.concatenate([x, dense, np.ones((n, 1))], axis=1).astype(np.float32)
+    ones = max(float(y.sum()), 0.5)
+    weigh = np.where(y > 0, n / (2 * ones), n / (2 * max(n - ones, 0.5)))
+    w = np.zeros(a.shape[1])
+    penalty = np.full(a.shape[1], ridge)
+    penalty[-1] = 1e-3
     for _ in range(rounds):
-        r = (_sigmoid(x.dot(v[:width]) + dense @ v[width:-1] + v[-1]) - y) / n
-        g = np.concatenate([x.back(r, width), dense.T @ r, [r.sum()]])
-        g[:-1] += l2 * v[:-1]
-        u = v - step * g
-        u = np.sign(u) * np.maximum(np.abs(u) - step * l1 / n * penalised, 0)
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = u + (t - 1) / s * (u - w), u, s
+        p = _sigmoid(a @ w.astype(np.float32))
+        g = a.T @ (weigh * (p - y)).astype(np.float32) + penalty * w
+        curved = (a * np.sqrt(weigh * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)[:, None])
+        step = np.linalg.solve((curved.T @ curved).astype(float) + np.diag(penalty), g)
+        w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-3:
+            break
     return w[:width], w[width:-1], float(w[-1])
 
 
 def _fit_link(category: str, x: Rows, earlier: np.ndarray, y: np.ndarray) -> Link:
-    """Screen the features, select among them under L1, and fit those selected without it."""
+    """Screen the features one by one, then weigh the strongest together."""
     texts = np.bincount(x.columns, minlength=SPACE)
     hits = x.back(y.astype(float), SPACE)
     rate = y.mean()
     z = (hits - texts * rate) / np.sqrt(np.maximum(texts * rate * (1 - rate), 1e-9))
-    z[texts < LEAST_TEXTS] = 0
+    z[(texts < LEAST_TEXTS) | (np.abs(z) < LEAST_Z)] = 0
     strong = np.sort(np.argsort(-np.abs(z), kind="stable")[:CONSIDERED])
     strong = strong[z[strong] != 0]
-    near = x.only(strong)
-    w, _, _ = _descend(near, earlier, y, len(strong), L1, 1e-6, ROUNDS)
-    chosen = strong[w != 0]
-    w, chained, bias = _descend(x.only(chosen), earlier, y, len(chosen), 0.0, L2 / max(len(y), 1) * 10, ROUNDS)
-    return Link(category, chosen, w, chained, bias)
+    w, chained, bias = _newton(x.only(strong).dense(len(strong)), earlier, y, RIDGE, ROUNDS)
+    return Link(category, strong, w, chained, bias)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -146,15 +146,15 @@ def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: int = FOLDS) -> lis
     chain: list[Link] = []
     earlier = np.zeros((len(x), 0))
     fold = np.arange(len(x)) % folds
-    for k, (category, y) in enumerate(labels.items()):
-        chain.append(_fit_link(category, x, earlier, y))
-        if k + 1 < len(labels):
-            unseen = np.full(len(x), y.mean() if len(y) else 0.5)
-            for f in range(folds):
-                own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-                if len(own) and len(rest):
-                    unseen[own] = _apply(_fit_link(category, x.take(rest), earlier[rest], y[rest]), x.take(own), earlier[own])
-            earlier = np.concatenate([earlier, _logit(unseen)[:, None]], axis=1)
+    for category, y in labels.items():
+        unseen = np.full(len(x), y.mean() if len(y) else 0.5)
+        for f in range(folds):
+            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            if len(own) and len(rest):
+                unseen[own] = _apply(_fit_link(category, x.take(rest), earlier[rest], y[rest]), x.take(own), earlier[own])
+        bar = np.quantile(unseen[y == 0], 1 - FALSE_RATE, method="higher") if (y == 0).any() else HIGHEST
+        chain.append(_fit_link(category, x, earlier, y)._replace(threshold=float(np.clip(bar, LOWEST, HIGHEST))))
+        earlier = np.concatenate([earlier, _logit(unseen)[:, None]], axis=1)
     return chain
 
 
@@ -177,7 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qual
 
     Labels with a null id or category are left out, of repeated ids the
     largest labels count, and documents without text train as empty ones.
-    Without any labelled document every probability is one half.
+    Without any labelled document every probability is one half and nothing
+    is flagged.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -200,16 +201,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qual
     return fit_chain(as_rows(rows["f"].tolist()), {c: rows[f"y{i}"].to_numpy() for i, c in enumerate(categories)})
 
 
-def classify(docs: DataFrame, chain: Sequence[Link], threshold: float = 0.5, text_col: str = "text", flag: str = "toxic") -> DataFrame:
+def classify(docs: DataFrame, chain: Sequence[Link], threshold: float | None = None, text_col: str = "text", flag: str = "toxic") -> DataFrame:
     """``docs`` with ``p_<category>`` (double) for each category of the chain and ``is_<flag>`` (boolean).
 
-    ``is_<flag>`` says whether the probability of category ``flag`` reaches
-    ``threshold``.  Whole texts are read; null and empty ones have no
+    ``is_<flag>`` says whether the probability of category ``flag`` exceeds
+    ``threshold``, by default the one that its link learned out of fold.  Whole texts are read; null and empty ones have no
     features.  All rows and other columns are kept; clashing columns of those
     names are replaced.
     """
     small_batches(docs.sparkSession)
     at = [link.category for link in chain].index(flag)
+    bar = chain[at].threshold if threshold is None else threshold
     new = [*[f"p_{link.category}" for link in chain], f"is_{flag}"]
     kept = [c for c in docs.columns if c not in new]
     schema = docs.select(*kept).withColumns({c: F.lit(0.0) for c in new[:-1]} | {new[-1]: F.lit(True)}).schema
@@ -232,6 +234,6 @@ def classify(docs: DataFrame, chain: Sequence[Link], threshold: float = 0.5, tex
                         found.update(own)
                 rows.append(list(found))
             p = predict(chain, as_rows(rows))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(p[:, i]) for i in range(len(chain))), pa.array(p[:, at] >= threshold)], [*kept, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(p[:, i]) for i in range(len(chain))), pa.array(p[:, at] > bar)], [*kept, *new])
 
     return docs.select(*kept, F.col(text_col).cast("string").alias("_text_to_judge")).mapInArrow(run, schema)

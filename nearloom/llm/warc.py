@@ -27,6 +27,7 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Bytes of an archive that one task scans, and bytes read at once.
 SPLIT, BLOCK = 32 << 20, 1 << 20
+MOST_TASKS = 100_000
 #: A place whose decompressed beginning has no blank line within so many bytes is no record.
 MOST_HEADER = 1 << 20
 
@@ -172,7 +173,8 @@ def read(spark: SparkSession, source: str, split: int = SPLIT) -> DataFrame:
     small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select("path", "length")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # A task for each range: adaptive execution would put these few small rows into one.
+    ranges = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "offset", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_bytes", "block"]

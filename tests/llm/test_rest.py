@@ -1,0 +1,297 @@
+"""Packing, archives, url rules, toxicity, exact top-k and the pipeline against brute force."""
+
+import base64
+import gzip
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from nearloom.llm import packing, topk, toxicity, urls, warc
+from nearloom.llm.queries import BYTE_BPE, RULES
+from nearloom.llm.runtime import shared_path
+
+ODD = [None, "", " ", "\n\n  x\n y  \t z ", "it's 42 o'clock, don't!", "tail space ", "a  b   c\u00a0 d\u3000 e", "<|endoftext|> inside <|endoftext|>", "é漢字 😀\x1c x\x85y", "long " * 3000, "x" * 5000]
+
+
+# Packing.
+
+
+def test_ids_equal_the_tokenizer():
+    whole = Tokenizer.from_file(BYTE_BPE)
+    rng = random.Random(2)
+    texts = [t for t in ODD if t] + ["".join(rng.choices("ab \n\t.,'1é\u00a0", k=60)) for _ in range(300)]
+    own = packing.tokenizer(BYTE_BPE)
+    for t in texts:
+        assert np.frombuffer(own(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_places_every_piece_once(spark):
+    texts = [*ODD, *[f"word{i} " * (i % 700) for i in range(400)]]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1), (None, "no id", 1)], "doc_id long, text string, offset int")
+    rows = packing.pack(docs, BYTE_BPE).collect()
+    whole = Tokenizer.from_file(BYTE_BPE)
+    ids = {i: whole.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)} | {None: whole.encode("no id", add_special_tokens=False).ids + [2]}
+    by_doc, by_bin = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_bin[r["sequence_id"]].append(r)
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and len(part) == r["length"]
+    for i, own in ids.items():
+        found = sorted(by_doc[i], key=lambda r: r["piece"])[:: 2 if i == 3 else 1]
+        assert [r["piece"] for r in found] == list(range(len(found))) and sum(r["length"] for r in found) == len(own)
+        assert all(r["length"] == 1024 for r in found[1:])
+    for own in by_bin.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+        assert sum(r["length"] for r in own) <= 1024
+    total = sum(map(len, ids.values())) + len(ids[3])
+    assert len(by_bin) <= -(-total // 1024) * 1.05 + 1
+    assert packing.pack(docs.limit(0), BYTE_BPE).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_keeps_every_constraint(rule):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 400, 500)
+    limit = packing.Capacity(1024, 4, 300_000)
+    bins, offset = packing.best_fit(sizes, limit, rule=rule)
+    for b in np.unique(bins):
+        own = sizes[bins == b]
+        assert own.sum() <= limit.tokens and len(own) <= limit.documents and (own.astype(float) ** 2).sum() <= limit.attention
+        assert sorted(offset[bins == b]) == np.cumsum([0, *own[np.argsort(offset[bins == b])]])[:-1].tolist()
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([1000]), limit)
+
+
+# Archives.
+
+
+def test_archive_round_trip_in_small_ranges(spark):
+    rng = random.Random(4)
+    bodies = [None, "", "same", "same", "é😀", "x" * 50_000, "\x1f\x8b\x08 not a member", "".join(chr(rng.randrange(32, 1000)) for _ in range(4000))]
+    pages = spark.createDataFrame([(i * 3, f"http://h/{i}\r\nX: y", bodies[i % len(bodies)], 0) for i in range(100)], "page_id long, url string, html string, payload_bytes int")
+    rows = {r["page_id"]: r for r in warc.archived(pages, split=700).collect()}
+    groups = defaultdict(list)
+    for i in range(100):
+        groups[bodies[i % len(bodies)] or ""].append(i * 3)
+    assert len(rows) == 100
+    for body, ids in groups.items():
+        sha = base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()
+        for i in ids:
+            want = (len(body.encode()), sha, "response" if i == max(ids) else "revisit", None if i == max(ids) else max(ids))
+            assert (rows[i]["payload_bytes"], rows[i]["payload_digest"], rows[i]["record_type"], rows[i]["refers_to"]) == want
+
+
+def test_archive_least_size_nulls_repeats_and_empty(spark):
+    pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (2, "u", "aa"), (None, None, "aa"), (3, "u", "b"), (4, "u", "b")], "page_id long, url string, html string")
+    rows = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.archived(pages, least=2).collect())
+    assert rows == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (2, "response", 0), (3, "response", 0), (4, "response", 0)]
+    assert warc.archived(pages.limit(0)).count() == 0
+
+
+def test_reader_skips_what_only_looks_like_a_record():
+    real = warc._member([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>")], b"payload", 6)
+    fakes = [gzip.compress(b"no warc"), warc.MAGIC + b"\x00" * 20, gzip.compress(warc.VERSION + b"WARC-Type: response\r\n\r\n")]
+    data = b"".join([fakes[0], real, fakes[1], fakes[2], real, warc.MAGIC])
+    for split in (1, 7, 64, len(data)):
+        found = [x for at in range(0, len(data), split) for x in warc.records(pa.BufferReader(data), at, min(at + split, len(data)))]
+        assert [(h["warc-record-id"], b) for _, h, b in found] == [("<urn:page:1>", b"payload")] * 2
+    assert warc.base32 and warc.digest32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def test_read_of_an_empty_folder(spark):
+    path = shared_path(spark, "none")
+    from pyarrow import fs
+
+    fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
+    assert warc.read(spark, path).count() == 0
+
+
+# Url rules.
+
+
+def slow_judge(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = lambda s, stops: s[: min([len(s), *[s.index(c) for c in stops if c in s]])]
+    host = cut(rest, "/?#")
+    path = cut(rest[len(host) :], "?#")
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fit = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fit, key=lambda r: (len(r.host) + len(r.path), len(r.host)), default=None)
+    return host, path, best
+
+
+URLS = [
+    None, "", "no scheme", "http://", "http://EXAMPLE.com", "http://example.com/", "https://a.Example.COM/en/x?q=/fr/#f", "http://www.example.com/en/1", "http://www.example.com/EN/1",
+    "http://x.www.example.com/en/", "http://notexample.com/en/", "ftp://a.net/es/", "http://net/fr/", "http://a.net?x=/fr/", "http://a.net#/fr/", "x://y://z.net/fr/", "http://Ünï.net/es/ü",
+]
+
+
+def test_rules_match_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, None, "x") for i, u in enumerate(URLS)], "page_id long, url string, html string, host string")
+    for r in urls.judge(pages, RULES).collect():
+        host, path, best = slow_judge(URLS[r["page_id"]])
+        want = (host, path, best and best.host + best.path, best.action if best else "allow")
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == want, URLS[r["page_id"]]
+    assert urls.judge(pages.limit(0), RULES).count() == 0
+
+
+def test_blocks_reach_aliases_and_allows_stand(spark):
+    canonical = '<LINK href="{}" rel=canonical>'
+    pages = [
+        (1, "http://a.org/1", '<link rel="canonical" href="http://b.org/2"/>'),
+        (2, "http://b.org/2", '<meta http-equiv="Refresh" content="0; URL=//Bad.net/fr/x?a=1&amp;b=2#frag">'),
+        (3, "http://c.com/3", canonical.format("http://b.org/2")),
+        (4, "http://a.org/dir/4", '<link rel=canonical href="5">'),
+        (5, "http://a.org/dir/5", None),
+        (6, "http://a.org/6", canonical.format("/1")),
+        (7, "http://a.org/1#again", None),
+        (8, "http://a.org/8", canonical.format("mailto:x") + canonical.format("")),
+        (None, "http://bad.net/fr/x?a=1&b=2", None),
+        (9, "http://q.org/p/9", '<link rel="canonical" href="?id=1"><link rel="canonical" href="http://other.org/">'),
+    ]
+    rows = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in rows}
+    assert verdict == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "allow", None: "block", 9: "allow"}
+
+
+# Toxicity.
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    rng = random.Random(6)
+    common = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 7))) for _ in range(800)]
+    bad = ["grobian", "swinetic", "vexno"]
+    rows, labels = [], []
+    for i in range(900):
+        own = rng.choices(common, k=rng.randint(5, 200))
+        toxic, poor = rng.random() < 0.15, rng.random() < 0.2
+        if toxic:
+            own[rng.randrange(len(own))] = rng.choice(bad) + (rng.choice(common) if rng.random() < 0.5 else "")
+        if poor:
+            own += ["clickbait"] * 2
+        rows.append((i, " ".join(own), toxic))
+        if i < 600:
+            labels.append((i, int(not poor), int(toxic)))
+    labels += [(None, 1, 1), (5, None, 1), (6, 0, None), (10**6, 1, 1)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows] + [(None, None, False, "x"), (2000, "", False, "x")], "doc_id long, text string, truth boolean, is_toxic string")
+    chain = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = toxicity.classify(docs, chain).collect()
+    held = [r for r in out if r["doc_id"] is None or r["doc_id"] >= 600]
+    assert len(out) == 902
+    assert sum(r["is_toxic"] for r in held if r["truth"]) >= 0.95 * sum(r["truth"] for r in held)
+    assert sum(r["is_toxic"] for r in held if not r["truth"]) <= 0.01 * len(held)
+
+
+def test_toxicity_without_labels_or_documents(spark):
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["p_toxic"] for r in toxicity.classify(docs, toxicity.train(docs, none)).collect()] == [0.5]
+    one = spark.createDataFrame([(1, 1, 0)], none.schema)
+    assert toxicity.classify(docs.limit(0), toxicity.train(docs, one)).count() == 0
+
+
+def test_sparse_rows_match_dense():
+    rng = np.random.default_rng(0)
+    dense = rng.random((20, 12)) < 0.3
+    rows = toxicity.as_rows([np.flatnonzero(r) for r in dense])
+    w, v = rng.random(12), rng.random(20)
+    assert np.allclose(rows.dot(w), dense @ w) and np.allclose(rows.back(v, 12), dense.T @ v)
+    assert np.allclose(rows.take(np.array([3, 1, 1])).dot(w), dense[[3, 1, 1]] @ w)
+    assert np.allclose(rows.only(np.array([2, 5, 11])).dot(w[[2, 5, 11]]), dense[:, [2, 5, 11]] @ w[[2, 5, 11]])
+
+
+# Exact top-k.
+
+
+def slow_top(vectors, queries, k):
+    out = {}
+    for q, v in queries:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in vectors if i != q)
+        out[q] = [(i, -s) for s, i in scored[:k]]
+    return out
+
+
+@pytest.mark.parametrize("spread", [3, 1000])
+def test_impact_ordered_search_is_exact(spread):
+    rng = np.random.default_rng(spread)
+    x = rng.integers(-spread, spread + 1, (700, 9))
+    x[100:160] = x[0]  # ties
+    ids = rng.permutation(2000)[:700].astype(np.int64)
+    index = topk.build(ids, x)
+    want = slow_top(list(zip(ids.tolist(), x.tolist(), strict=True)), [(int(ids[i]), x[i].tolist()) for i in range(40)], 20)
+    for i in range(40):
+        assert [(d, s) for s, d in topk.search(index, x[i], int(ids[i]), 20)] == want[int(ids[i])]
+
+
+def test_top_k_over_tables(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 0.1) for _ in range(6)]) for i in range(230)]
+    rows += [(300, None), (320, [0.1, None, 0.2, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (None, [0.5] * 6), (380, [0.25]), (400, []), (41, rows[41][1])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    found = defaultdict(list)
+    for r in topk.top_k(df, df.where(F.col("vec_id") % 20 == 0), block=50, batch=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(found[r["query_id"]])
+    assert found == slow_top(good, [g for g in good if g[0] % 20 == 0], 20)
+    few = topk.top_k(df.limit(3), df.limit(1))
+    assert few.count() == 2 and topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+# The pipeline.
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("bcdfgaeiou", k=5)) for _ in range(300)]
+    prose = lambda: " ".join(rng.choices(words, k=80))
+    rows, labels = [], []
+    for i in range(160):
+        toxic = i % 8 == 0
+        rows.append((i, prose() + (" vilegrub vilegrub" if toxic else ""), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    rows += [(500 + i, rows[3][1], "en", "s", 0) for i in range(5)]
+    rows += [(600, "password=abcdef1234567 " + prose(), "en", "s", 0), (601, None, None, None, None), (601, None, None, None, None), (None, prose(), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "secret scans", "best-fit packing"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = stages["toxicity"](spark, docs, str(tmp_path))
+    kept = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in clean.collect())
+    assert kept == sorted([*[i for i in range(160) if i % 8], *range(500, 505), 600, 601, 601, -1]) and clean.columns == docs.columns
+    single = stages["simhash near-dedup"](spark, clean, str(tmp_path))
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in single.collect()) == sorted([*[i for i in range(160) if i % 8], 600, 601, -1])
+    masked = stages["secret scans"](spark, single, str(tmp_path))
+    assert masked.columns == docs.columns and masked.where("text LIKE '%abcdef1234567%'").count() == 0 and masked.count() == single.count()
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == single.select("doc_id").distinct().count()
+
+
+def test_queries_against_duckdb(spark):
+    import duckdb
+
+    from nearloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        own, want = queries.QUERIES[name](spark, d).toPandas(), con.sql(sql).df()
+        columns = sorted(want.columns)
+        assert sorted(own.columns) == columns
+        tidy = lambda f: sorted(map(str, f[columns].astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))  # noqa: E731, B023
+        assert [x.replace(".0", "") for x in tidy(own)] == [x.replace(".0", "") for x in tidy(want)], name
