@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def compress(series: DataFrame, algorithm: str, config: dict[str, int] | str | N
     """
     encoder(algorithm, config)  # unknown names and parameters raise here
     ship(series.sparkSession)
-    rows = series.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("value").cast("double")).dropna(subset=["series_id", "value"])
+    rows = series.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("value").cast("double")).where("series_id IS NOT NULL AND value IS NOT NULL")
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,24 +104,21 @@ def total_bits(series: DataFrame, algorithms: dict[str, tuple[str, dict[str, int
 
 def double_bits(x: Column) -> Column:
     """The bits of a double as a long: Spark SQL has no such cast, so a vectorised view of the column."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def view(v: pd.Series) -> pd.Series:
-        out = pd.Series(v.to_numpy("float64").view("int64"), index=v.index, dtype="Int64")
-        return out.mask(v.isna() & False)
+        return pd.Series(v.to_numpy("float64").view("int64"))
 
     return F.when(x.isNotNull(), view(x))
 
 
 def _zeros(bits: Column) -> tuple[Column, Column]:
     """Leading and trailing zeros of a 64-bit number, 64 for 0."""
-    low = bits.bitwiseAND(-bits)
-    trail = F.when(bits == 0, 64).otherwise(F.bit_count(low - 1))
-    spread = bits
+    right = left = bits
     for s in (1, 2, 4, 8, 16, 32):
-        spread = spread.bitwiseOR(F.shiftrightunsigned(spread, s))
-    return 64 - F.bit_count(spread), trail
+        right = right.bitwiseOR(F.shiftrightunsigned(right, s))
+        left = left.bitwiseOR(F.shiftleft(left, s))
+    return 64 - F.bit_count(right), 64 - F.bit_count(left)
 
 
 def gorilla_bits(series: DataFrame) -> DataFrame:
@@ -131,7 +129,7 @@ def gorilla_bits(series: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("series_id").orderBy("pos")
     rows = series.where(F.col("series_id").isNotNull() & F.col("value").isNotNull()).select("series_id", "pos", double_bits(F.col("value")).alias("b"))
-    rows = rows.withColumn("p", F.lag("b").over(w)).withColumn("x", F.col("b").bitwiseXOR("p"))
+    rows = rows.withColumn("p", F.lag("b").over(w)).withColumn("x", F.col("b").bitwiseXOR(F.col("p")))
     same = rows.where("p IS NULL OR x = 0").groupBy("series_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("p").isNull(), 64).otherwise(1)).alias("bits"))
     lead, tail = _zeros(F.col("x"))
     moved = rows.where("x <> 0").select("series_id", "pos", lead.alias("l"), tail.alias("t"))

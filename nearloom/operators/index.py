@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,7 +172,6 @@ class _Index:
 
 def label_filter(allowed: Callable[[int], bool]) -> Column:
     """A Python predicate on labels as a vectorised condition."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def run(label: pd.Series) -> pd.Series:

@@ -147,8 +147,8 @@ def _by_scan(live: DataFrame, sent: pa.Table, space: str, policy: Policy, radius
 def _by_pieces(live: DataFrame, asked: DataFrame, space: str, policy: Policy, radius: float | None) -> DataFrame:
     blocks, batches = (max(1, -(-df.count() // size)) for df, size in ((live, BLOCK), (asked, BATCH)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = live.select("label", "vector", "doc_id", F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("b"), every(batches).alias("s"))
-    right = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("s"), every(blocks).cast("long").alias("b"))
+    left = live.select("label", "vector", "doc_id", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("b"), every(batches).alias("s"))
+    right = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("s"), every(blocks).alias("b"))
 
     def run(own: pa.Table, ask: pa.Table) -> pa.Table:
         ids = ask.column("query_id").to_numpy()
