@@ -308,7 +308,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    found = ann.ivf_knn(base(spark, d), asked(spark, d), 10, cells=16, probes=10)
+    found = ann.ivf_knn(base(spark, d), asked(spark, d), 10, cells=16, probes=14)
     return exact.recall(found, exact.knn(base(spark, d), asked(spark, d), 10))
 
 
