@@ -6,7 +6,8 @@ with :func:`nearloom.operators.search.recall` against the exact answer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from nearloom.functions import distances
 from nearloom.operators.graph import Graph
 from nearloom.operators.policies import TopK
-from nearloom.operators.search import BATCH, BLOCK, FOUND, _docs, _Kept, _rows, _scan, matrix
+from nearloom.operators.search import BATCH, BLOCK, FOUND, _docs, _Kept, _rows, _scan, matrix, recall
 from nearloom.session import ship
 
 #: Vectors that cells are fitted on, at most: those with the smallest hashes of their labels.
@@ -146,6 +147,17 @@ def graph_knn(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, spa
     return TopK(k).choose(found).select("query_id", "rank", "label", "doc_id", "distance")
 
 
+def recall_sweep(base: DataFrame, edges: DataFrame, queries: DataFrame, truth: DataFrame, k: int, efs: Sequence[int], space: str = "l2") -> list[dict[str, float]]:
+    """``ef``, ``recall`` and ``seconds_per_query`` of the graph for each beam width, to choose one by."""
+    out = []
+    asked = max(1, queries.count())
+    for ef in efs:
+        began = time.perf_counter()
+        share = recall(graph_knn(base, edges, queries, k, space, ef), truth).first()["recall"]
+        out.append({"ef": ef, "recall": share, "seconds_per_query": (time.perf_counter() - began) / asked})
+    return out
+
+
 def graph_integrity(edges: DataFrame) -> DataFrame:
     """One row ``(nodes, links, loops, repeated, strangers, without_inbound, least_inbound, most_inbound)`` over level 0."""
     ground = edges.where("level = 0")

@@ -1,4 +1,4 @@
-"""One shard's hierarchical proximity graph (Malkov and Yashunin, 2016), on numpy arrays."""
+"""One shard's hierarchical proximity graph, on numpy arrays: levels drawn geometrically, beam search, diverse links."""
 
 from __future__ import annotations
 

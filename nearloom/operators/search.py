@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
@@ -103,7 +103,7 @@ def _docs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return pa.compute.fill_null(column, _NO_DOC).to_numpy(**({} if isinstance(column, pa.ChunkedArray) else {"zero_copy_only": False}))
 
 
-def search(base: DataFrame, queries: DataFrame, space: str | Callable[[Column, Column], Column], policy: Policy, where: Column | None = None) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, space: str | Callable[[Column, Column], Column], policy: Policy, where: Column | None = None, metrics: Observation | None = None) -> DataFrame:
     """Answers ``(query_id, rank, label, doc_id, distance)`` of ``queries (query_id, vector)`` over ``base`` (:func:`vectors`).
 
     Deleted rows and those that ``where`` (a condition on ``base``) excludes
@@ -111,11 +111,14 @@ def search(base: DataFrame, queries: DataFrame, space: str | Callable[[Column, C
     ``space`` is a name of :data:`distances.SPACES` or a function from two
     vector columns to a distance column.  Null vectors and vectors of another
     length raise.  Fewer rows than asked for are returned as they are; an
-    empty base or no queries give no rows.
+    empty base or no queries give no rows.  ``metrics`` gets ``candidates``,
+    the rows that each query is compared with, once the answer is computed.
     """
     live = base.where(~F.col("deleted"))
     if where is not None:
         live = live.where(where)
+    if metrics is not None:
+        live = live.observe(metrics, F.count(F.lit(1)).alias("candidates"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
     if callable(space):
         return policy.choose(_by_column(live, asked, space, policy)).select("query_id", "rank", "label", "doc_id", "distance")

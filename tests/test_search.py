@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
@@ -94,6 +95,13 @@ def test_radius_and_documents(spark, data):
         assert labels == order[:n]
 
 
+def test_metrics_count_candidates(spark, data):
+    x, q = data
+    seen = Observation("search")
+    search.search(make(spark, x, deleted={1, 2}), ask(spark, q), "l2", policies.TopK(3), F.col("label") < 100, metrics=seen).collect()
+    assert seen.get == {"candidates": 98}
+
+
 def test_recall_and_wide(spark, data):
     x, q = data
     truth = search.knn(make(spark, x), ask(spark, q), 10)
@@ -111,6 +119,8 @@ def test_approximate_strategies_reach_the_recall_floor(spark):
     edges = ann.build_graph(base, links=16, ef_construction=60, shard_rows=500)
     found = ann.graph_knn(base, edges, asked, 10, ef=80)
     assert search.recall(found, truth).first()["recall"] >= 0.95
+    sweep = ann.recall_sweep(base, edges, asked, truth, 10, [10, 80])
+    assert sweep[0]["recall"] <= sweep[1]["recall"] and sweep[1]["recall"] >= 0.95
     checks = ann.graph_integrity(edges).first()
     assert checks["nodes"] == 1200 and checks["loops"] == checks["repeated"] == checks["strangers"] == 0
     assert edges.where("level = 0 AND size(dst) > 32 OR level > 0 AND size(dst) > 16").count() == 0
