@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from nearloom.llm.runtime import small_batches
 
 #: Labelled documents that the chain is fitted on, at most: those with the smallest hashes of their ids.
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 8_000
 #: Features are hashed to so many values; a category's model considers the strongest of them, if in enough texts and
 #: so many standard errors from independence that chance hardly makes them.
 SPACE, CONSIDERED, LEAST_TEXTS, LEAST_Z = 1 << 22, 400, 4, 4.0
@@ -84,7 +84,7 @@ class Rows(NamedTuple):
         at[at == len(features)] = 0
         keep = features[at] == self.columns if len(features) else np.zeros(len(self.columns), bool)
         kept = np.concatenate([[0], np.cumsum(keep)])
-        return Rows(at[keep], kept[self.starts])
+        return Rows(at[keep].astype(np.int32), kept[self.starts])
 
     def dense(self, width: int) -> np.ndarray:
         out = np.zeros((len(self), width), np.float32)
@@ -121,8 +121,9 @@ def _newton(x: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float, round
 
 def _fit_link(category: str, x: Rows, earlier: np.ndarray, y: np.ndarray) -> Link:
     """Screen the features one by one, then weigh the strongest together."""
-    texts = np.bincount(x.columns, minlength=SPACE)
-    hits = x.back(y.astype(float), SPACE)
+    width = int(x.columns.max(initial=-1)) + 1
+    texts = np.bincount(x.columns, minlength=width)
+    hits = x.back(y.astype(float), width)
     rate = y.mean()
     z = (hits - texts * rate) / np.sqrt(np.maximum(texts * rate * (1 - rate), 1e-9))
     z[(texts < LEAST_TEXTS) | (np.abs(z) < LEAST_Z)] = 0
@@ -144,6 +145,10 @@ def _apply(link: Link, x: Rows, earlier: np.ndarray) -> np.ndarray:
 def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: int = FOLDS) -> list[Link]:
     """The chain over ``labels``, in their order; ``labels`` are arrays of 0 and 1."""
     chain: list[Link] = []
+    # Features in too few texts could never be chosen: leave them out at once, and number the others from 0.
+    counts = np.bincount(x.columns, minlength=1)
+    known = np.flatnonzero(counts >= LEAST_TEXTS).astype(np.int32)
+    x = x.only(known)
     earlier = np.zeros((len(x), 0))
     fold = np.arange(len(x)) % folds
     for category, y in labels.items():
@@ -155,12 +160,13 @@ def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: int = FOLDS) -> lis
         bar = np.quantile(unseen[y == 0], 1 - FALSE_RATE, method="higher") if (y == 0).any() else HIGHEST
         chain.append(_fit_link(category, x, earlier, y)._replace(threshold=float(np.clip(bar, LOWEST, HIGHEST))))
         earlier = np.concatenate([earlier, _logit(unseen)[:, None]], axis=1)
+    chain = [link._replace(features=known[link.features]) for link in chain]
     return chain
 
 
 def as_rows(features: Sequence[Sequence[int]]) -> Rows:
-    arrays = [np.unique(np.asarray(f, np.int64)) for f in features]
-    return Rows(np.concatenate([np.zeros(0, np.int64), *arrays]), np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int64))
+    arrays = [np.unique(np.asarray(f, np.int32)) for f in features]
+    return Rows(np.concatenate([np.zeros(0, np.int32), *arrays]), np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int64))
 
 
 def predict(chain: Sequence[Link], x: Rows) -> np.ndarray:
@@ -193,12 +199,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qual
 
     ys = [f"y{i}" for i in range(len(categories))]
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "_id").select("_id", *ys, "t")
-    rows = texts.mapInArrow(run, f"_id {dict(known.dtypes)['_id']}, {', '.join(f'{y} int' for y in ys)}, f array<int>").toPandas()
-    rows = rows.drop_duplicates("_id").sort_values("_id").reset_index(drop=True)
-    if not len(rows):
+    found = texts.mapInArrow(run, f"_id {dict(known.dtypes)['_id']}, {', '.join(f'{y} int' for y in ys)}, f array<int>").toArrow().combine_chunks()
+    if not found.num_rows:
         none = np.zeros(0)
-        return [Link(c, none.astype(np.int64), none, np.zeros(i), 0.0) for i, c in enumerate(categories)]
-    return fit_chain(as_rows(rows["f"].tolist()), {c: rows[f"y{i}"].to_numpy() for i, c in enumerate(categories)})
+        return [Link(c, none.astype(np.int32), none, np.zeros(i), 0.0) for i, c in enumerate(categories)]
+    _, first = np.unique(found.column("_id").to_numpy(), return_index=True)  # by id, repeated ones once
+    lists = found.column("f").chunk(0) if found.column("f").num_chunks else found.column("f").combine_chunks()
+    x = Rows(lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)).take(first)
+    return fit_chain(x, {c: found.column(y).to_numpy()[first] for c, y in zip(categories, ys, strict=True)})
 
 
 def classify(docs: DataFrame, chain: Sequence[Link], threshold: float | None = None, text_col: str = "text", flag: str = "toxic") -> DataFrame:
