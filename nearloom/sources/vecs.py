@@ -23,7 +23,10 @@ SPLIT = 32 << 20
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    """The file system and name of a path or URI; Hadoop writes local ones with a single slash."""
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
 
 
 class _Range(InputPartition):

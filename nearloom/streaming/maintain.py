@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from nearloom.operators.codecs.bits import BitWriter
+from nearloom.operators.codecs.gorilla import GorillaEncoder
 from nearloom.operators.search import knn
 from nearloom.session import ship
 
@@ -76,11 +79,6 @@ def gorilla_sizes(series: DataFrame) -> DataFrame:
     ship(series.sparkSession)
 
     def step(key: tuple, batches, state: GroupState):
-        import pandas as pd
-
-        from nearloom.operators.codecs.bits import BitWriter
-        from nearloom.operators.codecs.gorilla import GorillaEncoder
-
         code, n, bits = GorillaEncoder(), 0, 0
         if state.exists:
             last, code.lead, code.tail, n, bits = state.get
