@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,34 +72,42 @@ def _unknown(word: str, end: int, best: list, back: list, single: set, model: pi
         best[end], back[end] = best[end - 1] + model.unknown_score, (end - 1, -1)
 
 
-def encode_text(text: str | None, path: str, known: dict[str, list[int]] | None = None) -> list[int]:
-    model, auto = pieces.load(path), automaton(path)
-    known = {} if known is None else known
-    out: list[int] = []
-    for word in pieces.pre_tokens(text, model):
-        ids = known.get(word)
-        if ids is None:
-            ids = viterbi(word, model, auto)
-            if len(word) <= LONG:
-                known[word] = ids
-        out += ids
+def encode_bytes(text: str | None, path: str, known: dict[str, bytes]) -> bytes:
+    """The ids of ``text`` as 32-bit numbers; ``known`` keeps those of its pre-tokens."""
+    model = pieces.load(path)
+    words = pieces.pre_tokens(text, model)
+    once: dict[str, bytes] = {}
+    for word in set(words).difference(known):
+        (known if len(word) <= LONG else once)[word] = np.array(viterbi(word, model, automaton(path)), np.int32).tobytes()
+    if once:
+        return b"".join([known[w] if w in known else once[w] for w in words])
+    return b"".join(map(known.__getitem__, words))
+
+
+def encode_text(text: str | None, path: str) -> list[int]:
+    return np.frombuffer(encode_bytes(text, path, {}), np.int32).tolist()
+
+
+@lru_cache(maxsize=4)
+def _said(path: str) -> list[bytes]:
+    """What each id says, as UTF-8; control pieces say nothing."""
+    model = pieces.load(path)
+    out = [b"" if i in model.hidden else t.encode() for i, t in enumerate(model.texts)]
+    for value, i in model.byte_ids.items():
+        out[i] = bytes([value])
+    out[model.unknown_id] = b" \xe2\x81\x87 "
     return out
 
 
 def decode_ids(ids: Iterable[int] | None, path: str) -> str:
-    """The text of ``ids``: byte pieces are joined and read as UTF-8 (bad bytes: U+FFFD), control pieces say nothing."""
-    model = pieces.load(path)
-    values = {v: k for k, v in model.byte_ids.items()}
-    out = bytearray()
-    for i in ids or ():
-        if i in values:
-            out.append(values[i])
-        elif i == model.unknown_id:
-            out += b" \xe2\x81\x87 "
-        elif 0 <= i < len(model.texts) and i not in model.hidden:
-            out += model.texts[i].encode()
-    text = out.decode("utf-8", "replace").replace(pieces.SPACE, " ")
-    return text[1:] if model.dummy_prefix and text.startswith(" ") else text
+    """The text of ``ids``: byte pieces are joined and read as UTF-8 (bad bytes: U+FFFD), unknown ids say nothing."""
+    said = _said(path)
+    try:
+        raw = b"".join(map(said.__getitem__, ids or ()))
+    except (IndexError, TypeError):
+        raw = b"".join(said[i] for i in ids if i is not None and 0 <= i < len(said))
+    text = raw.decode("utf-8", "replace").replace(pieces.SPACE, " ")
+    return text[1:] if text.startswith(" ") and pieces.load(path).dummy_prefix else text
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -113,11 +122,13 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     schema = docs.select(*kept).withColumn(ids_col, F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for b in batches:
             if len(known) > KEPT:
                 known.clear()
-            ids = pa.array([encode_text(t, model_path, known) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+            found = [encode_bytes(t, model_path, known) for t in b.column(b.num_columns - 1).to_pylist()]
+            starts = np.cumsum([0, *[len(x) // 4 for x in found]])
+            ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*kept, ids_col])
 
     return rows.mapInArrow(run, schema)
@@ -136,7 +147,10 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([decode_ids(i, model_path) for i in b.column(b.num_columns - 1).to_pylist()], pa.string())
+            lists = b.column(b.num_columns - 1).fill_null([])
+            values = lists.values
+            ids, ends = values.to_pylist() if values.null_count else values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+            texts = pa.array([decode_ids(ids[i:j], model_path) for i, j in zip(ends, ends[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*kept, text_col])
 
     return ready.mapInArrow(run, schema)
