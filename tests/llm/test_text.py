@@ -298,11 +298,12 @@ def test_encoding_matches_brute_force_and_the_library():
         own = [slow_viterbi(w, model) for w in pieces.pre_tokens(text, model)]
         assert [piece_codec.viterbi(w, model, auto) for w in pieces.pre_tokens(text, model)] == own
         assert piece_codec.encode_text(text, MODEL) == sum(own, [])
+    # The library ranks segmentations by their scores when asked for several; its one-best search takes short cuts.
     for s in range(40):  # no unknown characters and no repeated spaces: scores stay exact in the library's floats
         text = words(12, 100 + s)
-        assert piece_codec.encode_text(text, MODEL) == processor.nbest_encode_as_ids(text, 1)[0]
+        assert piece_codec.encode_text(text, MODEL) == processor.nbest_encode_as_ids(text, 2)[0]
     text = "The house of the rising sun"
-    assert piece_codec.encode_text(text, MODEL) == processor.nbest_encode_as_ids(text, 1)[0]
+    assert piece_codec.encode_text(text, MODEL) == processor.nbest_encode_as_ids(text, 2)[0]
 
 
 def test_codec_round_trip_and_counts(spark):
