@@ -15,15 +15,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearloom.session import ship
 
 #: Vectors in a block of the index, queries in a batch; a task holds one of each.
-BLOCK, BATCH = 16_384, 2_048
+BLOCK, BATCH = 65_536, 512
 #: Impact levels of a dimension.
-LEVELS = 16
+LEVELS = 32
 #: Possible members that are few enough to be rescored, as a multiple of k.
 FEW = 16
 
@@ -54,7 +55,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS) -> Index:
             dims.append(j)
             low.append(values[a])
             high.append(values[b - 1])
-    return Index(ids, vectors, np.concatenate([*postings, np.zeros(0, np.int64)]).astype(np.int32), np.array(starts), np.array(dims, np.int64), np.array(low, np.int64), np.array(high, np.int64))
+    return Index(ids, vectors, np.concatenate([*postings, np.zeros(0, np.int64)]).astype(np.intp), np.array(starts), np.array(dims, np.int64), np.array(low, np.int64), np.array(high, np.int64))
 
 
 def search(index: Index, query: np.ndarray, own: int, k: int, few: int = FEW) -> list[tuple[int, int]]:
@@ -72,8 +73,8 @@ def search(index: Index, query: np.ndarray, own: int, k: int, few: int = FEW) ->
     totals = np.zeros(n, np.int64)
     barred = index.ids == own
     possible = np.flatnonzero(~barred)
-    # Segments are read to their end before each check: after a third of them, then ten more times.
-    stops = np.unique(np.linspace(len(order) / 3, len(order), 11).astype(int))
+    # Segments are read to their end before each check; before two thirds of them there is hardly ever a proof.
+    stops = np.unique(np.linspace(2 * len(order) / 3, len(order), 7).astype(int))
     before = 0
     for stop in stops:
         for s in order[before:stop]:
@@ -105,11 +106,15 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.compute.list_value_length(column).to_numpy()
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """Rows as a matrix; shorter ones end with zeros."""
+    sizes = _sizes(column)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = pa.compute.list_flatten(column).to_numpy()
     return out
 
 
@@ -138,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     right = asked.select("id", "v", dealt(batches, 2).alias("s"), every(blocks).alias("b"))
 
     def run(own: pa.Table, ask: pa.Table) -> pa.Table:
-        width = max([0, *(len(v) for t in (own, ask) for v in t.column("v").to_pylist())])
+        width = int(max([0, *(_sizes(t.column("v")).max(initial=0) for t in (own, ask))]))
         out: list[tuple[int, int, int]] = []
         if own.num_rows and ask.num_rows:
             index = build(own.column("id").to_numpy(), _matrix(own.column("v"), width))
