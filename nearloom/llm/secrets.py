@@ -24,10 +24,18 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters that the Markov models tell apart.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: A candidate of the models: a run of such characters, at least so long, with a letter and a digit (see `candidates`).
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
-#: Nats per character pair by which the random model must be the likelier.
+#: A candidate of the models: a run of such characters, at least so long.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+={0,2}"
+#: A run that may be random as a whole: at least so long, with a letter and a digit.
+WHOLE = r"^(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+#: Nats per character pair by which the random model must be the likelier over a whole run.
 THRESHOLD = 0.5
+#: Nats in all, beside the logarithm of the run's length, by which it must be the likelier over a stretch of a run.
+STRETCH = 12.0
+#: Words of one case, small numbers and hexadecimal constants: random only beyond so many nats with capitals read as small letters.
+WORDY = r"^[+/_-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,3}|[0-9]{1,6}|0x[0-9A-Fa-f]+)(?:[+/_-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,3}|[0-9]{1,6}|0x[0-9A-Fa-f]+))*[+/_=-]*$"
+WORDY_LEAST = 24.0
+WORDS_BEFORE, WORDS_AFTER = r"\A(?:[A-Z]?[a-z]{2,}[/_-]+)+", r"(?:[/_-]+[A-Z]?[a-z]{2,})+\z"
 
 # Ordinary words of identifiers, for the negative samples.
 WORDS = (
@@ -90,14 +98,70 @@ def train(labelled: Iterable[tuple[str, bool]], smoothing: float = 0.5) -> list[
     return [round(x, 6) for x in table]
 
 
-def log_ratio(text: Column, table: Sequence[float]) -> Column:
-    """Mean log-likelihood ratio over the character pairs of ``text``, whose characters are all in ALPHABET."""
+def small_letters(table: Sequence[float]) -> list[float]:
+    """``table`` with each pair of capitals at the lesser ratio of itself and its small letters: the samples' words have no runs of capitals."""
+    n, out = len(ALPHABET), list(table)
+    for i in range(26):
+        for j in range(26):
+            out[i * n + j] = min(table[i * n + j], table[(i + 26) * n + j + 26])
+    return out
+
+
+def _ratios(text: Column, table: Sequence[float]) -> Column:
+    """Log-likelihood ratio of each character pair of ``text``, whose characters are all in ALPHABET."""
     chars = lambda c: F.regexp_extract_all(c, F.lit("."), F.lit(0))
     code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     scores = F.array(*[F.lit(x) for x in table])
     firsts, seconds = chars(F.substring(text, F.lit(1), F.length(text) - 1)), chars(F.substring(text, F.lit(2), F.length(text)))
-    pairs = F.zip_with(firsts, seconds, lambda a, b: scores[code(a) * len(ALPHABET) + code(b)])
-    return F.when(F.length(text) > 1, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / (F.length(text) - 1)).otherwise(F.lit(0.0))
+    return F.zip_with(firsts, seconds, lambda a, b: scores[code(a) * len(ALPHABET) + code(b)])
+
+
+def log_ratio(text: Column, table: Sequence[float]) -> Column:
+    """Mean log-likelihood ratio over the character pairs of ``text``, whose characters are all in ALPHABET."""
+    total = F.aggregate(_ratios(text, table), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.length(text) > 1, total / (F.length(text) - 1)).otherwise(F.lit(0.0))
+
+
+def _stretches(text: Column, table: Sequence[float]) -> Column:
+    """``array<struct<start, end>>``: the likeliest random stretches of the run ``text``, widened to the next ``/``, ``_`` or ``-`` and without words at its ends.
+
+    A stretch sums the ratios of its pairs; it starts where a sum is above
+    zero, ends at its greatest sum, and is over once the sum is down to zero
+    or STRETCH below that.  Those that overlap once widened are joined.
+    """
+    places = "array<struct<start:int,end:int>>"
+    least = F.lit(STRETCH) + F.log(F.length(text).cast("double"))
+    zero = F.struct(
+        F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("peak"), F.lit(0).alias("end"), F.array().cast(places).alias("out")
+    )
+
+    def add(acc: Column, x: Column) -> Column:
+        fresh = acc["sum"] <= 0
+        total, start = F.when(fresh, x).otherwise(acc["sum"] + x), F.when(fresh, acc["at"]).otherwise(acc["start"])
+        before = F.when(fresh, 0.0).otherwise(acc["peak"])
+        peak, end = F.greatest(before, total), F.when(total > before, acc["at"] + 2).otherwise(acc["end"])
+        over = (total <= 0) | (total < peak - STRETCH)
+        out = F.when(over & (peak >= least), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["out"])
+        return F.struct(
+            (acc["at"] + 1).alias("at"), F.when(over, 0.0).otherwise(total).alias("sum"), start.alias("start"), peak.alias("peak"), end.alias("end"), out.alias("out")
+        )
+
+    # A last pair that ends whatever stretch is open.
+    found = F.aggregate(F.concat(_ratios(text, table), F.array(F.lit(-1e9))), zero, add, lambda acc: acc["out"])
+
+    def widen(g: Column) -> Column:
+        left = F.regexp_extract(F.substring(text, F.lit(1), g["start"]), r"[^/_-]*\z", 0)
+        right = F.regexp_extract(F.substring(text, g["end"] + 1, F.length(text)), r"\A[^/_-]*", 0)
+        start, end = g["start"] - F.length(left), g["end"] + F.length(right)
+        wide = F.substring(text, start + 1, end - start)
+        return F.struct((start + F.length(F.regexp_extract(wide, WORDS_BEFORE, 0))).alias("start"), (end - F.length(F.regexp_extract(wide, WORDS_AFTER, 0))).alias("end"))
+
+    def join(out: Column, g: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(last["start"].alias("start"), g["end"].alias("end")))
+        return F.when(F.size(out) == 0, F.array(g)).when(g["start"] < last["end"], joined).otherwise(F.array_append(out, g))
+
+    return F.aggregate(F.transform(found, widen), F.array().cast(places), join)
 
 
 def _spans(text: Column, found: Column, kind: str, pattern: str) -> Column:
@@ -123,9 +187,11 @@ def find(docs: DataFrame, table: Sequence[float] | None = None, threshold: float
     """``docs`` with ``base`` and ``extra``: arrays of ``(start, end, rank, kind, text)``, by start, then kind as listed.
 
     ``base`` has the fixed patterns' matches: leftmost and non-overlapping
-    per kind, those too short dropped.  ``extra`` has runs that the Markov
-    models take for random and that no base match overlaps.  Null and empty
-    texts have none.  Clashing columns named ``base`` or ``extra`` are
+    per kind, those too short dropped.  ``extra`` has runs, or else stretches
+    of runs, that the Markov models take for random and that no base match
+    overlaps: a whole run by its mean ratio (``threshold``), a stretch by its
+    sum (STRETCH), so that a secret glued to words is found by itself; words
+    alone (WORDY) by a higher sum.  Null and empty texts have none.  Clashing columns named ``base`` or ``extra`` are
     replaced; all others and all rows are kept.
     """
     table = train(samples()) if table is None else table
@@ -139,7 +205,18 @@ def find(docs: DataFrame, table: Sequence[float] | None = None, threshold: float
     base = F.array_sort(F.concat(F.filter("_assign", lambda s: value(s) >= 6), F.col("_access"), F.col("_hex")))
     df = df.withColumns({"base": base})
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.filter("_markov", lambda s: (log_ratio(s["text"], table) > threshold) & free(s))
+    folded = small_letters(table)
+    wordy = lambda c: c.rlike(WORDY) & (log_ratio(c, folded) * (F.length(c) - 1) <= WORDY_LEAST)
+
+    def stretch(run: Column, g: Column) -> Column:
+        text = F.substring(run["text"], g["start"] + 1, g["end"] - g["start"])
+        return F.struct((run["start"] + g["start"]).alias("start"), (run["start"] + g["end"]).alias("end"), run["rank"].alias("rank"), run["kind"].alias("kind"), text.alias("text"))
+
+    def random_parts(run: Column) -> Column:
+        whole = run["text"].rlike(WHOLE) & (log_ratio(run["text"], table) > threshold) & free(run)
+        return F.when(whole, F.array(run)).otherwise(F.filter(F.transform(_stretches(run["text"], table), lambda g: stretch(run, g)), free))
+
+    extra = F.filter(F.flatten(F.transform("_markov", random_parts)), lambda s: ~wordy(s["text"]))
     return df.withColumns({"extra": extra}).drop(*[f"_{k}" for k in patterns], *[f"_found_{k}" for k in patterns])
 
 

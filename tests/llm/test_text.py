@@ -227,6 +227,35 @@ def test_markov_models_tell_held_out_samples_apart(spark):
     assert rate[True] > 0.95 and rate[False] < 0.01
 
 
+def test_random_stretches_of_runs_are_found(spark):
+    rng = random.Random(11)
+    base62 = secrets.ALPHABET[:62]
+    key = lambda n, chars=base62: "".join(rng.choices(chars, k=n))
+    word = lambda: rng.choice(secrets.WORDS)
+    made = {
+        "short": lambda: ("", key(18), ""),
+        "letters": lambda: ("", key(24, base62[:52]), ""),
+        "identifier": lambda: (f"{word()}_{word()}_", key(20), ""),
+        "live": lambda: ("sk_live_", key(24), ""),
+        "path": lambda: ("/".join(word() for _ in range(5)) + "/", key(32), f"/{word()}/{word()}"),
+    }
+    rows = [(kind, *f()) for kind, f in made.items() for _ in range(100)]
+    texts = [f"é {a}{b}{c} and so on" for _, a, b, c in rows]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(docs(spark, texts)).collect()}
+    rate = dict.fromkeys(made, 0)
+    for i, (kind, a, b, _) in enumerate(rows):
+        at = 2 + len(a)
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s]
+        rate[kind] += any(x <= at and y >= at + len(b) and y - x <= len(b) + len(a) for x, y in spans)
+    assert min(rate.values()) >= 95, rate
+    two = "user/q8Zr4Tn1Lw7Yp2Vb6Xc9Kd3/parameter/configuration/directory/message/Hg5fM3dK9cX6bV2pY7wL1nT4/index"
+    plain = ["MAX_RETRY_COUNT_TOTAL_2024 DEFAULT_CONNECTION_TIMEOUT", "Donaudampfschifffahrtsgesellschaft INTERNATIONALISATION", "0x00000003FFFFFFFF x" + "y" * 30, "x" * 3000]
+    spans = [r["spans"] for r in secrets.scan(docs(spark, [two, *plain])).orderBy("doc_id").collect()]
+    texts = [two[int(a) : int(b)] for _, a, b in (s.split(":") for s in spans[0].split(","))]
+    assert texts == ["q8Zr4Tn1Lw7Yp2Vb6Xc9Kd3", "Hg5fM3dK9cX6bV2pY7wL1nT4"], texts
+    assert spans[1:3] == ["", ""], spans
+
+
 def test_redaction_masks_all_and_keeps_the_rest(spark):
     texts = [None, "", "plain words only", *SECRETS]
     rows = docs(spark, texts, base="kept", extra="too").withColumn("n_chars", F.length("text").cast("long"))
