@@ -74,6 +74,37 @@ def with_signatures(df: DataFrame, texts: dict[str, str], chain: int = CHAIN, an
     return df.withColumns(out).drop(*[f"_raw_{k}" for k in texts], *[f"_all_{k}" for k in texts])
 
 
+def uncovered(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """Hashes of the word chains of all stretches of ``text`` that no signature of an anchor covers, in any order.
+
+    A stretch is what follows the ``chain`` words after an anchor up to the
+    next anchor, or what precedes the first one; a shorter one is one chain.
+    The last ``chain - 1`` words that are not common are always a stretch: the
+    anchors before them may be short of words.
+    """
+    nothing = F.array().cast("array<bigint>")
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?<![\p{{L}}\p{{N}}]){_any_of(anchors)}(?![\p{{L}}\p{{N}}])", -1)
+    beyond = rf"(?s)^[^\p{{L}}\p{{N}}]*+(?:{WORD}{GAP}){{{chain}}}(.*)$"
+    words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+
+    def stretches(ps: Column) -> Column:
+        rest = F.transform(ps, lambda p, i: F.when(i == 0, p).otherwise(F.regexp_extract(p, beyond, 1)))
+        last = words(F.array_join(F.slice(ps, F.greatest(F.size(ps) - chain + 1, F.lit(1)), F.lit(chain)), " "))
+        tail = F.transform(F.array(last), lambda ws: F.slice(ws, F.greatest(F.size(ws) - chain + 2, F.lit(1)), F.lit(chain - 1)))
+        return F.concat(F.transform(F.filter(rest, lambda p: p != ""), words), tail)
+
+    def signed(ws: Column) -> Column:
+        return F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - chain, F.lit(0))), _chain_at(ws, chain))).otherwise(nothing)
+
+    # The pieces are bound by a lambda, or each use would split again.
+    return F.flatten(F.transform(F.flatten(F.transform(F.array(pieces), stretches)), signed))
+
+
+def whole(sigs: Column, rest: Column) -> Column:
+    """The sorted set of a text's signatures and of what they leave uncovered."""
+    return F.array_sort(F.array_union(sigs, rest))
+
+
 def fingerprint(sigs: Column) -> Column:
     """A string for a signature set: its size and a digest of its members."""
     return F.concat_ws(":", F.size(sigs), F.sha2(F.concat_ws(",", F.transform(sigs, lambda x: x.cast("string"))), 256))
@@ -180,12 +211,22 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for the edit.  Null texts count as empty; a single document is its own
     next.  An empty table gives no rows; only the two named columns are read,
     so other columns may have any name.
+
+    The ``whole_`` columns are of sets that also sign what no anchor's chain
+    covers (:func:`uncovered`): all words count, and an anchor that comes or
+    goes changes only the signatures around it.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_signatures(texts, {"own": "text"}, chain), "doc_id", "text", ("own",))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    rows = with_next(with_signatures(texts, {"own": "text"}, chain).withColumn("rest", F.array_distinct(uncovered(F.col("text"), chain))), "doc_id", "text", ("own", "rest"))
+    rows = rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", edited(F.col("text"), F.col("next_text")).alias("edited"),
+        whole(F.col("own"), F.col("rest")).alias("all"), whole(F.col("next_own"), F.col("next_rest")).alias("next_all"),
+    )
     rows = with_signatures(rows, {"new": "edited"}, chain).withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = rows.withColumn("new_all", whole(F.col("new"), uncovered(F.col("edited"), chain)))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
         jaccard(F.col("own"), F.col("new")).alias("near_edited"), jaccard(F.col("own"), F.col("next_own")).alias("near_next"),
+        fingerprint(F.col("all")).alias("whole_fingerprint"), fingerprint(F.col("new_all")).alias("whole_edited_fingerprint"),
+        jaccard(F.col("all"), F.col("new_all")).alias("whole_near_edited"), jaccard(F.col("all"), F.col("next_all")).alias("whole_near_next"),
     )

@@ -148,6 +148,37 @@ def test_spotsigs_neighbours(spark):
     assert rows[10]["fingerprint"] == rows[11]["fingerprint"] != rows[6]["fingerprint"]
 
 
+def slow_whole(text):
+    found, common, chain = re.findall(r"[^\W_]+", (text or "").lower()), spotsigs.ANCHORS, spotsigs.CHAIN
+    pieces = [[]]
+    for w in found:
+        if w in common:
+            pieces.append([])
+        else:
+            pieces[-1].append(w)
+    content = [w for p in pieces[-chain:] for w in p]
+    rest = [pieces[0], *[p[chain:] for p in pieces[1:]], content[max(0, len(content) - chain + 1) :]]
+    return slow_signatures(text) | {" ".join(p[i : i + chain]) for p in rest if p for i in range(max(1, len(p) - chain + 1))}
+
+
+def test_spotsigs_of_whole_texts(spark):
+    plain = [w for w in words(400, 1).split() if w not in spotsigs.ANCHORS]
+    one = " ".join([*plain[:150], "the", *plain[150:300]])
+    texts = [*[t for t in ODD if not t or "\u0301" not in t], *[words(n, n) for n in range(0, 90, 7)], " ".join(plain[:300]), one, "the one two of three", one + " of x the y"]
+    rows = {r["doc_id"]: r for r in spotsigs.compare_neighbours(docs(spark, texts)).collect()}
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for i, text in enumerate(texts):
+        own, following = text or "", texts[i - 1] or ""
+        edited = own[: len(own) - len(own) // 3] + following[: len(own) // 3]
+        assert rows[i]["whole_near_edited"] == pytest.approx(like(slow_whole(own), slow_whole(edited)))
+        assert rows[i]["whole_near_next"] == pytest.approx(like(slow_whole(own), slow_whole(following)))
+        assert rows[i]["whole_fingerprint"].split(":")[0] == str(len(slow_whole(own)))
+    # One anchor in 300 words: hardly anything else changes, and all words are signed.
+    at = texts.index(one)
+    assert rows[at]["near_next"] == 0.0 and rows[at]["whole_near_next"] > 0.9
+    assert rows[at]["fingerprint"].startswith("1:") and int(rows[at]["whole_fingerprint"].split(":")[0]) > 250
+
+
 def test_spotsigs_neighbours_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "NEIGHBOUR_ROWS", 3)
     ids = [0, 1, 2, 5, 5, 1000, 1001, -7, 10**12, None, None, *range(20, 220)]
