@@ -1,17 +1,16 @@
-"""SimHash near-duplicates through a multi-index of fingerprint segments.
-
-A fingerprint is cut into segments.  Two fingerprints that differ in at most
-two bits can each change at most one bit, inside one segment, and become the
-same value: so every fingerprint is entered in its segments' tables under each
-value of the radius-1 Hamming ball of each segment, completed by its other
-segments; members of one table entry are fetched together and their complete
-distance is verified.
-
-Keying an entry by the completed value, instead of by the segment alone, is
-what keeps buckets small: an entry can hold at most 65 different fingerprints,
-because only 65 values lie within one bit of it.  With the segment alone as
-the key a large family of near copies would share one bucket, and its
-candidates would be the family's square.
+"""SimHash near-duplicates through the radius-1 balls of whole fingerprints.
+
+Two fingerprints that differ in at most two bits can each change at most one
+bit and become the same value: so every fingerprint is entered under each of
+the 65 values within one bit of it; members of one entry are fetched together
+and their complete distance is verified.
+
+This is not a multi-index with tables keyed by segments.  Those were given up:
+with a segment as the key a large family of near copies would share one
+bucket, and its candidates would be the family's square, while an entry keyed
+by the whole value can hold at most 65 different fingerprints.  The masks are
+listed by segment, but are the same for every number of segments that divides
+64.
 """
 
 from __future__ import annotations
