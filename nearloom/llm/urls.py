@@ -22,7 +22,8 @@ MAX_RULES = 10_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Patterns over a page's html: a canonical link, and a refresh that names a url, attributes in either order.
+# Patterns over a page's html: a canonical link, and a refresh that names a url, attributes in either order.  The SQL twin reads
+# only these, the first of each; see TAG for what the operator reads.
 CANONICAL = (
     r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']([^"'>]*)["']""",
     r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"'>]*)["'][^>]*\brel\s*=\s*["']?canonical\b""",
@@ -32,6 +33,12 @@ REFRESH = (
     r"""(?is)<meta\b[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>]*)["'][^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
 )
 
+# The same read attribute by attribute: tags (quotes count only after an equals sign, and a quoted value may hold any other
+# character), what sets an attribute in one, and the url of a refresh.  The parts are bounded for the sake of the matcher's stack.
+TAG = r"""(?is)<(?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,1000}+>"""
+ATTRIBUTE = r"""(?is)([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+REFRESH_URL = r"""(?is)^.*?url\s*=\s*(.*)$"""
+
 
 class Rule(NamedTuple):
     action: str  # allow or block
@@ -99,11 +106,35 @@ def _target(host: Column, path: Column, href: Column) -> Column:
     )
 
 
+def _unquoted(value: Column) -> Column:
+    """``value`` without the quotes around it: if it starts with one, up to the next of its kind."""
+    quoted = lambda q: F.regexp_extract(value, f"(?s)^{q}([^{q}]*)", 1)
+    return F.when(value.startswith('"'), quoted('"')).when(value.startswith("'"), quoted("'")).otherwise(value)
+
+
+def named_urls(html: Column) -> Column:
+    """All urls that the canonical links and refreshes of ``html`` name, their attributes quoted or not, in any order."""
+
+    def attribute(tag: Column, name: str) -> Column:
+        pairs = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+        own = F.filter(pairs, lambda x: lower_ascii(F.regexp_extract(x, r"^([^\s=]*)", 1)) == name)
+        return _unquoted(F.regexp_extract(F.get(own, F.lit(0)), r"(?s)^[^=]*=\s*(.*)$", 1))
+
+    def url(tag: Column) -> Column:
+        canonical = lower_ascii(attribute(tag, "rel")).rlike(r"(?:^|\s)canonical(?:\s|$)")
+        refresh = lower_ascii(F.trim(attribute(tag, "http-equiv"))) == "refresh"
+        target = F.trim(F.regexp_extract(attribute(tag, "content"), REFRESH_URL, 1))
+        return F.when(lower_ascii(F.substring(tag, 2, 4)) == "link", F.when(canonical, attribute(tag, "href"))).when(refresh, _unquoted(target))
+
+    # Tags without the words are left out before they are taken apart.
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.rlike(r"(?i)canonical|refresh"))
+    return F.array_distinct(F.filter(F.transform(tags, url), lambda u: u.isNotNull()))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(a, b)``: the node of each page's url and of each url that its html names as canonical or redirects to."""
     url, html = F.col(url_col).cast("string"), F.col(html_col).cast("string")
-    hrefs = F.array_distinct(F.array(*[F.regexp_extract(html, p, 1) for p in (*CANONICAL, *REFRESH)]))
-    linking = pages.where(html.rlike(r"(?i)canonical|refresh")).select(url.alias("url"), F.explode(hrefs).alias("href"))
+    linking = pages.where(html.rlike(r"(?i)canonical|refresh")).select(url.alias("url"), F.explode(named_urls(html)).alias("href"))
     # Each step is a column of its own, so that what several later ones use is computed once.
     steps = linking.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("a"), F.trim(F.regexp_replace("href", "&amp;", "&")).alias("href"))
     steps = steps.select("a", _target(F.col("host"), F.col("path"), F.col("href")).alias("target"))

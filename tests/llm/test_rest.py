@@ -163,6 +163,21 @@ def test_blocks_reach_aliases_and_allows_stand(spark):
     assert verdict == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "allow", None: "block", 9: "allow"}
 
 
+def test_every_form_of_alias_is_read(spark):
+    bad = "https://b.net/fr/1"
+    forms = [
+        f"<link rel=canonical href={bad}>", f'<link rel="canonical" href={bad} />', f"<meta http-equiv=refresh content=0;url={bad}>", f"<META content='5; URL={bad}' HTTP-EQUIV=\"Refresh\">",
+        f"""<meta http-equiv="refresh" content="0;url='{bad}'">""", f'<link rel="canonical" href="http://a.org/x"><link rel="canonical" href="{bad}">', f'<link title="a > b" rel="alternate canonical" href="{bad}">',
+        f"<link rel='canonical' href\n=\n'{bad}'' >", f"""<meta http-equiv='refresh' content='0;url="{bad}"'>""", '<link rel="canonical" href="https://b.net/fr/o\'neil">',
+    ]
+    not_one = [f'<link rel=stylesheet href={bad} title="rel=canonical">', f'<link rel=canonical data-href="{bad}">', f'<meta name=refresh content="0;url={bad}">', f'<a rel=canonical href="{bad}">']
+    pages = [(i, f"http://x{i}.org/", f"<html>{h}</html>") for i, h in enumerate([*forms, *not_one])]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdict = {r["page_id"]: r["verdict"] for r in urls.judge(rows, RULES).collect()}
+    assert [verdict[i] for i in range(len(pages))] == ["block"] * len(forms) + ["allow"] * len(not_one)
+    assert {r["b"] for r in urls.alias_edges(rows.where("page_id = 9")).collect()} == {"b.net/fr/o'neil"}
+
+
 # Toxicity.
 
 
