@@ -17,11 +17,13 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id; of its repeated rows one. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    one = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """Of each SimHash group one row with the smallest id. Rows without an id stay, and so do different texts of one id."""
+    # Rows are grouped by numbers of their own, stored so that they stay the same: one doc_id may name several texts.
+    rows = stored(docs.where(F.col("doc_id").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")).join(groups, "_row")
+    kept = ranked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("it")).select(F.col("it._row").alias("_row"))
+    one = rows.join(kept, "_row", "left_semi").select(*docs.columns)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

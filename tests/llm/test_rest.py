@@ -295,6 +295,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == single.select("doc_id").distinct().count()
 
 
+def test_near_copies_of_clashing_ids_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("".join(rng.choices("bcdfgaeiou", k=5)) for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (3, a), (3, a), (7, c), (7, d), (8, d), (None, a), (None, a)]
+    out = corpus_pipeline.near_copies_go(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert out.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(3, a), (5, b), (7, c), (7, d), (None, a), (None, a)]))
+
+
 def test_queries_against_duckdb(spark):
     import duckdb
 
