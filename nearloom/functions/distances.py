@@ -8,6 +8,7 @@ whole blocks and serve the search operators.  ``l2`` is squared, ``ip`` and
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, SparkSession
@@ -16,7 +17,24 @@ from pyspark.sql import functions as F
 SPACES = ("l2", "ip", "cosine", "l2_u8")
 
 
-def check_space(space: str) -> str:
+@dataclass(frozen=True)
+class Distance:
+    """A distance of one's own in both forms: of two columns, and of a query and the rows of a matrix.
+
+    The second lets a search run on blocks as with the built-in distances; a
+    plain function of two columns works too, pair by pair.
+    """
+
+    column: Callable[[Column, Column], Column]
+    kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        return self.column(a, b)
+
+
+def check_space(space: str | Distance) -> str | Distance:
+    if isinstance(space, Distance):
+        return space
     if space not in SPACES:
         raise ValueError(f"space name must be one of {', '.join(SPACES)}")
     return space
@@ -43,10 +61,18 @@ def l2(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: (_double(x) - _double(y)) * (_double(x) - _double(y))))
 
 
-def l1(a: Column, b: Column) -> Column:
+def _l1(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: F.abs(_double(x) - _double(y))))
 
 
+def _l1_rows(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows - query).sum(axis=1)
+
+
+#: Sum of absolute differences, as an example of a distance of one's own.
+l1 = Distance(_l1, _l1_rows)
+
+
 def l2_u8(a: Column, b: Column) -> Column:
     """Squared distance of vectors of whole numbers in 0..255, as an integer."""
     terms = F.zip_with(a, b, lambda x, y: (x.cast("int") - y.cast("int")) * (x.cast("int") - y.cast("int")))
@@ -102,15 +128,19 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms == 0, 1, norms)
 
 
-def block(space: str, queries: np.ndarray, base: np.ndarray) -> np.ndarray:
+def block(space: str | Distance, queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     """Distances of all queries to all rows of ``base`` by one matrix product; good enough to shortlist."""
+    if isinstance(space, Distance):
+        return np.stack([space.kernel(q, base) for q in queries])
     if space in ("l2", "l2_u8"):
         return (queries * queries).sum(1)[:, None] + (base * base).sum(1)[None, :] - 2 * (queries @ base.T)
     return 1 - queries @ base.T if space == "ip" else 1 - unit(queries) @ unit(base).T
 
 
-def exact(space: str, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def exact(space: str | Distance, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Distances of one query to some rows, without the cancellation of :func:`block`."""
+    if isinstance(space, Distance):
+        return space.kernel(query, rows)
     if space in ("l2", "l2_u8"):
         return ((rows - query) ** 2).sum(axis=1)
     products = rows @ query

@@ -1,4 +1,4 @@
-"""One shard's hierarchical proximity graph, on numpy arrays: levels drawn geometrically, beam search, diverse links."""
+"""One shard's hierarchical proximity graph, on numpy arrays: geometric levels, beam search, diverse links."""
 
 from __future__ import annotations
 
@@ -6,20 +6,73 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from nearloom.functions import distances
+from nearloom.operators.policies import Documents, Policy, Radius
+
+GOLDEN = 0.6180339887498949
+
+
+def level_of(label: Column, links: int, seed: int) -> Column:
+    """The level of a label's vector: geometric, from a low-discrepancy sequence over the labels begun at ``seed``."""
+    turn = (label + 1 + seed) * F.lit(GOLDEN)
+    unit = 1.0 - (turn - F.floor(turn))
+    return F.floor(-F.log(unit) / F.log(F.lit(float(max(links, 2))))).cast("int")
+
+
+def levels_of(labels: np.ndarray, links: int, seed: int) -> np.ndarray:
+    """:func:`level_of` for an array."""
+    turn = (labels + 1 + seed) * GOLDEN
+    return np.floor(-np.log(1.0 - (turn - np.floor(turn))) / np.log(float(max(links, 2)))).astype(int)
+
+
+class _Best:
+    """What a beam has found that it may return, and whether it may stop at a distance."""
+
+    def __init__(self, width: int, policy: Policy | None, docs: np.ndarray | None):
+        self.width, self.docs = width, docs
+        self.radius = policy.epsilon if isinstance(policy, Radius) and policy.most is None else None
+        self.per_doc: dict[int, float] | None = {} if isinstance(policy, Documents) else None
+        # One document more than asked for tells where the answer ends.
+        self.want = max(width, policy.count + 1) if isinstance(policy, Documents) else width
+        self.heap: list[tuple[float, int]] = []  # the farthest first
+        self.bar = np.inf  # farther ones cannot help
+
+    def add(self, d: float, n: int) -> None:
+        heapq.heappush(self.heap, (-d, n))
+        if self.per_doc is not None:
+            doc = int(self.docs[n])
+            if d < self.per_doc.get(doc, np.inf):
+                self.per_doc[doc] = d
+                if len(self.per_doc) >= self.want:
+                    self.bar = sorted(self.per_doc.values())[self.want - 1]
+            while -self.heap[0][0] > self.bar:
+                heapq.heappop(self.heap)
+        elif len(self.heap) >= self.width:
+            if self.radius is None or -self.heap[0][0] > self.radius:
+                if len(self.heap) > self.width:
+                    heapq.heappop(self.heap)
+            self.bar = max(-self.heap[0][0], -np.inf if self.radius is None else self.radius)
+
+    def nearest_first(self) -> list[tuple[float, int]]:
+        return sorted((-d, n) for d, n in self.heap)
 
 
 class Graph:
-    """A graph over the rows of ``x``, built in their order."""
+    """A graph over the rows of ``x``, built in their order; ``levels`` has one per row.
+
+    ``hops`` and ``computed`` count the nodes that searches expanded and the
+    distances that they computed.
+    """
 
-    def __init__(self, x: np.ndarray, space: str, links: int = 16, ef_construction: int = 200, seed: int = 100):
+    def __init__(self, x: np.ndarray, space: str, links: int = 16, ef_construction: int = 200, levels: np.ndarray | None = None):
         self.x, self.space, self.links, self.ef_construction = x, space, links, max(ef_construction, links)
         self.out: list[dict[int, np.ndarray]] = []  # per level, links of a node
         self.top: int | None = None
-        rng = np.random.default_rng(seed)
-        levels = np.floor(-np.log(1 - rng.random(len(x))) / np.log(max(links, 2))).astype(int)
-        for node, level in enumerate(levels):
+        self.hops = self.computed = 0
+        for node, level in enumerate(levels_of(np.arange(len(x)), links, 100) if levels is None else levels):
             self._add(node, int(level))
 
     @classmethod
@@ -39,31 +92,40 @@ class Graph:
                 yield level, src, dst
 
     def _to(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        self.computed += len(nodes)
         return distances.exact(self.space, q, self.x[nodes])
 
-    def _beam(self, q: np.ndarray, start: list[tuple[float, int]], width: int, level: int) -> list[tuple[float, int]]:
-        """The ``width`` nearest found from ``start``, nearest first."""
+    def _beam(self, q: np.ndarray, start: list[tuple[float, int]], width: int, level: int, allowed: np.ndarray | None = None, policy: Policy | None = None, docs: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The ``width`` nearest found from ``start``, nearest first.
+
+        Nodes that are not ``allowed`` are passed through but not found.  A
+        radius without a limit keeps all inside it, ``width`` or more; a
+        number of documents keeps the vectors of so many documents.
+        """
         seen = np.zeros(len(self.x), bool)
         seen[[n for _, n in start]] = True
-        open_, best = list(start), [(-d, n) for d, n in start]
+        open_ = list(start)
         heapq.heapify(open_)
-        heapq.heapify(best)
+        best = _Best(width, policy, docs)
+        for d, n in start:
+            if allowed is None or allowed[n]:
+                best.add(d, n)
         while open_:
             d, node = heapq.heappop(open_)
-            if len(best) >= width and d > -best[0][0]:
+            if d > best.bar:
                 break
             near = self.out[level].get(node)
             if near is None or not len(near):
                 continue
+            self.hops += 1
             near = near[~seen[near]]
             seen[near] = True
             for dn, n in zip(self._to(q, near).tolist(), near.tolist(), strict=True):
-                if len(best) < width or dn < -best[0][0]:
+                if dn < best.bar or len(best.heap) < width:
                     heapq.heappush(open_, (dn, n))
-                    heapq.heappush(best, (-dn, n))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        return sorted((-d, n) for d, n in best)
+                    if allowed is None or allowed[n]:
+                        best.add(dn, n)
+        return best.nearest_first()
 
     def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Of ``found``, nearest first, those nearer to the centre than to any kept before."""
@@ -107,11 +169,11 @@ class Graph:
         if level >= before:
             self.top = node
 
-    def search(self, q: np.ndarray, width: int) -> np.ndarray:
-        """Nodes found by a beam of ``width``, nearest first."""
+    def search(self, q: np.ndarray, width: int, allowed: np.ndarray | None = None, policy: Policy | None = None, docs: np.ndarray | None = None) -> np.ndarray:
+        """Nodes found by a beam of ``width``, nearest first; see :meth:`_beam`."""
         if self.top is None:
             return np.zeros(0, np.int64)
         near = [(float(self._to(q, np.array([self.top]))[0]), self.top)]
-        for lv in range(len(self.out) - 1, -1, -1):
-            near = self._beam(q, near[:1], width if lv == 0 else 1, lv)
-        return np.array([n for _, n in near], np.int64)
+        for lv in range(len(self.out) - 1, 0, -1):
+            near = self._beam(q, near[:1], 1, lv)
+        return np.array([n for _, n in self._beam(q, near[:1], width, 0, allowed, policy, docs)], np.int64)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -15,11 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
-from nearloom.operators import mutations, policies
+from nearloom.operators import ann, mutations, policies
 from nearloom.operators.rows import numbered
-from nearloom.operators.search import knn, search
+from nearloom.operators.search import enough, knn, search
+from nearloom.shared import stored
 
 MOST_LINKS = 10_000
+STRATEGIES = ("exact", "graph")
+#: Changes of flags that a snapshot carries as joins before it is written anew.
+MOST_PENDING = 8
 
 
 @dataclass(frozen=True)
@@ -38,6 +43,7 @@ class Meta:
     allow_replace_deleted: bool = False
     next_label: int = 0
     slots: int = 0
+    strategy: str = "exact"
 
 
 class _Index:
@@ -48,6 +54,7 @@ class _Index:
         self.meta = Meta(distances.check_space(space), dim, self.kind)
         self.rows = mutations.empty(spark)
         self.ready = False
+        self._pending = 0  # changes of flags that are joined to the last written snapshot
 
     def __repr__(self) -> str:
         return f"<{type(self).__name__}(space={self.space!r}, dim={self.dim})>"
@@ -79,8 +86,13 @@ class _Index:
         if not self.ready:
             raise RuntimeError("The index is not initiated.")
 
-    def _incoming(self, data: DataFrame, ids: str | None) -> tuple[DataFrame, int]:
-        """``(label, vector, doc_id)`` with labels from column ``ids`` or the running counter, checked; and their number."""
+    def _incoming(self, data: DataFrame, ids: str | None) -> tuple[DataFrame, dict[str, int]]:
+        """``(label, vector, doc_id, seq)``, materialised, with labels from column ``ids`` or the running counter; and counts.
+
+        The counts are of ``rows``, of labels that the index does not have
+        (``fresh``) and of deleted ones that it has (``restored``).  One
+        aggregate finds them and all errors.
+        """
         self._need()
         vector = F.col("vector").cast("array<double>")
         if self.space == "cosine":
@@ -88,15 +100,22 @@ class _Index:
         doc = F.col("doc_id").cast("long") if "doc_id" in data.columns else F.lit(None).cast("long")
         if ids is None:
             data, ids = numbered(data, "_label", self.meta.next_label), "_label"
-        bad = data.agg(F.count_if(F.col("vector").isNull() | (F.size("vector") != self.dim) | F.exists("vector", lambda x: x.isNull())), F.count_if(F.col(ids).isNull() | (F.col(ids) < 0)), F.count("*")).first()
-        if bad[0]:
+        rows = stored(data.select(F.col(ids).cast("long").alias("label"), vector.alias("vector"), doc.alias("doc_id"), F.monotonically_increasing_id().alias("seq")), "incoming")
+        bad = F.col("vector").isNull() | (F.size("vector") != self.dim) | F.exists("vector", lambda x: x.isNull())
+        per = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).join(self.rows.select("label", "deleted"), "label", "left")
+        seen = per.agg(
+            F.sum("n").alias("rows"), F.sum("bad").alias("bad"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("unnamed"),
+            F.count_if(F.col("deleted").isNull()).alias("fresh"), F.count_if("deleted").alias("restored"),
+        ).first().asDict()
+        if seen["bad"]:
             raise RuntimeError("Wrong dimensionality of the vectors")
-        if bad[1]:
+        if seen["unnamed"]:
             raise RuntimeError("The input label shape does not match the input data vector shape")
-        return data.select(F.col(ids).cast("long").alias("label"), vector.alias("vector"), doc.alias("doc_id"), F.monotonically_increasing_id().alias("seq")), bad[2]
+        return rows, seen | {"rows": seen["rows"] or 0}
 
     def _commit(self, rows: DataFrame, **values: Any) -> None:
-        self.rows, self.meta = rows, replace(self.meta, **values)
+        """Make ``rows`` the snapshot: written once, so that no later step computes it again."""
+        self.rows, self.meta, self._pending = stored(rows, "snapshot"), replace(self.meta, **values), 0
 
     def _fits(self, slots: int) -> None:
         if slots > self.meta.max_elements:
@@ -129,13 +148,6 @@ class _Index:
         """All labels, deleted ones included."""
         return self.rows.select("label")
 
-    def checkpoint(self) -> None:
-        """Materialise the snapshot and cut its lineage."""
-        from nearloom.operators.persist import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(self.spark)
-        self.rows = self.rows.checkpoint()
-
     def save_index(self, path_to_index: str) -> None:
         from nearloom.operators.persist import save
 
@@ -188,9 +200,82 @@ class VectorIndex(_Index):
     ef_construction = property(lambda self: self.meta.ef_construction)
     ef = property(lambda self: self.meta.ef)
 
-    def init_index(self, max_elements: int, M: int = 16, ef_construction: int = 200, random_seed: int = 100, allow_replace_deleted: bool = False) -> None:
+    def __init__(self, spark: SparkSession, space: str, dim: int):
+        super().__init__(spark, space, dim)
+        self._edges: DataFrame | None = None
+        self._shards = 0
+        self._stale: list[DataFrame] = []  # labels whose shards' graphs are out of date
+
+    def init_index(self, max_elements: int, M: int = 16, ef_construction: int = 200, random_seed: int = 100, allow_replace_deleted: bool = False, strategy: str = "exact") -> None:
+        """``strategy`` is how queries are answered: ``exact``, or by beam search in proximity ``graph``s, where ``ef`` trades recall for work."""
+        if strategy not in STRATEGIES:
+            raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
         links = min(M, MOST_LINKS)
-        self._init(max_elements=max_elements, M=links, ef_construction=max(ef_construction, links), random_seed=random_seed, allow_replace_deleted=allow_replace_deleted)
+        self._init(max_elements=max_elements, M=links, ef_construction=max(ef_construction, links), random_seed=random_seed, allow_replace_deleted=allow_replace_deleted, strategy=strategy)
+
+    def _changed(self, *labels: DataFrame | None) -> None:
+        if self._edges is not None:
+            self._stale += [df for df in labels if df is not None]
+
+    def edges(self) -> DataFrame:
+        """The graphs' links, a graph per shard of labels; after changes only the shards that they touch are built again.
+
+        Deleted vectors stay in the graph, where the beam passes through them.
+        """
+        self._need()
+        m, parts = self.meta, max(1, -(-self.meta.slots // ann.SHARD))
+        build = lambda rows, shards: stored(ann.build_graph(rows, self.space, m.M, m.ef_construction, m.random_seed, shards=shards), "edges")
+        if self._edges is None or parts > 2 * self._shards:
+            self._edges, self._shards = build(self.rows, parts), parts
+        elif self._stale:
+            shard = ann.shard_of(self._shards)
+            touched = reduce(DataFrame.unionByName, self._stale).select(shard.alias("shard")).distinct()
+            again = build(self.rows.withColumn("shard", shard).join(touched, "shard", "left_semi").drop("shard"), self._shards)
+            self._edges = stored(self._edges.join(touched, "shard", "left_anti").select(*again.columns).unionByName(again), "edges")
+        self._stale = []
+        return self._edges
+
+    def knn_query(self, data: DataFrame, k: int = 1, num_threads: int = -1, filter: Column | Callable | None = None, strict: bool | None = None) -> DataFrame:
+        """As for any index; by the graph strategy approximate, with a beam of ``ef`` or ``k`` if that is more."""
+        if self.meta.strategy == "exact":
+            return super().knn_query(data, k, num_threads, filter, strict)
+        self._need()
+        if k < 1:
+            raise ValueError("k must be at least 1")
+        where = label_filter(filter) if callable(filter) and not isinstance(filter, Column) else filter
+        if strict is None or strict:
+            enough(self.rows, k, where)
+        return ann.graph_search(self.rows, self.edges(), self._queries(data), policies.TopK(k), self.space, max(self.meta.ef, k), where, self._shards)
+
+    def search(self, data: DataFrame, policy: policies.Policy, filter: Column | None = None) -> DataFrame:
+        """The search under any stop policy; by the graph strategy the beam goes on until the policy lets it stop."""
+        if self.meta.strategy == "exact":
+            return super().search(data, policy, filter)
+        return ann.graph_search(self.rows, self.edges(), self._queries(data), policy, self.space, self.meta.ef, filter, self._shards)
+
+    def save_index(self, path_to_index: str) -> None:
+        super().save_index(path_to_index)
+        if self.meta.strategy == "graph":
+            from nearloom.operators.persist import save_edges
+
+            save_edges(path_to_index, self.edges(), self._shards, self.space)
+
+    def load_index(self, path_to_index: str, max_elements: int = 0, allow_replace_deleted: bool = False) -> None:
+        super().load_index(path_to_index, max_elements, allow_replace_deleted)
+        if self.meta.strategy == "graph":
+            from nearloom.operators.persist import load_edges
+
+            self._edges, self._shards = load_edges(self.spark, path_to_index, self.space)
+            self._stale = []
+
+    def to_dict(self) -> dict[str, Any]:
+        return super().to_dict() | {"graph": (self._edges, self._shards, list(self._stale))}
+
+    @classmethod
+    def from_dict(cls, state: dict[str, Any]) -> VectorIndex:
+        out = super().from_dict(state)
+        out._edges, out._shards, out._stale = state["graph"]
+        return out
 
     def set_ef(self, ef: int) -> None:
         self.meta = replace(self.meta, ef=ef)
@@ -199,17 +284,16 @@ class VectorIndex(_Index):
         """Insert or overwrite ``data (vector[, doc_id][, ids])``."""
         if replace_deleted and not self.meta.allow_replace_deleted:
             raise RuntimeError("Replacement of deleted elements is disabled in constructor")
-        rows, count = self._incoming(data, ids)
-        labels = rows.select("label").distinct()
-        known = self.rows.select("label", "deleted").join(labels, "label", "left_semi").agg(F.count("*"), F.count_if("deleted")).first()
-        if self.meta.allow_replace_deleted and not replace_deleted and known[1]:
+        rows, seen = self._incoming(data, ids)
+        if self.meta.allow_replace_deleted and not replace_deleted and seen["restored"]:
             raise RuntimeError("Can't use addPoint to update a deleted element while replacement of deleted elements is enabled.")
-        fresh = labels.count() - known[0]
-        free = self.deleted_count() - known[1] if replace_deleted else 0
-        slots = self.meta.slots + max(0, fresh - free)
+        free = self.deleted_count() - seen["restored"] if replace_deleted else 0
+        slots = self.meta.slots + max(0, seen["fresh"] - free)
         self._fits(slots)
         change = mutations.replace_deleted if replace_deleted else mutations.upsert
-        self._commit(change(self.rows, rows, self.meta.slots), slots=slots, next_label=self.meta.next_label + count)
+        before = self.rows
+        self._commit(change(before, rows, self.meta.slots), slots=slots, next_label=self.meta.next_label + seen["rows"])
+        self._changed(rows.select("label"), before.select("label").join(self.rows.select("label"), "label", "left_anti") if replace_deleted else None)
 
     def deleted_count(self) -> int:
         return self.rows.where("deleted").count()
@@ -224,7 +308,12 @@ class VectorIndex(_Index):
             raise RuntimeError("The requested to delete element is already deleted")
         if not deleted and state[1] != state[2]:
             raise RuntimeError("The requested to undelete element is not deleted")
-        self._commit(mutations.with_flag(self.rows, wanted, deleted))
+        # Only the labels are written; the vectors again only after so many changes.
+        rows = mutations.with_flag(self.rows, stored(wanted, "flags"), deleted)
+        if self._pending + 1 >= MOST_PENDING:
+            self._commit(rows)
+        else:
+            self.rows, self._pending = rows, self._pending + 1
 
     def mark_deleted(self, label: Iterable[int] | DataFrame | int) -> None:
         self._flag(label, True)
@@ -259,11 +348,11 @@ class VectorIndex(_Index):
     def index_file_size(self) -> int:
         """Bytes of a saved graph of this size: header, level-0 block and, per element, its upper levels.
 
-        Upper levels are drawn as the graph strategy draws them, from the seed.
+        The levels are those of the graph's elements; without a graph, those that it would give them.
         """
         from nearloom.operators.persist import graph_bytes
 
-        return graph_bytes(self.rows, self.meta)
+        return graph_bytes(self.rows, self.meta, self.edges() if self.meta.strategy == "graph" else None)
 
 
 class FlatIndex(_Index):
@@ -275,18 +364,17 @@ class FlatIndex(_Index):
         self._init(max_elements=max_elements)
 
     def add_items(self, data: DataFrame, ids: str | None = None) -> None:
-        rows, count = self._incoming(data, ids)
-        labels = rows.select("label").distinct()
-        slots = self.meta.slots + labels.join(self.rows.select("label"), "label", "left_anti").count()
+        rows, seen = self._incoming(data, ids)
+        slots = self.meta.slots + seen["fresh"]
         self._fits(slots)
         next_slot = self.rows.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
-        self._commit(mutations.upsert(self.rows, rows, next_slot), slots=slots, next_label=self.meta.next_label + count)
+        self._commit(mutations.upsert(self.rows, rows, next_slot), slots=slots, next_label=self.meta.next_label + seen["rows"])
 
     def delete_vector(self, label: Iterable[int] | DataFrame | int) -> None:
         """Remove labels; unknown ones are ignored."""
         self._need()
-        rows = mutations.removed(self.rows, as_labels(self.spark, label))
-        self._commit(rows, slots=rows.count())
+        self._commit(mutations.removed(self.rows, as_labels(self.spark, label)))
+        self.meta = replace(self.meta, slots=self.rows.count())
 
 
 class LazyIndex(VectorIndex):

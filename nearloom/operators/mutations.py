@@ -1,7 +1,9 @@
 """Changes of a vector table, as functions from one immutable snapshot to the next.
 
 A snapshot is ``(label, vector, doc_id, deleted, slot)``: one row per slot.
-Errors are found eagerly by one small aggregate; the new snapshot is lazy.
+Errors are found eagerly by one small aggregate; the new snapshot is lazy, but
+what numbers its slots is materialised (:mod:`nearloom.operators.rows`), and
+only labels and slots are sorted for that, never vectors.
 """
 
 from __future__ import annotations
@@ -24,25 +26,27 @@ def last_written(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(now: DataFrame, rows: DataFrame, count: int) -> DataFrame:
-    """``rows (label, vector, doc_id)`` written over ``now`` of ``count`` slots.
+def _written(rows: DataFrame) -> DataFrame:
+    return last_written(rows).select("label", F.col("vector").cast("array<double>").alias("_v"), F.col("doc_id").alias("_d"), F.lit(True).alias("_new"))
 
-    A known label keeps its slot, and is restored if it was deleted; new
-    labels take the next slots in order of their first appearance's label.
-    """
-    new = last_written(rows).select("label", F.col("vector").cast("array<double>").alias("_v"), F.col("doc_id").alias("_d"), F.lit(True).alias("_new"))
-    both = now.join(new, "label", "full")
-    merged = both.select(
+
+def _over(now: DataFrame, new: DataFrame, slots: DataFrame) -> DataFrame:
+    """``new`` (:func:`_written`) over ``now``; labels that ``now`` lacks take theirs of ``slots (label, _slot)``."""
+    both = now.join(new, "label", "full").join(slots, "label", "left")
+    return both.select(
         "label", F.when(F.col("_new"), F.col("_v")).otherwise(F.col("vector")).alias("vector"), F.when(F.col("_new"), F.col("_d")).otherwise(F.col("doc_id")).alias("doc_id"),
-        F.when(F.col("_new"), False).otherwise(F.col("deleted")).alias("deleted"), "slot",
+        F.when(F.col("_new"), False).otherwise(F.col("deleted")).alias("deleted"), F.coalesce("slot", "_slot").alias("slot"),
     )
-    return _fill_slots(merged, count)
 
 
-def _fill_slots(rows: DataFrame, count: int) -> DataFrame:
-    """Number rows without a slot from ``count`` on, in order of label."""
-    old, new = rows.where(F.col("slot").isNotNull()), rows.where(F.col("slot").isNull())
-    return old.unionByName(ranked(new, "slot", ["label"], count)).select(*COLUMNS)
+def upsert(now: DataFrame, rows: DataFrame, count: int) -> DataFrame:
+    """``rows (label, vector, doc_id)`` written over ``now`` of ``count`` slots.
+
+    A known label keeps its slot, and is restored if it was deleted; new
+    labels take the next slots in order of label.
+    """
+    fresh = rows.select("label").distinct().join(now.select("label"), "label", "left_anti")
+    return _over(now, _written(rows), ranked(fresh, "_slot", ["label"], count))
 
 
 def ranked(rows: DataFrame, name: str, keys: list[str], start: int = 0) -> DataFrame:
@@ -57,18 +61,13 @@ def replace_deleted(now: DataFrame, rows: DataFrame, count: int) -> DataFrame:
 
     The label that the slot had vanishes.
     """
-    new = last_written(rows).select("label", F.col("vector").cast("array<double>").alias("vector"), "doc_id")
-    known = new.join(now.select("label"), "label", "left_semi")
-    fresh = ranked(new.join(now.select("label"), "label", "left_anti"), "_rank", ["label"])
+    labels = rows.select("label").distinct()
+    fresh = ranked(labels.join(now.select("label"), "label", "left_anti"), "_rank", ["label"])
     # A deleted label that is written again is not free.
-    free = now.where("deleted").join(known.select("label"), "label", "left_anti")
-    free = ranked(free.select("slot"), "_rank", ["slot"])
-    placed = fresh.join(free.withColumnRenamed("slot", "_slot"), "_rank", "left")
-    taken = placed.where(F.col("_slot").isNotNull()).select(F.col("_slot").alias("slot"))
-    left = now.join(taken, "slot", "left_anti").select(*COLUMNS)
-    moved = placed.where(F.col("_slot").isNotNull()).select("label", "vector", "doc_id", F.lit(False).alias("deleted"), F.col("_slot").alias("slot"))
-    rest = placed.where(F.col("_slot").isNull()).select("label", "vector", "doc_id")
-    return upsert(left.unionByName(moved), known.unionByName(rest), count)
+    free = ranked(now.where("deleted").select("label", "slot").join(labels, "label", "left_anti").select(F.col("slot").alias("_free")), "_rank", ["_free"])
+    slots = fresh.join(free, "_rank", "left").select("label", F.coalesce("_free", F.col("_rank") + count - free.count()).alias("_slot"))
+    left = now.join(slots.select(F.col("_slot").alias("slot")), "slot", "left_anti").select(*COLUMNS)
+    return _over(left, _written(rows), slots)
 
 
 def with_flag(now: DataFrame, labels: DataFrame, deleted: bool) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Saved indexes: a folder with ``meta`` (one row) and ``vectors``, both Parquet."""
+"""Saved indexes: a folder with ``meta`` (one row), ``vectors`` and, of a graph, ``edges``, all Parquet."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import asdict, fields
 from typing import TYPE_CHECKING
 
@@ -17,19 +15,6 @@ if TYPE_CHECKING:
 HEADER, LINK, COUNT, LABEL = 96, 4, 4, 8
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where it names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='nearloom-')}")
-    return sc.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def save(spark: SparkSession, path: str, meta: Meta, rows: DataFrame) -> None:
     spark.createDataFrame([asdict(meta)]).write.mode("overwrite").parquet(f"{path}/meta")
     rows.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -49,16 +34,26 @@ def load(spark: SparkSession, path: str) -> tuple[Meta, DataFrame]:
     return meta, rows
 
 
-def levels(rows: DataFrame, links: int, seed: int) -> DataFrame:
-    """``(slot, level)``: geometric levels from a low-discrepancy sequence over the slots, begun at ``seed``."""
-    turn = (F.col("slot") + 1 + seed) * F.lit(0.6180339887498949)
-    unit = 1.0 - (turn - F.floor(turn))
-    return rows.select("slot", F.floor(-F.log(unit) / F.log(F.lit(float(links)))).cast("int").alias("level"))
+def save_edges(path: str, edges: DataFrame, shards: int, space: str) -> None:
+    edges.withColumns({"shards": F.lit(shards), "space": F.lit(space)}).write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load_edges(spark: SparkSession, path: str, space: str) -> tuple[DataFrame | None, int]:
+    """The saved graphs and their number, or none if they were built for another distance."""
+    rows = spark.read.parquet(f"{path}/edges")
+    first = rows.select("shards", "space").first()
+    return (rows.drop("shards", "space"), first["shards"]) if first and first["space"] == space else (None, 0)
+
 
+def graph_bytes(rows: DataFrame, meta: Meta, edges: DataFrame | None = None) -> int:
+    """The size formula of a saved graph, with the levels that its elements have in ``edges`` or would be given."""
+    from nearloom.operators.graph import level_of
 
-def graph_bytes(rows: DataFrame, meta: Meta) -> int:
-    """The size formula of a saved graph."""
     base = meta.dim * 4 + LABEL + (2 * meta.M * LINK + COUNT)
     upper = meta.M * LINK + COUNT
-    total = levels(rows, meta.M, meta.random_seed).agg(F.count("*"), F.coalesce(F.sum("level"), F.lit(0))).first()
+    total = (
+        rows.agg(F.count("*"), F.coalesce(F.sum(level_of(F.col("label"), meta.M, meta.random_seed)), F.lit(0)))
+        if edges is None
+        else edges.agg(F.count_if(F.col("level") == 0), F.count_if(F.col("level") > 0))
+    ).first()
     return HEADER + total[0] * (base + COUNT) + total[1] * upper

@@ -2,7 +2,9 @@
 
 A policy says twice how long the prefix is: per task over sorted arrays, to
 keep the shuffle small, and over all candidates as a window expression.  The
-first must keep at least what the second will.
+first must keep every row that the second reads to find the end: a row that
+ends the answer without being part of it must be kept too, or the rows of
+other tasks behind it would be taken for the answer.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ class Policy(Protocol):
         """How many of the nearest any answer can hold, if that is known beforehand."""
 
     def prefix(self, distance: np.ndarray, doc: np.ndarray) -> int:
-        """The length of the prefix of one task's candidates, sorted nearest first."""
+        """The length of the prefix of one task's candidates, sorted nearest first, with the row that ends it."""
 
     def choose(self, ranked: DataFrame) -> DataFrame:
         """The answer, of all ``(query_id, label, doc_id, distance)``; adds ``rank`` from 1."""
@@ -79,7 +81,7 @@ class Documents:
         _, first = np.unique(doc, return_index=True)
         if len(first) <= self.count:
             return len(doc)
-        return int(np.sort(first)[self.count])
+        return int(np.sort(first)[self.count]) + 1  # with the first row of one document too many
 
     def choose(self, ranked: DataFrame) -> DataFrame:
         of_doc = Window.partitionBy("query_id", "doc_id").orderBy("distance", "label")

@@ -2,8 +2,8 @@
 
 Queries of a checked size travel to the tasks that scan the base table: each
 task keeps a prefix per query, so the base is read once, in place, and only
-prefixes are shuffled.  More queries than that are cut in batches and the base
-in blocks, and each pair of pieces is one task's work.
+prefixes are shuffled.  For more queries than that the base is cut in blocks,
+and batches of queries pass by each block.
 """
 
 from __future__ import annotations
@@ -120,20 +120,22 @@ def search(base: DataFrame, queries: DataFrame, space: str | Callable[[Column, C
     if metrics is not None:
         live = live.observe(metrics, F.count(F.lit(1)).alias("candidates"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    if callable(space):
-        return policy.choose(_by_column(live, asked, space, policy)).select("query_id", "rank", "label", "doc_id", "distance")
+    # Counted before anything is fetched: few vectors may be long ones.
+    size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    small = size[0] <= SENT_QUERIES and size[1] <= SENT_VALUES
+    if callable(space) and not isinstance(space, distances.Distance):
+        found = _by_column(live, asked, space, size[0], small and size[0] <= BATCH)
+        return policy.choose(found).select("query_id", "rank", "label", "doc_id", "distance")
     distances.check_space(space)
     ship(base.sparkSession)
     radius = policy.epsilon if isinstance(policy, Radius) else None
-    sent = asked.limit(SENT_QUERIES + 1).toArrow()
-    values = sum(len(c.flatten()) for c in sent.column("vector").chunks)
-    small = sent.num_rows <= SENT_QUERIES and values <= SENT_VALUES
-    found = _by_scan(live, sent, space, policy, radius) if small else _by_pieces(live, asked, space, policy, radius)
+    found = _by_scan(live, asked.toArrow(), space, policy, radius) if small else _by_pieces(live, asked, space, policy, radius)
     return policy.choose(found).select("query_id", "rank", "label", "doc_id", "distance")
 
 
 def _by_scan(live: DataFrame, sent: pa.Table, space: str, policy: Policy, radius: float | None) -> DataFrame:
     ids = sent.column("query_id").to_numpy()
+    whole = isinstance(policy, Radius) and policy.most is None
     asked = live.sparkSession.sparkContext.broadcast((ids, matrix(sent.column("vector"), None)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,48 +144,90 @@ def _by_scan(live: DataFrame, sent: pa.Table, space: str, policy: Policy, radius
         for b in batches:
             if b.num_rows and len(ids):
                 _scan(kept, queries, b.column(0).to_numpy(), _docs(b.column(2)), matrix(b.column(1), queries.shape[1]), space, policy, radius)
+            if whole:  # a row is an answer whatever the others are: nothing is held
+                yield _rows(ids, kept)
+                kept = [_Kept() for _ in ids]
         yield _rows(ids, kept)
 
     return live.select("label", "vector", "doc_id").mapInArrow(run, FOUND)
 
 
-def _by_pieces(live: DataFrame, asked: DataFrame, space: str, policy: Policy, radius: float | None) -> DataFrame:
-    blocks, batches = (max(1, -(-df.count() // size)) for df, size in ((live, BLOCK), (asked, BATCH)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = live.select("label", "vector", "doc_id", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("b"), every(batches).alias("s"))
-    right = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("s"), every(blocks).alias("b"))
-
-    def run(own: pa.Table, ask: pa.Table) -> pa.Table:
-        ids = ask.column("query_id").to_numpy()
-        kept = [_Kept() for _ in ids]
-        if own.num_rows and ask.num_rows:
-            queries = matrix(ask.column("vector"), None)
-            _scan(kept, queries, own.column("label").to_numpy(), _docs(own.column("doc_id")), matrix(own.column("vector"), queries.shape[1]), space, policy, radius)
-        return pa.Table.from_batches([_rows(ids, kept)])
+#: Queries that pass by a block in one task: the block is copied once per so many.
+LANE = 65_536
 
-    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, FOUND)
 
+def _by_pieces(live: DataFrame, asked: DataFrame, space: str, policy: Policy, radius: float | None) -> DataFrame:
+    """A task takes in a block of the base and then lets batches of queries pass by; it holds one of each."""
+    blocks, lanes = (max(1, -(-df.count() // size)) for df, size in ((live, BLOCK), (asked, LANE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None).cast("long")
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = live.select(dealt("label", blocks).alias("b"), every(lanes).alias("s"), F.lit(0).alias("ask"), F.col("label").alias("id"), "vector", "doc_id")
+    right = asked.select(every(blocks).alias("b"), dealt("query_id", lanes).alias("s"), F.lit(1).alias("ask"), F.col("query_id").alias("id"), "vector", none.alias("doc_id"))
+    both = left.withColumn("vector", F.col("vector").cast("array<double>")).unionByName(right.withColumn("vector", F.col("vector").cast("array<double>")))
+    both = both.repartition(blocks * lanes, "b", "s").sortWithinPartitions("b", "s", "ask")
 
-def _by_column(live: DataFrame, asked: DataFrame, distance: Callable[[Column, Column], Column], policy: Policy) -> DataFrame:
-    """Pairs of pieces joined on the pieces' numbers, with the distance as an expression."""
-    batches = max(1, -(-asked.count() // BATCH))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ask: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if ask and own:
+                label, doc, base = (np.concatenate(x) for x in zip(*own, strict=True))
+                own[:] = [(label, doc, base)]
+                ids, queries = (np.concatenate(x) for x in zip(*ask, strict=True))
+                for i in range(0, len(ids), BATCH):
+                    kept = [_Kept() for _ in ids[i : i + BATCH]]
+                    _scan(kept, queries[i : i + BATCH], label, doc, base, space, policy, radius)
+                    yield _rows(ids[i : i + BATCH], kept)
+            ask.clear()
+
+        for whole in batches:
+            keys = np.stack([whole.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if i == j:
+                    continue
+                b, key = whole.slice(i, j - i), (int(keys[i][0]), int(keys[i][1]))
+                if key != at:
+                    yield from answer()
+                    own.clear()
+                    at = key
+                if keys[i][2] == 0:
+                    own.append((b.column(3).to_numpy(), _docs(b.column(5)), matrix(b.column(4), own[0][2].shape[1] if own else None)))
+                else:
+                    ask.append((b.column(3).to_numpy(), matrix(b.column(4), own[0][2].shape[1] if own else None)))
+                    if sum(len(x[0]) for x in ask) >= BATCH:
+                        yield from answer()
+        yield from answer()
+
+    return both.mapInArrow(run, FOUND)
+
+
+def _by_column(live: DataFrame, asked: DataFrame, distance: Callable[[Column, Column], Column], count: int, small: bool) -> DataFrame:
+    """Pairs of pieces joined on the pieces' numbers, with the distance as an expression; one checked batch is broadcast."""
+    batches = max(1, -(-count // BATCH))
     ask = asked.select("query_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int").alias("s"))
     rows = live.select("label", "doc_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("s"))
-    found = rows.join(F.broadcast(ask) if batches == 1 else ask, "s")  # one batch: at most BATCH queries
+    found = rows.join(F.broadcast(ask) if small else ask, "s")
     return found.select("query_id", "label", "doc_id", distance(F.col("_q"), F.col("vector")).cast("double").alias("distance"))
 
 
+def enough(base: DataFrame, k: int, where: Column | None = None) -> None:
+    """Raise if there are fewer than ``k`` rows that a query may find; it is the same for every query."""
+    live = base.where(~F.col("deleted"))
+    if (live if where is None else live.where(where)).limit(k).count() < k:
+        raise RuntimeError("Cannot return the results in a contiguous 2D array: some queries have fewer than k neighbours")
+
+
 def knn(base: DataFrame, queries: DataFrame, k: int = 1, space: str | Callable[[Column, Column], Column] = "l2", where: Column | None = None, strict: bool = False) -> DataFrame:
-    """The ``k`` nearest of each query; with ``strict`` a query that has fewer raises."""
+    """The ``k`` nearest of each query; with ``strict`` it raises if any query would have fewer."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    found = search(base, queries, space, TopK(k), where)
-    if not strict:
-        return found
-    short = queries.select(F.col("query_id").cast("long").alias("query_id")).join(found.groupBy("query_id").count(), "query_id", "left")
-    if not short.where(F.coalesce("count", F.lit(0)) < k).isEmpty():
-        raise RuntimeError("Cannot return the results in a contiguous 2D array: some queries have fewer than k neighbours")
-    return found
+    if strict:
+        enough(base, k, where)
+    return search(base, queries, space, TopK(k), where)
 
 
 def wide(found: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from nearloom.operators import ann, mutations, policies
 from nearloom.operators import search as exact
 from nearloom.operators.codecs import series as codecs
 from nearloom.operators.index import FlatIndex, LazyIndex, ObjectIndex, VectorIndex
-from nearloom.operators.persist import shared_path
+from nearloom.shared import shared_path
 from nearloom.sources import matrices, vecs
 from nearloom.streaming import maintain
 

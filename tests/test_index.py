@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearloom.operators import mutations
+from nearloom.operators import ann, mutations, search
 from nearloom.operators.index import FlatIndex, LazyIndex, ObjectIndex, VectorIndex
 from nearloom.operators.rows import numbered
 from nearloom.sources import matrices, vecs
@@ -137,6 +137,70 @@ def test_flat_lazy_and_object_indexes(spark):
     assert named.knn_query(frame(spark, [9])).first()["external_id"] == "n9"
 
 
+def test_numbers_do_not_depend_on_how_jobs_partition(spark):
+    rows = spark.range(50_000).select(((F.col("id") * 7919) % 50_000).alias("label"), F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: (F.col("id") * i).cast("double")).alias("vector"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400k")
+        index = VectorIndex(spark, "l2", 24)
+        index.init_index(max_elements=60_000, allow_replace_deleted=True)
+        index.add_items(rows, ids="label")
+        dense = lambda df, c: tuple(df.agg(F.min(c), F.max(c), F.count_distinct(c), F.count("*")).first())
+        assert dense(index.rows, "slot") == (0, 49_999, 50_000, 50_000) and index.rows.where("slot <> label").count() == 0
+        index.mark_deleted(rows.where("label % 5 = 0").select("label"))
+        index.add_items(rows.where("label < 15000").withColumn("label", F.col("label") + 100_000), ids="label", replace_deleted=True)
+        assert dense(index.rows, "slot") == (0, 54_999, 55_000, 55_000) and index.rows.where("deleted").count() == 0
+        assert dense(index.rows, "label")[2:] == (55_000, 55_000) and index.rows.where("label >= 100000 AND slot < 50000").count() == 10_000
+        plain = VectorIndex(spark, "l2", 24)
+        plain.init_index(max_elements=60_000)
+        plain.add_items(rows.select("vector").repartition(40))
+        assert dense(plain.rows, "label") == (0, 49_999, 50_000, 50_000)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_graph_strategy_answers_saves_and_repairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 200)
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 8))
+    table = lambda ids, x: spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "label long, vector array<double>")
+    asked = table(range(30), rng.random((30, 8))).withColumnRenamed("label", "query_id")
+    index = VectorIndex(spark, "l2", 8)
+    index.init_index(max_elements=700, ef_construction=60, strategy="graph", allow_replace_deleted=True)
+    index.add_items(table(range(600), x), ids="label")
+    exact = lambda i: search.knn(i.rows, asked, 5)
+    recall = lambda i: search.recall(i.knn_query(asked, k=5), exact(i)).first()["recall"]
+    index.set_ef(5)
+    low = recall(index)
+    index.set_ef(80)
+    assert low <= recall(index) and recall(index) >= 0.95
+    index.mark_deleted(list(range(0, 600, 4)))
+    assert recall(index) >= 0.95 and index.knn_query(asked, k=5).where("label % 4 = 0").count() == 0
+    before = {(r["shard"], r["level"], r["src"]): r["dst"] for r in index.edges().collect()}
+    index.add_items(table(range(1000, 1030), rng.random((30, 8))), ids="label", replace_deleted=True)
+    assert recall(index) >= 0.95
+    nodes = {r["src"] for r in index.edges().where("level = 0").collect()}
+    assert nodes == {r["label"] for r in index.rows.collect()} and set(range(1000, 1030)) <= nodes
+    index.add_items(table([2], x[2:3] + 0.5), ids="label")
+    now = {(r["shard"], r["level"], r["src"]): r["dst"] for r in index.edges().collect()}
+    assert len({k[0] for k in now}) == len({k[0] for k in before}) == 3
+    size = index.index_file_size()
+    assert size == 96 + 600 * (8 * 4 + 8 + 132 + 4) + 68 * sum(1 for k in now if k[1] > 0)
+    index.save_index(str(tmp_path / "g"))
+    back = VectorIndex(spark, "l2", 8)
+    back.load_index(str(tmp_path / "g"))
+    assert sorted(map(str, back.edges().collect())) == sorted(map(str, index.edges().collect()))
+    assert sorted(back.knn_query(asked, k=5).collect()) == sorted(index.knn_query(asked, k=5).collect())
+    assert index.clone().index_file_size() == size
+    flat = VectorIndex(spark, "l2", 8)
+    flat.init_index(max_elements=600)
+    flat.add_items(table(range(600), x), ids="label")
+    with pytest.raises(ValueError):
+        VectorIndex(spark, "l2", 8).init_index(5, strategy="tree")
+
+
 def test_python_filter(spark, index):
     found = index.knn_query(frame(spark, [0, 5]), k=2, filter=lambda label: label % 2 == 1).collect()
     assert {r["label"] for r in found} == {1, 3, 5}

@@ -95,6 +95,49 @@ def test_radius_and_documents(spark, data):
         assert labels == order[:n]
 
 
+def slow_documents(order, docs, count):
+    n = next(n for n in range(len(order) + 1) if n == len(order) or len({docs[j] for j in order[: n + 1]}) > count)
+    return order[:n]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_document_prefixes_over_many_batches_and_tasks(spark, data, parts):
+    x, q = data
+    docs = [int(i) * 7 % 11 for i in range(300)]
+    base = make(spark, x, docs).repartition(parts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = got(search.search(base, ask(spark, q), "ip", policies.Documents(4)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == {i: slow_documents(slow(x, [v], "ip", 300)[0], docs, 4) for i, v in enumerate(q)}
+
+
+def test_own_distance_with_a_kernel_or_without(spark, data):
+    x, q = data
+    by_kernel = got(search.knn(make(spark, x), ask(spark, q), 10, distances.l1))
+    assert by_kernel == got(search.knn(make(spark, x), ask(spark, q), 10, distances.l1.column))
+    assert by_kernel[0] == np.lexsort((np.arange(300), np.abs(x - q[0]).sum(axis=1)))[:10].tolist()
+
+
+def test_beam_filters_deletes_and_stops(spark):
+    rng = np.random.default_rng(5)
+    x, q = rng.random((900, 8)), rng.random((20, 8))
+    docs = [int(i) % 40 for i in range(900)]
+    base, asked = make(spark, x, docs, deleted=set(range(0, 900, 3))), ask(spark, q)
+    edges = ann.build_graph(base, links=12, ef_construction=60, shard_rows=450)
+    where = F.col("label") % 2 == 1
+    for policy, ef in ((policies.TopK(8), 60), (policies.Radius(0.25), 30), (policies.Radius(0.25, most=4), 40), (policies.Documents(5), 25)):
+        truth = search.search(base, asked, "l2", policy, where)
+        seen = Observation("beam")
+        found = ann.graph_search(base, edges, asked, policy, "l2", ef, where, metrics=seen)
+        assert found.where("label % 3 = 0 OR label % 2 = 0").count() == 0
+        assert search.recall(found, truth).first()["recall"] >= 0.95, policy
+        assert seen.get["computed"] > seen.get["hops"] > 0
+    assert ann.graph_search(base, edges, asked, policies.TopK(3), where=F.lit(False)).count() == 0
+
+
 def test_metrics_count_candidates(spark, data):
     x, q = data
     seen = Observation("search")
