@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearloom.llm.runtime import small_batches, stored
+from nearloom.llm.runtime import ship, slices, stored
 
 #: Pieces that one task packs together; each group wastes less than a sequence more than the whole would.
 GROUP = 4_000
@@ -110,13 +110,13 @@ def tokenised(docs: DataFrame, path: str, end_id: int, tokens: int, id_col: str
     A document of more than ``tokens`` ids is cut so that all its pieces but
     the first are full.  Null texts are empty: one piece, of ``end_id`` alone.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for r, text in enumerate(b.column(1).to_pylist()):
                 ids = memoryview(ids_of(text) + end)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearloom.llm import pieces
-from nearloom.llm.runtime import small_batches
+from nearloom.llm.runtime import ship, slices
 
 #: Encodings that a Python worker keeps from batch to batch, and the longest pre-token kept.
 KEPT, LONG = 300_000, 64
@@ -116,14 +116,14 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     All rows and other columns are kept; a clashing column named ``ids_col``
     is replaced.  No shuffle.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c != ids_col]
     rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text_to_encode"))
     schema = docs.select(*kept).withColumn(ids_col, F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bytes] = {}
-        for b in batches:
+        for b in slices(batches):
             if len(known) > KEPT:
                 known.clear()
             found = [encode_bytes(t, model_path, known) for t in b.column(b.num_columns - 1).to_pylist()]
@@ -140,16 +140,16 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     Decoding an encoded text gives the text back, except that U+2581 comes
     back as a space.
     """
-    small_batches(rows.sparkSession)
+    ship(rows.sparkSession)
     kept = [c for c in rows.columns if c != text_col]
     ready = rows.select(*kept, F.col(ids_col).cast("array<int>").alias("_ids_to_decode"))
     schema = rows.select(*kept).withColumn(text_col, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lists = b.column(b.num_columns - 1).fill_null([])
-            values = lists.values
-            ids, ends = values.to_pylist() if values.null_count else values.to_numpy().tolist(), lists.offsets.to_numpy().tolist()
+            values, ends = lists.flatten(), lists.offsets.to_numpy()
+            ids, ends = values.to_pylist() if values.null_count else values.to_numpy().tolist(), (ends - ends[0]).tolist()
             texts = pa.array([decode_ids(ids[i:j], model_path) for i, j in zip(ends, ends[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], [*kept, text_col])
 

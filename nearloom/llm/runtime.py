@@ -1,55 +1,22 @@
-"""Session helpers shared by the corpus operators."""
+"""What the corpus operators share: Python workers, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 
 from nearloom.session import ship
+from nearloom.shared import cut, shared_path, stored
 
-#: Rows in one Arrow batch sent to a Python worker; texts may be long, so far fewer than the default.
-ARROW_ROWS = 256
+__all__ = ["cut", "shared_path", "ship", "slices", "stored"]
 
+#: Rows that a Python worker turns into objects at once; Arrow batches themselves are bounded by their bytes.
+ROWS = 256
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Make Python workers ready: the package is shipped, and the rows of an Arrow batch, hence memory, are bounded."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a plain local shell) a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not named:
-        named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='nearloom-')}"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder, as a URI."""
-    top = shared_dir(spark)
-    if "://" not in top and not top.startswith("file:"):
-        top = f"file://{os.path.abspath(top)}"
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Like :func:`cut`, as compressed Parquet: for rows that are many or wide."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of at most ``rows``; empty batches are left out."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -1,34 +1,42 @@
-"""SimHash near-duplicates through the radius-1 balls of whole fingerprints.
-
-Two fingerprints that differ in at most two bits can each change at most one
-bit and become the same value: so every fingerprint is entered under each of
-the 65 values within one bit of it; members of one entry are fetched together
-and their complete distance is verified.
-
-This is not a multi-index with tables keyed by segments.  Those were given up:
-with a segment as the key a large family of near copies would share one
-bucket, and its candidates would be the family's square, while an entry keyed
-by the whole value can hold at most 65 different fingerprints.  The masks are
-listed by segment, but are the same for every number of segments that divides
-64.
+"""SimHash near-duplicates by multi-index hashing.
+
+Norouzi, Punjani and Fleet, "Fast Search in Hamming Space with Multi-Index
+Hashing" (2012).  A fingerprint is cut in segments and entered once in a table
+per segment, under the segment's value.  Two fingerprints of at most r
+differing bits have a segment in which they differ in few of them, so probes
+enumerate that segment's small Hamming ball, fetch what the table holds under
+each value, and verify complete distances.
+
+A bucket of a table may hold a large family of near copies.  One with more
+than ``LARGE`` members is split: its members are entered again under the
+values of the segments of what is still free in them, and a probe that came
+to it enumerates the balls of those within what is left of its r bits.  After
+two such steps the key is the whole fingerprint, so no bucket stays large,
+and nothing is dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearloom.llm.components import components
-from nearloom.llm.runtime import cut, small_batches
+from nearloom.llm.runtime import cut, ship, slices, stored
 
 SEED = 42
 SHINGLE = 3
-SEGMENTS = 4
+SEGMENTS = 2
+#: Members of a bucket that each probe is compared with; a larger one is split.
+LARGE = 64
+#: Buckets to be split that are few enough to be broadcast (24 bytes each).
+FEW_BUCKETS = 50_000
 #: Shingles whose bits are unpacked at once: bounds memory on very long texts.
 CHUNK = 1 << 15
 
@@ -53,10 +61,10 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed 64-bit integer, one row per row of ``docs``."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((simhash(t) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -64,31 +72,110 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def _ball(segments: int) -> list[int]:
-    """Masks that move a fingerprint to every member of the radius-1 ball of each of its segments."""
-    width = 64 // segments
-    masks = [0] + [1 << (s * width + i) for s in range(segments) for i in range(width)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def radii(bits: int, segments: int) -> list[int]:
+    """Radii of the segments' balls such that two fingerprints of ``bits`` differing bits meet in one of them; -1: none needed."""
+    each, more = divmod(bits, segments)
+    return [each if i <= more else each - 1 for i in range(segments)]
 
 
-def links(classes: DataFrame, segments: int = SEGMENTS, max_bits: int = 2) -> DataFrame:
-    """Edges ``(a, b)`` between the representatives of fingerprints at ``max_bits`` (at most 2) or fewer differing bits.
+def _ball(mask: int, radius: int) -> list[int]:
+    """All changes of at most ``radius`` of the bits of ``mask``."""
+    ones = [1 << i for i in range(64) if mask >> i & 1]
+    return [sum(c) for r in range(radius + 1) for c in combinations(ones, r)]
 
-    ``classes`` has one row ``(fp, rep)`` per different fingerprint.  The
-    members of an entry are joined to its smallest one, so edges grow with
-    the entries, not with their squares; whatever is linked stays connected.
+
+def _cut_up(mask: int, segments: int) -> list[int]:
+    """The bits of ``mask`` in so many runs."""
+    ones = [i for i in range(64) if mask >> i & 1]
+    return [sum(1 << i for i in ones[k * len(ones) // segments : (k + 1) * len(ones) // segments]) for k in range(segments)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+ALL = (1 << 64) - 1
+
+
+class _Table(NamedTuple):
+    fixed: int  # the bits that its keys hold
+    segment: int  # of those, the ones that its probes change
+    parent: int | None  # the table whose large buckets it splits
+    place: int  # among the tables of one parent
+    among: int  # how many those are
+
+
+def _tables(parents: list[_Table | None], segments: int) -> list[_Table]:
+    """Under each parent a table per segment of its free bits; the last step leaves nothing free."""
+    out = []
+    for i, p in enumerate(parents):
+        free = ALL & ~p.fixed if p else ALL
+        parts = _cut_up(free, segments)
+        out += [_Table((p.fixed if p else 0) | m, m, i if p else None, k, segments) for k, m in enumerate(parts)]
+    return out
+
+
+def _members(rows: DataFrame, tables: list[_Table]) -> DataFrame:
+    """``(table, key, fp, rep)``: ``rows (fp, rep, parent)`` entered in each table of their parent."""
+    known = [(i, -1 if t.parent is None else t.parent, _signed(t.fixed)) for i, t in enumerate(tables)]
+    known = rows.sparkSession.createDataFrame(known, "table int, parent int, fixed long")
+    # A row per table: a handful.
+    return rows.join(F.broadcast(known), "parent").select("table", F.col("fp").bitwiseAND(F.col("fixed")).alias("key"), "fp", "rep")
+
+
+def _probes(rows: DataFrame, tables: list[_Table], max_bits: int) -> DataFrame:
+    """``(table, key, fp, rep, flips)``: ``rows (fp, rep, flips, parent)`` with each member of the balls that may meet."""
+    balls = []
+    for i, t in enumerate(tables):
+        for left in [max_bits] if t.parent is None else range(max_bits + 1):
+            radius = radii(left, t.among)[t.place]
+            if radius >= 0:
+                balls += [(i, -1 if t.parent is None else t.parent, left, _signed(m), _signed(t.fixed)) for m in _ball(t.segment, radius)]
+    known = rows.sparkSession.createDataFrame(balls, "table int, parent int, left int, change long, fixed long")
+    # A row per member of a ball: fixed by the parameters, not by the data.
+    out = rows.withColumn("left", F.lit(max_bits) - F.bit_count("flips")).join(F.broadcast(known), ["parent", "left"])
+    out = out.select("table", "fp", "rep", F.col("flips").bitwiseXOR(F.col("change")).alias("flips"), "fixed")
+    return out.select("table", F.col("fp").bitwiseXOR(F.col("flips")).bitwiseAND(F.col("fixed")).alias("key"), "fp", "rep", "flips")
+
+
+def _met(probes: DataFrame, members: DataFrame, max_bits: int) -> DataFrame:
+    """``(a, b)`` of probes and members of one bucket whose complete distance is small."""
+    m = members.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp"))) <= max_bits
+    at = (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k"))
+    return probes.join(m, at & near & (F.col("fp") < F.col("_fp"))).select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
+
+
+def links(classes: DataFrame, segments: int = SEGMENTS, max_bits: int = 2, large: int = LARGE) -> DataFrame:
+    """Edges ``(a, b)`` between the representatives of all pairs of fingerprints at ``max_bits`` or fewer differing bits.
+
+    ``classes`` has one row ``(fp, rep)`` per different fingerprint.  Each
+    link is found, once; a fingerprint has no more links than there are
+    fingerprints so near to it.  No fingerprints give no rows.
     """
-    if max_bits not in (1, 2):
-        raise ValueError("the radius-1 segment balls cover one or two differing bits")
-    entries = classes.select("fp", "rep", F.explode(F.array(*[F.lit(m).cast("long") for m in _ball(segments)])).alias("mask"))
-    entries = entries.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), F.struct("rep", "fp").alias("it"))
-    found = entries.withColumn("hub", F.min("it").over(Window.partitionBy("key"))).where(F.col("it.rep") != F.col("hub.rep"))
-    if max_bits == 1:  # a shared entry only proves two bits: centre on the entry that is a fingerprint itself
-        found = entries.withColumn(
-            "hub", F.min(F.when(F.col("key") == F.col("it.fp"), F.col("it"))).over(Window.partitionBy("key"))
-        ).where(F.col("hub").isNotNull() & (F.col("it.rep") != F.col("hub.rep")))
-    near = F.bit_count(F.col("it.fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits
-    return found.where(near).select(F.col("it.rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
+    if not 0 <= max_bits <= 8 or segments not in (1, 2, 4):
+        raise ValueError("max_bits must lie in 0..8 and segments be 1, 2 or 4")
+    tables, found = _tables([None], segments), []
+    start = classes.withColumns({"flips": F.lit(0).cast("long"), "parent": F.lit(-1)})
+    members, probes = _members(start, tables), _probes(start, tables, max_bits)
+    while True:
+        whole = all(t.fixed == ALL for t in tables)
+        if not whole:
+            hot = cut(members.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > large).select(F.col("table").alias("_t"), F.col("key").alias("_k")))
+            count = hot.count()
+        if whole or not count:
+            found.append(_met(probes, members, max_bits))
+            break
+        hot = F.broadcast(hot) if count <= FEW_BUCKETS else hot
+        at = lambda df: (df["table"] == hot["_t"]) & (df["key"] == hot["_k"])  # noqa: E731, B023
+        found.append(_met(probes.join(hot, at(probes), "left_anti"), members.join(hot, at(members), "left_anti"), max_bits))
+        again = lambda df, *more: df.join(hot, at(df), "left_semi").select("fp", "rep", *more, F.col("table").alias("parent"))  # noqa: E731, B023
+        tables = _tables(list(tables), segments if bin(ALL & ~tables[0].fixed).count("1") > 16 else 1)
+        members, probes = stored(_members(again(members), tables), "members"), _probes(stored(again(probes, "flips"), "probes"), tables, max_bits)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:

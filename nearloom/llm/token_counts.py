@@ -17,14 +17,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearloom.llm import pieces
-from nearloom.llm.runtime import small_batches
+from nearloom.llm.runtime import ship, slices
 
+#: Rows whose new pre-tokens share a trie.
+TRIE_ROWS = 1024
 #: Terminal counts that a Python worker keeps from batch to batch.
 KEPT = 500_000
 #: A longer pre-token (a text without spaces) is counted alone and not kept.
 LONG = 256
 
 
+def _backward(model: pieces.Pieces) -> dict:
+    """A trie of all pieces from their ends; a piece's score is stored under the empty string."""
+    found = _tries.get(id(model))
+    if found is None or found[0] is not model:
+        root: dict = {}
+        for text, score in model.scores.items():
+            node = root
+            for c in reversed(text):
+                node = node.setdefault(c, {})
+            node[""] = score
+        found = _tries[id(model)] = (model, root)
+    return found[1]
+
+
+_tries: dict[int, tuple[pieces.Pieces, dict]] = {}
+
+
 def count_all(words: Iterable[str], model: pieces.Pieces) -> dict[str, int]:
     """Token counts of distinct ``words``.
 
@@ -33,7 +52,7 @@ def count_all(words: Iterable[str], model: pieces.Pieces) -> dict[str, int]:
     past the prefix that it shares with the one before.  Of equally good
     segmentations the one whose last piece is longest counts, at every node.
     """
-    scores, longest, unknown = model.scores, model.longest, model.unknown_score
+    scores, unknown, backward = model.scores, model.unknown_score, _backward(model)
     best, counts, path = [0.0], [0], ""
     out = {}
     for word in sorted(words):
@@ -44,12 +63,15 @@ def count_all(words: Iterable[str], model: pieces.Pieces) -> dict[str, int]:
             shared += 1
         del best[shared + 1 :], counts[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            top, n = float("-inf"), 0
-            for start in range(max(0, end - longest), end):
-                score = scores.get(word[start:end])
+            top, n, node = float("-inf"), 0, backward
+            for start in range(end - 1, -1, -1):  # shorter pieces first, up to where no piece ends like this
+                node = node.get(word[start])
+                if node is None:
+                    break
+                score = node.get("")
                 if score is not None:
                     score += best[start]
-                    if score > top:
+                    if score >= top:
                         top, n = score, counts[start] + 1
             char = word[end - 1]
             if char not in scores and best[end - 1] + unknown > top:
@@ -68,7 +90,7 @@ def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", count
     clashing column named ``count_col`` is replaced.  No shuffle: each task
     builds the tries of its own batches.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c != count_col]
     rows = docs.select(*kept, F.col(text_col).cast("string").alias("_text_to_count"))
     schema = docs.select(*kept).withColumn(count_col, F.lit(0).cast("long")).schema
@@ -76,7 +98,7 @@ def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", count
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces.load(model_path)
         known: dict[str, int] = {}
-        for b in batches:
+        for b in slices(batches, TRIE_ROWS):
             texts = [pieces.pre_tokens(t, model) for t in b.column(b.num_columns - 1).to_pylist()]
             if len(known) > KEPT:
                 known.clear()

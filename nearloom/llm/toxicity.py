@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.runtime import small_batches
+from nearloom.llm.runtime import ship, slices
 
 #: Labelled documents that the chain is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
@@ -187,13 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qual
     is flagged.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
     # `most` rows of a few numbers each: a bound by parameter, so small enough to broadcast.
     chosen = spark.createDataFrame(known.orderBy(F.xxhash64("_id"), "_id").limit(most).toPandas(), known.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [sorted({f for w in words_of(t) for f in word_features(w)}) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int32()))], [*b.schema.names[:-1], "f"])
 
@@ -217,7 +217,7 @@ def classify(docs: DataFrame, chain: Sequence[Link], threshold: float | None = N
     features.  All rows and other columns are kept; clashing columns of those
     names are replaced.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     at = [link.category for link in chain].index(flag)
     bar = chain[at].threshold if threshold is None else threshold
     new = [*[f"p_{link.category}" for link in chain], f"is_{flag}"]
@@ -228,7 +228,7 @@ def classify(docs: DataFrame, chain: Sequence[Link], threshold: float | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         wanted = set(used.tolist())
-        for b in batches:
+        for b in slices(batches):
             if len(known) > KEPT:
                 known.clear()
             rows = []

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm.runtime import shared_path, small_batches
+from nearloom.llm.runtime import shared_path, ship, slices
 
 VERSION = b"WARC/1.0\r\n"
 MAGIC = b"\x1f\x8b\x08"
@@ -59,7 +59,7 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
     runs twice leaves one file.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    ship(spark)
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("body")))
@@ -80,7 +80,7 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
         name, own, count, size = f"{folder}/part-{part:06d}.warc.gz", f"{folder}/_{part:06d}-{uuid.uuid4().hex}", 0, 0
         files.create_dir(folder, recursive=True)
         with files.open_output_stream(own) as out:
-            for b in batches:
+            for b in slices(batches):
                 for page, url, sha, length, refers, again, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     of = lambda x: f"<urn:page:{'' if x is None else x}>"
                     headers = [
@@ -170,7 +170,7 @@ def read(spark: SparkSession, source: str, split: int = SPLIT) -> DataFrame:
     An empty folder gives no rows.
     """
     schema = "path string, offset long, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, block binary"
-    small_batches(spark)
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select("path", "length")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     # A task for each range: adaptive execution would put these few small rows into one.
@@ -183,7 +183,7 @@ def read(spark: SparkSession, source: str, split: int = SPLIT) -> DataFrame:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        for b in batches:
+        for b in slices(batches):
             for path, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 uri = path if "://" in path else re.sub(r"^file:/*", "file:///", path)
                 files, name = _filesystem(uri)

@@ -75,18 +75,43 @@ def test_simhash_matches_brute_force(spark):
     assert len({r["component_id"] for r in rows.values()}) < len(rows)
 
 
-def test_simhash_links_of_bit_patterns(spark):
+def slow_links(prints, bits=2):
+    return {tuple(sorted((a, b), key=lambda i: prints[i])) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= bits}
+
+
+def signed(prints):
+    return [(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()]
+
+
+@pytest.mark.parametrize("segments,bits,large", [(2, 2, 64), (2, 2, 2), (4, 3, 9)])
+def test_simhash_links_are_all_found_and_verified(spark, segments, bits, large):
     rng = random.Random(3)
     prints = {rng.getrandbits(64) for _ in range(20)}
     for p in list(prints):
         for _ in range(4):
             prints.add(p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+        # The same half, hence the same bucket, but too far: a candidate that must be rejected.
+        prints.add(p ^ 0b111000111 << rng.choice([0, 32]))
+    family = rng.getrandbits(64)  # shares all but 20 bits
+    prints |= {family ^ rng.getrandbits(20) << 6 for _ in range(40)} | {family ^ 1 << i ^ 1 << j for i in range(0, 64, 9) for j in range(0, i, 4)}
     prints = dict(enumerate(sorted(prints)))
-    signed = [(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()]
-    from nearloom.llm.components import components
+    rows = spark.createDataFrame(signed(prints), "fp long, rep long")
+    got = {tuple(sorted((r["a"], r["b"]), key=lambda i: prints[i])) for r in simhash.links(rows, segments, bits, large).collect()}
+    assert got == slow_links(prints, bits)
+    assert simhash.links(rows.limit(0), segments, bits, large).count() == 0
+
+
+def test_simhash_probes_stay_within_segments():
+    assert simhash.radii(2, 2) == [1, 0] and simhash.radii(2, 4) == [0, 0, 0, -1] and simhash.radii(5, 3) == [1, 1, 1]
+    first, second = simhash._tables([None], 2)
+    assert first.fixed | second.fixed == simhash.ALL and first.fixed & second.fixed == 0
+    assert len(simhash._ball(first.segment, 1)) == 33 and all(m & second.fixed == 0 for m in simhash._ball(first.segment, 1))
+
 
-    found = {r["node"]: r["component"] for r in components(simhash.links(spark.createDataFrame(signed, "fp long, rep long"))).collect()}
-    assert {i: found.get(i, i) for i in prints} == slow_components(list(prints), prints)
+def test_simhash_of_long_texts(spark):
+    texts = [words(70_000, 5), "a " * 200_000, "x" * 400_000]
+    rows = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert rows == {i: f"{slow_fingerprint(t):016x}" for i, t in enumerate(texts)}
 
 
 def test_simhash_repeated_rows_null_ids_and_empty(spark):
