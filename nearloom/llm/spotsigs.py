@@ -3,16 +3,16 @@
 Theobald, Siddharth and Paepcke, "SpotSigs: Robust and Efficient Near
 Duplicate Detection in Large Web Collections" (2008).  An anchor is a common
 word; its signature is the anchor with the next ``CHAIN`` words that are not
-common.  Boilerplate holds few common words, so prose decides the set.
-DataFrame functions only: one regular expression with look-ahead finds all
-chains of a text in one pass, and signatures are 64-bit hashes in sorted
-arrays.
+common.  Boilerplate holds few common words, so prose decides the set.  A
+stretch of content words that no chain covers is signed by its word chains,
+so that texts with few common words, or none, compare too, and an anchor that
+comes or goes changes only the signatures around it.  DataFrame functions
+only: a text is cut in words once, chains are read from the array of its
+content words by position, and signatures are 32-bit hashes in sorted arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,88 +26,62 @@ SPANISH = "como con de del el en es la las los no para por que se un una"
 ANCHORS = tuple(sorted({*ENGLISH.split(), *FRENCH.split(), *GERMAN.split(), *SPANISH.split()}))
 
 CHAIN = 3
-WORD, GAP = r"[\p{L}\p{N}]++", r"[^\p{L}\p{N}]++"
-
-
-def _any_of(words: tuple[str, ...]) -> str:
-    """A pattern for exactly these words that shares their beginnings."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        if w:
-            heads.setdefault(w[0], []).append(w[1:])
-    inner = "|".join(h + _any_of(tuple(rest)) for h, rest in sorted(heads.items()))
-    return f"(?:{inner})" + "?" * ("" in words) if inner else ""
-
-
-def _patterns(chain: int, anchors: tuple[str, ...]) -> tuple[str, str]:
-    """Of a text's spots (group 1: an anchor and all up to the end of its chain), and of what parts the words of one."""
-    common = rf"{_any_of(anchors)}(?![\p{{L}}\p{{N}}])"
-    between = rf"{GAP}(?:{common}{GAP})*+"
-    spot = rf"{common}(?:{between}(?!{common}){WORD}){{{chain}}}"
-    return rf"(?<![\p{{L}}\p{{N}}])(?=({spot})){WORD}", between
-
-
-def _chain_at(words: Column, chain: int) -> Callable[[Column], Column]:
-    return lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, chain)))
+WORD = r"[\p{L}\p{N}]++"
 
 
 def with_signatures(df: DataFrame, texts: dict[str, str], chain: int = CHAIN, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
-    """``df`` with, for each ``{new: text column}``, the sorted set of the text's signatures as 64-bit hashes.
+    """``df`` with, for each ``{new: text column}``, the sorted set of the text's signatures as 32-bit hashes.
 
-    Null and wordless texts have the empty set.  A text in which no common
-    word has a full chain after it is signed by all its words' chains instead
-    (each word with the ``chain - 1`` that follow it; a shorter text as one
-    chain), so that short and unpunctuated texts compare too.
+    An anchor near the end has the fewer words that follow it.  Null and
+    wordless texts have the empty set; no other text has.  The work grows
+    with the number of words, whatever they are.
     """
-    spots, between = _patterns(chain, anchors)
-    low = {k: F.lower(F.coalesce(F.col(c), F.lit(""))) for k, c in texts.items()}
-    df = df.withColumns({f"_raw_{k}": F.regexp_extract_all(c, F.lit(spots), F.lit(1)) for k, c in low.items()})
-    no_words = F.array().cast("array<string>")
-    df = df.withColumns({f"_all_{k}": F.when(F.size(f"_raw_{k}") > 0, no_words).otherwise(F.regexp_extract_all(c, F.lit(WORD), F.lit(0))) for k, c in low.items()})
-    out = {}
+    name = lambda what, k: f"_{what}_{k}"
+    common = lambda w: w.isin(*anchors)
+    df = df.withColumns({name("words", k): F.regexp_extract_all(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)) for k, c in texts.items()})
+    steps: dict[str, Column] = {}
     for k in texts:
-        raw, every = F.col(f"_raw_{k}"), F.col(f"_all_{k}")
-        keyed = F.transform(raw, lambda s: F.xxhash64(F.regexp_replace(s, between, " ")))
-        starts = F.when(F.size(every) > 0, F.sequence(F.lit(0), F.greatest(F.size(every) - chain, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        plain = F.transform(starts, _chain_at(every, chain))
-        out[k] = F.array_sort(F.array_distinct(F.when(F.size(raw) > 0, keyed).otherwise(plain)))
-    return df.withColumns(out).drop(*[f"_raw_{k}" for k in texts], *[f"_all_{k}" for k in texts])
-
+        words = F.col(name("words", k))
+        steps[name("spots", k)] = F.filter(F.transform(words, lambda w, i: F.when(common(w), i)), lambda i: i.isNotNull())
+        steps[name("content", k)] = F.filter(words, lambda w: ~common(w))
+    df = df.withColumns(steps)
+    # So many content words stand before the k-th anchor: its place without the anchors before it.
+    df = df.withColumns({name("after", k): F.transform(name("spots", k), lambda i, n: i - n) for k in texts})
+    df = df.withColumns({name("bare", k): _uncovered(F.col(name("after", k)), F.size(name("content", k)), chain) for k in texts})
+    out = {k: _signed(*[F.col(name(x, k)) for x in ("words", "content", "spots", "bare")], chain) for k in texts}
+    return df.withColumns(out).drop(*[name(x, k) for x in ("words", "spots", "content", "after", "bare") for k in texts])
 
-def uncovered(text: Column, chain: int = CHAIN, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    """Hashes of the word chains of all stretches of ``text`` that no signature of an anchor covers, in any order.
 
-    A stretch is what follows the ``chain`` words after an anchor up to the
-    next anchor, or what precedes the first one; a shorter one is one chain.
-    The last ``chain - 1`` words that are not common are always a stretch: the
-    anchors before them may be short of words.
-    """
-    nothing = F.array().cast("array<bigint>")
-    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?<![\p{{L}}\p{{N}}]){_any_of(anchors)}(?![\p{{L}}\p{{N}}])", -1)
-    beyond = rf"(?s)^[^\p{{L}}\p{{N}}]*+(?:{WORD}{GAP}){{{chain}}}(.*)$"
-    words = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+def _signed(words: Column, content: Column, spots: Column, bare: Column, chain: int) -> Column:
+    """The sorted set of the hashes of all anchors' chains and of the chains from the places ``bare``."""
+    links = lambda at: [F.get(content, at + j) for j in range(chain)]
+    anchored = F.transform(spots, lambda i, n: F.hash(F.get(words, i), *links(i - n)))
+    return F.sort_array(F.array_distinct(F.concat(anchored, F.transform(bare, lambda j: F.hash(*links(j))))))
 
-    def stretches(ps: Column) -> Column:
-        rest = F.transform(ps, lambda p, i: F.when(i == 0, p).otherwise(F.regexp_extract(p, beyond, 1)))
-        last = words(F.array_join(F.slice(ps, F.greatest(F.size(ps) - chain + 1, F.lit(1)), F.lit(chain)), " "))
-        tail = F.transform(F.array(last), lambda ws: F.slice(ws, F.greatest(F.size(ws) - chain + 2, F.lit(1)), F.lit(chain - 1)))
-        return F.concat(F.transform(F.filter(rest, lambda p: p != ""), words), tail)
 
-    def signed(ws: Column) -> Column:
-        return F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - chain, F.lit(0))), _chain_at(ws, chain))).otherwise(nothing)
+def _uncovered(after: Column, size: Column, chain: int) -> Column:
+    """Where word chains start in the stretches of ``size`` content words that no anchor's chain covers.
 
-    # The pieces are bound by a lambda, or each use would split again.
-    return F.flatten(F.transform(F.flatten(F.transform(F.array(pieces), stretches)), signed))
+    ``after`` has the content words before each anchor.  A stretch shorter
+    than a chain starts one all the same.
+    """
+    none = F.array().cast("array<int>")
+    starts = lambda lo, hi: F.when(lo < hi, F.sequence(lo, F.greatest(lo, F.least(hi - 1, size - chain)))).otherwise(none)
+    first = starts(F.lit(0), F.coalesce(F.get(after, F.lit(0)), size))
+    rest = F.transform(after, lambda p, k: starts(p + chain, F.coalesce(F.get(after, k + 1), size)))
+    return F.concat(first, F.flatten(rest))
 
 
-def whole(sigs: Column, rest: Column) -> Column:
-    """The sorted set of a text's signatures and of what they leave uncovered."""
-    return F.array_sort(F.array_union(sigs, rest))
+def fingerprint(sigs: Column) -> Column:
+    """A signature set as a string: its members in order, eight hexadecimal digits each; see :func:`signatures`."""
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
 
 
-def fingerprint(sigs: Column) -> Column:
-    """A string for a signature set: its size and a digest of its members."""
-    return F.concat_ws(":", F.size(sigs), F.sha2(F.concat_ws(",", F.transform(sigs, lambda x: x.cast("string"))), 256))
+def signatures(said: Column) -> Column:
+    """The set that a :func:`fingerprint` states."""
+    digits = F.regexp_extract_all(said, F.lit("[0-9a-f]{8}"), F.lit(0))
+    number = F.transform(digits, lambda x: F.conv(x, 16, 10).cast("long"))
+    return F.transform(number, lambda x: F.when(x < 1 << 31, x).otherwise(x - (1 << 32)).cast("int"))
 
 
 def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
@@ -136,7 +110,8 @@ def similar_pairs(rows: DataFrame, at_least: float = 0.8, id_col: str = "doc_id"
     Sets are split by length, and within a length class joined over the
     prefix of their rarest signatures that any set as like must share, each
     candidate pair once.  A signature's rank is its number of sets.  Equal
-    sets meet once, as one class; empty sets and null ids have no pairs.
+    sets meet once, as one class (:func:`members` says who is in it); empty
+    sets and null ids have no pairs.
     """
     if not 0 < at_least < 1:
         raise ValueError("at_least must lie between 0 and 1")
@@ -156,6 +131,12 @@ def similar_pairs(rows: DataFrame, at_least: float = 0.8, id_col: str = "doc_id"
     return scored.where(F.col("likeness") >= at_least).select("a", "b", "likeness")
 
 
+def members(rows: DataFrame, id_col: str = "doc_id", sigs_col: str = "sigs") -> DataFrame:
+    """``(id, class_id)``: the class of equal signature sets that each row is in; nobody's is null, and rows without an id are left out."""
+    named = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(fingerprint(F.col(sigs_col)), 256).alias("_of"))
+    return named.join(named.groupBy("_of").agg(F.min("id").alias("class_id")), "_of").select("id", "class_id")
+
+
 #: About so many neighbouring ids form a window partition; above MOST_PARTS of them, partitions grow and spill.
 NEIGHBOUR_ROWS, MOST_PARTS, FANOUT = 500, 4096, 64
 
@@ -211,22 +192,12 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for the edit.  Null texts count as empty; a single document is its own
     next.  An empty table gives no rows; only the two named columns are read,
     so other columns may have any name.
-
-    The ``whole_`` columns are of sets that also sign what no anchor's chain
-    covers (:func:`uncovered`): all words count, and an anchor that comes or
-    goes changes only the signatures around it.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_signatures(texts, {"own": "text"}, chain).withColumn("rest", F.array_distinct(uncovered(F.col("text"), chain))), "doc_id", "text", ("own", "rest"))
-    rows = rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", edited(F.col("text"), F.col("next_text")).alias("edited"),
-        whole(F.col("own"), F.col("rest")).alias("all"), whole(F.col("next_own"), F.col("next_rest")).alias("next_all"),
-    )
-    rows = with_signatures(rows, {"new": "edited"}, chain).withColumn("edited_sha256", F.sha2("edited", 256))
-    rows = rows.withColumn("new_all", whole(F.col("new"), uncovered(F.col("edited"), chain)))
+    rows = with_next(with_signatures(texts, {"own": "text"}, chain), "doc_id", "text", ("own",))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "own", "next_own", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    rows = with_signatures(rows, {"new": "edited"}, chain)
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
         jaccard(F.col("own"), F.col("new")).alias("near_edited"), jaccard(F.col("own"), F.col("next_own")).alias("near_next"),
-        fingerprint(F.col("all")).alias("whole_fingerprint"), fingerprint(F.col("new_all")).alias("whole_edited_fingerprint"),
-        jaccard(F.col("all"), F.col("new_all")).alias("whole_near_edited"), jaccard(F.col("all"), F.col("next_all")).alias("whole_near_next"),
     )

@@ -135,73 +135,82 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 
 
 def slow_signatures(text):
-    low = (text or "").lower()
-    found = re.findall(r"[^\W_]+", low)
-    chains = set()
-    for i, w in enumerate(found):
-        rest = [x for x in found[i + 1 :] if x not in spotsigs.ANCHORS]
-        if w in spotsigs.ANCHORS and len(rest) >= spotsigs.CHAIN:
-            chains.add(" ".join([w, *rest[: spotsigs.CHAIN]]))
-    if not chains and found:
-        chains = {" ".join(found[i : i + spotsigs.CHAIN]) for i in range(max(1, len(found) - spotsigs.CHAIN + 1))}
+    found = re.findall(r"[^\W_]+", (text or "").lower())
+    common, n = spotsigs.ANCHORS, spotsigs.CHAIN
+    content = [w for w in found if w not in common]
+    chains, covered, before = set(), set(), 0
+    for w in found:
+        if w in common:
+            chains.add((w, *content[before : before + n]))
+            covered |= set(range(before, before + n))
+        else:
+            before += 1
+    bare = [i for i in range(len(content)) if i not in covered]
+    for k, i in enumerate(bare):
+        if i + n <= len(content) or not k or bare[k - 1] != i - 1:  # whole, or the first of its stretch
+            chains.add(tuple(content[i : i + n]))
     return chains
 
 
+def like(a, b):
+    return 1.0 if not a | b else len(a & b) / len(a | b)
+
+
+PLAIN = [w for w in words(400, 1).split() if w not in spotsigs.ANCHORS]
+ONE_ANCHOR = " ".join([*PLAIN[:150], "the", *PLAIN[150:300]])
+SPOTTED = [
+    *[t for t in ODD if not t or "\u0301" not in t], *[words(n, n) for n in range(0, 90, 7)], "the of and", "the one two of and three the four", "no anchors whatsoever",
+    " ".join(PLAIN[:300]), ONE_ANCHOR, ONE_ANCHOR + " of x the y", "one the", "the one", "a b c d e f the of g", "über für naïve für",
+]
+
+
 def test_spotsigs_match_brute_force(spark):
-    texts = [t for t in ODD if not t or "\u0301" not in t] + [words(60, 4), "the of and", "the one two of and three the four", "no anchors whatsoever"]
-    rows = spotsigs.with_signatures(docs(spark, texts), {"own": "text"}).withColumn("own", F.col("own").cast("array<string>")).collect()
-    hashed = lambda s: str(struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(s.encode(), 42)))[0])
-    for r in rows:
-        assert set(r["own"]) == {hashed(s) for s in slow_signatures(r["text"])}, r["text"]
+    rows = spotsigs.with_signatures(docs(spark, SPOTTED), {"own": "text"}).select("doc_id", "own").collect()
+    own = {r["doc_id"]: set(r["own"]) for r in rows}
+    name = {}  # each signature's hash, one to one
+    for i, text in enumerate(SPOTTED):
+        assert len(own[i]) == len(slow_signatures(text)), text
+        for j, other in enumerate(SPOTTED):
+            assert own[i] & own[j] == set() or slow_signatures(text) & slow_signatures(other), (text, other)
+            assert len(own[i] & own[j]) == len(slow_signatures(text) & slow_signatures(other)), (text, other)
+        name |= dict.fromkeys(own[i], i)
+    assert len(name) == len(set().union(*map(slow_signatures, SPOTTED)))
 
 
 def test_spotsigs_neighbours(spark):
-    texts = [*ODD, *[words(n, n) for n in range(0, 90, 3)]]
-    order = list(range(len(texts)))[::-1]
-    rows = {r["doc_id"]: r for r in spotsigs.compare_neighbours(docs(spark, texts, part="p", head="h")).collect()}
-    assert len(rows) == len(texts)
-    for k, i in enumerate(order):
-        own, following = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+    rows = {r["doc_id"]: r for r in spotsigs.compare_neighbours(docs(spark, SPOTTED, part="p", head="h", own="o")).collect()}
+    assert len(rows) == len(SPOTTED)
+    for i, text in enumerate(SPOTTED):
+        own, following, r = text or "", SPOTTED[i - 1] or "", rows[i]
         n = len(own) // 3
         edited = own[: len(own) - n] + following[:n]
-        r, like = rows[i], lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
-        assert r["n_chars"] == len(own)
-        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        if "\u0301" not in own + following:
-            assert r["near_edited"] == pytest.approx(like(slow_signatures(own), slow_signatures(edited)))
-            assert r["near_next"] == pytest.approx(like(slow_signatures(own), slow_signatures(following)))
-    assert rows[10]["fingerprint"] == rows[11]["fingerprint"] != rows[6]["fingerprint"]
-
-
-def slow_whole(text):
-    found, common, chain = re.findall(r"[^\W_]+", (text or "").lower()), spotsigs.ANCHORS, spotsigs.CHAIN
-    pieces = [[]]
-    for w in found:
-        if w in common:
-            pieces.append([])
-        else:
-            pieces[-1].append(w)
-    content = [w for p in pieces[-chain:] for w in p]
-    rest = [pieces[0], *[p[chain:] for p in pieces[1:]], content[max(0, len(content) - chain + 1) :]]
-    return slow_signatures(text) | {" ".join(p[i : i + chain]) for p in rest if p for i in range(max(1, len(p) - chain + 1))}
-
-
-def test_spotsigs_of_whole_texts(spark):
-    plain = [w for w in words(400, 1).split() if w not in spotsigs.ANCHORS]
-    one = " ".join([*plain[:150], "the", *plain[150:300]])
-    texts = [*[t for t in ODD if not t or "\u0301" not in t], *[words(n, n) for n in range(0, 90, 7)], " ".join(plain[:300]), one, "the one two of three", one + " of x the y"]
-    rows = {r["doc_id"]: r for r in spotsigs.compare_neighbours(docs(spark, texts)).collect()}
-    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
-    for i, text in enumerate(texts):
-        own, following = text or "", texts[i - 1] or ""
-        edited = own[: len(own) - len(own) // 3] + following[: len(own) // 3]
-        assert rows[i]["whole_near_edited"] == pytest.approx(like(slow_whole(own), slow_whole(edited)))
-        assert rows[i]["whole_near_next"] == pytest.approx(like(slow_whole(own), slow_whole(following)))
-        assert rows[i]["whole_fingerprint"].split(":")[0] == str(len(slow_whole(own)))
-    # One anchor in 300 words: hardly anything else changes, and all words are signed.
-    at = texts.index(one)
-    assert rows[at]["near_next"] == 0.0 and rows[at]["whole_near_next"] > 0.9
-    assert rows[at]["fingerprint"].startswith("1:") and int(rows[at]["whole_fingerprint"].split(":")[0]) > 250
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(like(slow_signatures(own), slow_signatures(edited))), text
+        assert r["near_next"] == pytest.approx(like(slow_signatures(own), slow_signatures(following))), text
+        assert len(r["fingerprint"]) == 8 * len(slow_signatures(own))
+        cut = lambda x: {x[k : k + 8] for k in range(0, len(x), 8)}
+        assert r["near_edited"] == pytest.approx(like(cut(r["fingerprint"]), cut(r["edited_fingerprint"])))
+    assert rows[9]["fingerprint"] == rows[10]["fingerprint"] == rows[11]["fingerprint"] != rows[5]["fingerprint"]
+    # One anchor in 300 words: hardly anything else changes.
+    assert rows[SPOTTED.index(ONE_ANCHOR)]["near_next"] > 0.9
+
+
+def test_spotsigs_fingerprints_state_their_sets(spark):
+    rows = spotsigs.with_signatures(docs(spark, SPOTTED), {"own": "text"})
+    assert rows.where(~spotsigs.signatures(spotsigs.fingerprint(F.col("own"))).eqNullSafe(F.col("own"))).count() == 0
+    classes = {r["id"]: r["class_id"] for r in spotsigs.members(rows, sigs_col="own").collect()}
+    assert len(classes) == len(SPOTTED) and all(slow_signatures(SPOTTED[i]) == slow_signatures(SPOTTED[c]) and c <= i for i, c in classes.items())
+
+
+def test_spotsigs_time_grows_with_the_words(spark):
+    import time
+
+    texts = ["the " * 250_000, "word " * 200_000, "x" * 1_000_000, "the " * 100_000 + "x y z " * 100_000]
+    spotsigs.compare_neighbours(docs(spark, texts[:1])).count()
+    for text in texts:
+        began = time.perf_counter()
+        assert len(spotsigs.with_signatures(docs(spark, [text]), {"own": "text"}).select(F.size("own").alias("n")).collect()) == 1
+        assert time.perf_counter() - began < 10
 
 
 def test_spotsigs_neighbours_across_ranges(spark, monkeypatch):
@@ -222,7 +231,7 @@ def test_spotsigs_pairs_match_brute_force(spark):
         own = rng.sample(range(300), rng.randint(5, 40))
         sets += [own, own[:-1], own[2:]]
     sets += [[], [], sets[0]]
-    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "doc_id long, sigs array<long>")
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "doc_id long, sigs array<int>")
     got = {(r["a"], r["b"]): r["likeness"] for r in spotsigs.similar_pairs(rows, 0.8).collect()}
     first = {}
     for i, s in enumerate(sets):
