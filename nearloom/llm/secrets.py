@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,10 @@ THRESHOLD = 0.5
 #: Nats in all, beside the logarithm of the run's length, by which it must be the likelier over a stretch of a run.
 STRETCH = 12.0
 #: Words of one case, small numbers and hexadecimal constants: random only beyond so many nats with capitals read as small letters.
-WORDY = r"^[+/_-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,3}|[0-9]{1,6}|0x[0-9A-Fa-f]+)(?:[+/_-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,3}|[0-9]{1,6}|0x[0-9A-Fa-f]+))*[+/_=-]*$"
+_WORD = r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,3}|[0-9]{1,6}|0x[0-9A-Fa-f]+)(?![A-Za-z0-9])"
+WORDY = rf"^[+/_-]*+{_WORD}(?:[+/_-]++{_WORD})*+[+/_=-]*+$"
 WORDY_LEAST = 24.0
-WORDS_BEFORE, WORDS_AFTER = r"\A(?:[A-Z]?[a-z]{2,}[/_-]+)+", r"(?:[/_-]+[A-Z]?[a-z]{2,})+\z"
+WORDS_BEFORE, WORDS_AFTER = r"\A(?:[A-Z]?[a-z]{2,}+[/_-]++)++", r"(?:[/_-]++[A-Z]?[a-z]{2,}+)++\z"
 
 # Ordinary words of identifiers, for the negative samples.
 WORDS = (
@@ -111,7 +112,8 @@ def _ratios(text: Column, table: Sequence[float]) -> Column:
     """Log-likelihood ratio of each character pair of ``text``, whose characters are all in ALPHABET."""
     chars = lambda c: F.regexp_extract_all(c, F.lit("."), F.lit(0))
     code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    scores = F.array(*[F.lit(x) for x in table])
+    # One literal, read and folded when the plan is made: thousands of literals would take seconds to build.
+    scores = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
     firsts, seconds = chars(F.substring(text, F.lit(1), F.length(text) - 1)), chars(F.substring(text, F.lit(2), F.length(text)))
     return F.zip_with(firsts, seconds, lambda a, b: scores[code(a) * len(ALPHABET) + code(b)])
 
@@ -127,12 +129,13 @@ def _stretches(text: Column, table: Sequence[float]) -> Column:
 
     A stretch sums the ratios of its pairs; it starts where a sum is above
     zero, ends at its greatest sum, and is over once the sum is down to zero
-    or STRETCH below that.  Those that overlap once widened are joined.
+    or STRETCH below that.  It is widened by WIDEN characters at most; those
+    that overlap once widened are joined.
     """
     places = "array<struct<start:int,end:int>>"
     least = F.lit(STRETCH) + F.log(F.length(text).cast("double"))
     zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("peak"), F.lit(0).alias("end"), F.array().cast(places).alias("out")
+        F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("peak"), F.lit(0).alias("end"), F.array().cast(places).alias("out"), least.alias("least")
     )
 
     def add(acc: Column, x: Column) -> Column:
@@ -141,20 +144,21 @@ def _stretches(text: Column, table: Sequence[float]) -> Column:
         before = F.when(fresh, 0.0).otherwise(acc["peak"])
         peak, end = F.greatest(before, total), F.when(total > before, acc["at"] + 2).otherwise(acc["end"])
         over = (total <= 0) | (total < peak - STRETCH)
-        out = F.when(over & (peak >= least), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["out"])
+        out = F.when(over & (peak >= acc["least"]), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["out"])
         return F.struct(
-            (acc["at"] + 1).alias("at"), F.when(over, 0.0).otherwise(total).alias("sum"), start.alias("start"), peak.alias("peak"), end.alias("end"), out.alias("out")
+            (acc["at"] + 1).alias("at"), F.when(over, 0.0).otherwise(total).alias("sum"), start.alias("start"), peak.alias("peak"), end.alias("end"), out.alias("out"), acc["least"].alias("least")
         )
 
     # A last pair that ends whatever stretch is open.
     found = F.aggregate(F.concat(_ratios(text, table), F.array(F.lit(-1e9))), zero, add, lambda acc: acc["out"])
 
     def widen(g: Column) -> Column:
-        left = F.regexp_extract(F.substring(text, F.lit(1), g["start"]), r"[^/_-]*\z", 0)
-        right = F.regexp_extract(F.substring(text, g["end"] + 1, F.length(text)), r"\A[^/_-]*", 0)
+        near = F.least(g["start"], F.lit(WIDEN))
+        left = F.regexp_extract(F.substring(text, g["start"] - near + 1, near), r"[^/_-]*+\z", 0)
+        right = F.regexp_extract(F.substring(text, g["end"] + 1, F.lit(WIDEN)), r"\A[^/_-]*+", 0)
         start, end = g["start"] - F.length(left), g["end"] + F.length(right)
         wide = F.substring(text, start + 1, end - start)
-        return F.struct((start + F.length(F.regexp_extract(wide, WORDS_BEFORE, 0))).alias("start"), (end - F.length(F.regexp_extract(wide, WORDS_AFTER, 0))).alias("end"))
+        return F.struct((start + F.length(F.regexp_extract(wide, WORDS_BEFORE, 0))).alias("start"), (end - F.length(F.regexp_extract(F.substring(wide, F.greatest(F.length(wide) - 2 * WIDEN, F.lit(0)) + 1, F.lit(2 * WIDEN)), WORDS_AFTER, 0))).alias("end"))
 
     def join(out: Column, g: Column) -> Column:
         last = F.element_at(out, -1)
@@ -164,6 +168,27 @@ def _stretches(text: Column, table: Sequence[float]) -> Column:
     return F.aggregate(F.transform(found, widen), F.array().cast(places), join)
 
 
+#: Spans that are handled together: arrays grow by copies, so only arrays of a bounded size are let grow.
+SPANS = 256
+#: Characters by which a stretch is widened at most.
+WIDEN = 512
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(spans: Column) -> Column:
+    """An array in runs of SPANS, or of the root of its size if that is more."""
+
+    def cut(spans: Column, size: Column) -> Column:
+        numbers = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda k: F.slice(spans, k * size + 1, size))
+
+    return _bound(spans, lambda spans: cut(spans, F.greatest(F.lit(SPANS), F.ceil(F.sqrt(F.size(spans).cast("double"))).cast("int"))))
+
+
 def _spans(text: Column, found: Column, kind: str, pattern: str) -> Column:
     """``array<struct<start, end, rank, kind, text>>`` of ``found``, the pattern's matches in ``text``; in code points.
 
@@ -172,15 +197,21 @@ def _spans(text: Column, found: Column, kind: str, pattern: str) -> Column:
     """
     empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,text:string>>")
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    matches = F.zip_with(found, F.split(text, pattern, -1), lambda m, before: F.struct(m.alias("text"), F.length(before).alias("gap")))
+    matches = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, before: F.struct(m.alias("text"), F.length(before).alias("gap")))
+
+    def span(start: Column, x: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x.alias("text"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["text"].alias("text"))
-        return F.when(x["text"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")))
+        return F.struct((start + F.length(x["text"])).alias("at"), F.array_append(acc["out"], span(start, x["text"])).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(matches, zero, add, lambda a: a["out"])).otherwise(empty)
+    def whole(parts: Column) -> Column:  # places within each block, and how long the blocks before it are
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + p["at"]))
+        return _bound(ends, lambda ends: F.flatten(F.transform(parts, lambda p, k: F.transform(p["out"], lambda s: span(s["start"] + F.get(ends, k), s["text"])))))
+
+    parts = F.transform(_blocks(matches), lambda m: F.aggregate(m, zero, add))
+    return F.when(F.size(found) > 0, _bound(parts, whole)).otherwise(empty)
 
 
 def find(docs: DataFrame, table: Sequence[float] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -202,9 +233,8 @@ def find(docs: DataFrame, table: Sequence[float] | None = None, threshold: float
     patterns = exact | {"markov": CANDIDATE}
     df = docs.withColumns({f"_found_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()})
     df = df.withColumns({f"_{k}": _spans(text, F.col(f"_found_{k}"), k, p) for k, p in patterns.items()})
-    base = F.array_sort(F.concat(F.filter("_assign", lambda s: value(s) >= 6), F.col("_access"), F.col("_hex")))
+    base = F.sort_array(F.concat(F.filter("_assign", lambda s: value(s) >= 6), F.col("_access"), F.col("_hex")))
     df = df.withColumns({"base": base})
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     folded = small_letters(table)
     wordy = lambda c: c.rlike(WORDY) & (log_ratio(c, folded) * (F.length(c) - 1) <= WORDY_LEAST)
 
@@ -212,17 +242,23 @@ def find(docs: DataFrame, table: Sequence[float] | None = None, threshold: float
         text = F.substring(run["text"], g["start"] + 1, g["end"] - g["start"])
         return F.struct((run["start"] + g["start"]).alias("start"), (run["start"] + g["end"]).alias("end"), run["rank"].alias("rank"), run["kind"].alias("kind"), text.alias("text"))
 
-    def random_parts(run: Column) -> Column:
+    def random_parts(run: Column, near: Column) -> Column:
+        free = lambda s: ~F.exists(near, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         whole = run["text"].rlike(WHOLE) & (log_ratio(run["text"], table) > threshold) & free(run)
         return F.when(whole, F.array(run)).otherwise(F.filter(F.transform(_stretches(run["text"], table), lambda g: stretch(run, g)), free))
 
-    extra = F.filter(F.flatten(F.transform("_markov", random_parts)), lambda s: ~wordy(s["text"]))
+    def of_block(runs: Column) -> Column:
+        # Only base matches about a block's runs can overlap one of them.
+        first, last = F.get(runs, F.lit(0))["start"], F.element_at(runs, -1)["end"]
+        return _bound(F.filter("base", lambda b: (b["end"] > first) & (b["start"] < last)), lambda near: F.flatten(F.transform(runs, lambda run: random_parts(run, near))))
+
+    extra = F.filter(F.flatten(F.transform(_blocks(F.col("_markov")), of_block)), lambda s: ~wordy(s["text"]))
     return df.withColumns({"extra": extra}).drop(*[f"_{k}" for k in patterns], *[f"_found_{k}" for k in patterns])
 
 
 def _joined(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])))
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"])))
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
@@ -252,15 +288,27 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     if rows is None:  # the names are taken: find beside them
         taken = {c: f"_kept_{c}" for c in ("base", "extra") if c in columns}
         return redact(docs.withColumnsRenamed(taken), text_col, length_col, table, threshold).withColumnsRenamed({v: k for k, v in taken.items()}).select(*columns)
-    spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = F.sort_array(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    # Before each span, how far the earlier ones of its block reach; then, before each block, how far all earlier blocks do.
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,past:int>>").alias("out"))
+    reach = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], F.struct(s["start"], s["end"], acc["at"].alias("past"))).alias("out"))
+
+    def pieces(parts: Column, past: Column) -> Column:
+        def of_block(p: Column, first: Column) -> Column:
+            own = F.substring(F.col("_text"), first + 1, F.element_at(p["out"], -1)["start"] - first)
+
+            def piece(s: Column, own: Column) -> Column:
+                at = F.greatest(s["past"], first)
+                return F.when(s["start"] >= at, F.concat(F.substring(own, at - first + 1, s["start"] - at), F.lit(MASK))).otherwise("")
+
+            return _bound(own, lambda own: F.array_join(F.transform(p["out"], lambda s: piece(s, own)), ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        rest = F.substring(F.col("_text"), F.element_at(past, -1) + 1, F.length("_text"))
+        return F.concat(F.array_join(F.zip_with(parts, F.slice(past, F.lit(1), F.size(parts)), of_block), ""), rest)
 
-    masked = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(F.col("_text"), a["at"] + 1, F.length("_text"))))
+    rows = rows.withColumn("_parts", F.transform(_blocks(spans), lambda b: F.aggregate(b, zero, reach)))
+    past = F.aggregate("_parts", F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.greatest(F.element_at(acc, -1), p["at"])))
+    masked = _bound(past, lambda past: pieces(F.col("_parts"), past))
     hit = F.size("base") + F.size("extra") > 0
     rows = rows.withColumn(text_col, F.when(hit, masked).otherwise(F.col("_text")))
     if length_col in columns:

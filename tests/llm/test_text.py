@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import struct
 
 import public_tokenizers
 import pytest
@@ -333,6 +332,34 @@ def test_redaction_masks_all_and_keeps_the_rest(spark):
             assert r["text"] == want
 
 
+LONG_TEXTS = {
+    "digits": "7 " * 500_000, "tokens": "token=abcdef " * 20_000, "run": "aB3/" * 60_000, "slashes": "ab/" * 80_000, "hex": ("deadbeef" * 3 + " ") * 10_000, "words": "secret " * 140_000,
+}
+
+
+def test_secrets_of_long_texts_take_time_by_their_length(spark):
+    import time
+
+    rng = random.Random(2)
+    keys = " ".join("token=é " + "".join(rng.choices(secrets.ALPHABET[:62], k=24)) for _ in range(6_000))
+    secrets.redact(docs(spark, ["warm up"])).collect()
+    for text in [*LONG_TEXTS.values(), keys]:
+        rows = docs(spark, [text])
+        began = time.perf_counter()
+        row, masked = secrets.scan(rows).first(), secrets.redact(rows).first()["text"]
+        assert time.perf_counter() - began < 30, text[:20]
+        want = slow_base(text)
+        spans = [s.split(":") for s in row["spans"].split(",") if s]
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+        assert {(k, int(a), int(b)) for k, a, b in spans} >= {(k, a, b) for a, _, b, k in want}
+        out, at = [], 0
+        for a, b in sorted((int(a), int(b)) for _, a, b in spans):
+            if a >= at:
+                out += [text[at:a], secrets.MASK]
+            at = max(at, b)
+        assert masked == "".join(out) + text[at:]
+
+
 # Unigram pieces.
 
 
