@@ -20,14 +20,18 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm.runtime import shared_path, ship, slices
+from nearloom.llm.runtime import shared_path, ship, slices, stored
 
 VERSION = b"WARC/1.0\r\n"
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Bytes of an archive that one task scans, and bytes read at once.
 SPLIT, BLOCK = 32 << 20, 1 << 20
+#: Bytes that are decompressed, and read past a range's end, at once.
+CHUNK = 16 << 10
 MOST_TASKS = 100_000
+#: Digests of repeated payloads that are few enough to be broadcast (28 bytes each).
+SENT_DIGESTS = 200_000
 #: A place whose decompressed beginning has no blank line within so many bytes is no record.
 MOST_HEADER = 1 << 20
 
@@ -64,12 +68,17 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("body")))
     small = F.length("body") < least
-    # Only payloads that occur again have a partner, and only its id travels.
-    first = rows.where(~small).groupBy(F.col("sha").alias("of")).agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1")
-    known = rows.join(first, (F.col("sha") == F.col("of")) & ~small, "left")
+    # Only payloads that occur again have a partner, and only their digests and ids are shuffled for it.
+    first = stored(rows.where(~small).groupBy(F.col("sha").alias("of")).agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     again = F.col("refers").isNotNull() & ~F.col("refers").eqNullSafe(F.col("id"))
-    known = known.select("id", "url", "sha", F.length("body").alias("size"), "refers", again.alias("again"), "body")
-    known = known.withColumn("body", F.when(~F.col("again"), F.col("body")))
+    if first.count() <= SENT_DIGESTS:
+        known = rows.join(F.broadcast(first), (F.col("sha") == F.col("of")) & ~small, "left")
+    else:
+        # Too many to send: who revisits whom is found without bodies, and those then meet it by page, not by digest.
+        told = rows.where(~small).select("id", "sha").distinct().join(first, F.col("sha") == F.col("of")).where(again)
+        told = told.select(F.col("id").alias("_id"), F.col("sha").alias("of"), "refers")
+        known = rows.join(told, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("of")) & ~small, "left")
+    known = known.select("id", "url", "sha", F.length("body").alias("size"), "refers", again.alias("again"), F.when(~again, F.col("body")).alias("body"))
     _filesystem(target)[0].create_dir(_filesystem(target)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,27 +112,64 @@ def write(pages: DataFrame, target: str, id_col: str = "page_id", url_col: str =
     known.mapInArrow(run, "records long, bytes long").agg(F.sum("records"), F.sum("bytes")).collect()
 
 
-def _inflate(f: pa.NativeFile, at: int, most: int | None = None) -> tuple[bytes, int] | None:
-    """The gzip member at ``at`` and its end; up to ``most`` bytes of it, past them, if given; None if it is none."""
-    f.seek(at)
-    unpack, out, size = zlib.decompressobj(31), [], 0
+class _Window:
+    """The bytes of a file from ``at`` on, read once and forwards; what is behind is forgotten."""
+
+    def __init__(self, f: pa.NativeFile, at: int):
+        self.f, self.at, self.held, self.ended = f, at, bytearray(), False
+        f.seek(at)
+
+    def more(self, size: int = BLOCK) -> bytes:
+        """The next bytes past those held; held too."""
+        got = b"" if self.ended else self.f.read(size)
+        self.ended = self.ended or not got
+        self.held += got
+        return got
+
+    def forget(self, to: int) -> None:
+        del self.held[: to - self.at]
+        self.at = to
+
+
+def _member_at(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
+    """``(headers, block, end)`` of the record whose gzip member starts where ``window`` does; None if there is none.
+
+    What decompresses is looked at as it comes, so a place that is no record
+    is given up after MOST_HEADER bytes at most.
+    """
+    unpack, out, found = zlib.decompressobj(31), bytearray(), None
+    done = 0
     while not unpack.eof:
-        block = f.read(64 << 10 if most else BLOCK)
-        if not block:
+        if done == len(window.held) and not window.more(CHUNK):
             return None
+        part = bytes(window.held[done : done + CHUNK])
+        done += len(part)
         try:
-            out.append(unpack.decompress(block))
+            # No more at once than tells whether this is a record at all.
+            out += unpack.decompress(part, 0 if found else MOST_HEADER)
+            while unpack.unconsumed_tail:
+                if found is None:
+                    found = _headers(out)
+                    if found is None and (len(out) >= MOST_HEADER or not VERSION.startswith(bytes(out[:5]))):
+                        return None
+                out += unpack.decompress(unpack.unconsumed_tail, 0 if found else MOST_HEADER)
         except zlib.error:
             return None
-        at, size = at + len(block), size + len(out[-1])
-        if most and size >= most:
-            break
-    return b"".join(out), at - len(unpack.unused_data)
+        if found is None:
+            found = _headers(out)
+            if found is None and (len(out) >= MOST_HEADER or out[:5] != VERSION[: len(out[:5])]):
+                return None
+    if found is None:
+        return None
+    headers, body = found
+    length = int(headers["content-length"])
+    end = window.at + done - len(unpack.unused_data)
+    return (headers, bytes(out[body : body + length]), end) if len(out) >= body + length else None
 
 
-def _headers(data: bytes) -> tuple[dict[str, str], int] | None:
+def _headers(data: bytes | bytearray) -> tuple[dict[str, str], int] | None:
     """The headers at the beginning of ``data``, by lower-case name, and where the block starts."""
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
     if not data.startswith(b"WARC/") or end < 0:
         return None
     lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
@@ -132,34 +178,29 @@ def _headers(data: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def records(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """``(offset, headers, block)`` of the records that start in ``[start, stop)``, found by scanning for gzip magic."""
-    at = start
-    while at < stop:
-        f.seek(at)
-        block = f.read(min(BLOCK, stop - at) + len(MAGIC) - 1)
-        hit = block.find(MAGIC)
+    """``(offset, headers, block)`` of the records that start in ``[start, stop)``, found by scanning for gzip magic.
+
+    The range is read once, and past its end only as far as the last record
+    that starts in it.  After a record its end is the next place tried.
+    """
+    window = _Window(f, start)
+    while True:
+        hit = window.held.find(MAGIC, 0, max(0, stop - window.at) + len(MAGIC) - 1)
         if hit < 0:
-            at += max(1, len(block) - len(MAGIC) + 1)
+            window.forget(window.at + max(0, len(window.held) - len(MAGIC) + 1))
+            if window.at >= stop or not window.more(min(BLOCK, stop - window.at + len(MAGIC) - 1)):
+                return
             continue
-        at += hit
-        if at >= stop:
+        window.forget(window.at + hit)
+        if window.at >= stop:
             return
-        begin = _inflate(f, at, 512)
-        if begin is None or not begin[0].startswith(b"WARC/"):
-            at += 1
-            continue
-        whole = _inflate(f, at)
-        found = whole and _headers(whole[0])
-        if not found:
-            at += 1
-            continue
-        headers, body = found
-        data = whole[0][body : body + int(headers["content-length"])]
-        if len(data) < int(headers["content-length"]):
-            at += 1
-            continue
-        yield at, headers, data
-        at = whole[1]
+        found = _member_at(window)
+        if found is None:
+            window.forget(window.at + 1)
+        else:
+            headers, block, end = found
+            yield window.at, headers, block
+            window.forget(end)
 
 
 def read(spark: SparkSession, source: str, split: int = SPLIT) -> DataFrame:

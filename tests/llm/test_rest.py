@@ -107,6 +107,44 @@ def test_reader_skips_what_only_looks_like_a_record():
     assert warc.base32 and warc.digest32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, data):
+        self.f, self.bytes = pa.BufferReader(data), 0
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, n):
+        got = self.f.read(n)
+        self.bytes += len(got)
+        return got
+
+
+def test_reader_reads_an_archive_once():
+    rng = random.Random(1)
+    bodies = [rng.randbytes(rng.randrange(0, 3000)) for _ in range(1500)] + [rng.randbytes(3 << 20), b"z" * (20 << 20)]
+    rng.shuffle(bodies)
+    data = b"".join(warc._member([("WARC-Type", "response"), ("WARC-Record-ID", str(i))], x, 1) for i, x in enumerate(bodies))
+    f = Counted(data)
+    assert [b for _, _, b in warc.records(f, 0, len(data))] == bodies and f.bytes == len(data)
+    f, found, split = Counted(data), [], 1 << 19
+    for at in range(0, len(data), split):
+        found += [b for _, _, b in warc.records(f, at, min(at + split, len(data)))]
+    assert found == bodies and f.bytes <= 2.6 * len(data)  # the largest record spans six ranges
+    fake = gzip.compress(b"WARC/1.0\r\n" + b"x: y\r\n" * 400_000 + b"\r\n")  # a header past MOST_HEADER
+    assert [b for _, _, b in warc.records(pa.BufferReader(fake + data), 0, len(fake) + 1)] == bodies[:1]
+
+
+def test_archive_of_many_repeated_payloads(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"body {i % 7}") for i in range(60)] + [(59, "u", "body 3"), (None, "u", "body 1")], "page_id long, url string, html string")
+    tidy = lambda: sorted(map(str, warc.archived(pages).collect()))
+    want = tidy()
+    monkeypatch.setattr(warc, "SENT_DIGESTS", 2)
+    assert tidy() == want and len(want) == 62
+
+
 def test_read_of_an_empty_folder(spark):
     path = shared_path(spark, "none")
     from pyarrow import fs
