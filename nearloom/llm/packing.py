@@ -9,6 +9,7 @@ dot product of demand and residual.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,18 +24,23 @@ from tokenizers import Tokenizer
 
 from nearloom.llm.runtime import ship, slices, stored
 
-#: Pieces that one task packs together; each group wastes less than a sequence more than the whole would.
+#: Pieces that one task packs together; what its last sequences leave free, later rounds fill with other groups' pieces.
 GROUP = 4_000
+#: The fewest and the usual documents of a sequence: the limit is so many times what an average one needs.
+LEAST_DOCUMENTS, SPARE = 16, 4
 #: Encodings that a Python worker keeps from batch to batch, and the longest chunk kept.
 KEPT, LONG = 400_000, 64
 
 
+TOKENS = 1024
+
+
 class Capacity(NamedTuple):
     """What a sequence can hold at most."""
 
-    tokens: int = 1024
-    documents: int = 1024
-    attention: int = 1024 * 1024
+    tokens: int = TOKENS
+    documents: int = TOKENS
+    attention: int = TOKENS * TOKENS
 
 
 class Ids:
@@ -185,7 +191,7 @@ def pack(
     docs: DataFrame,
     path: str,
     end_id: int = 2,
-    capacity: Capacity = Capacity(),
+    capacity: Capacity | None = None,
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01),
     rule: str = "norm",
     id_col: str = "doc_id",
@@ -193,21 +199,66 @@ def pack(
 ) -> DataFrame:
     """All documents in sequences: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, a row per piece.
 
-    See :func:`tokenised` for the pieces.  Pieces are dealt evenly to groups
-    of about ``GROUP``, whatever the documents' ids, and each group is packed
-    by itself.  Null ids and repeated rows are packed like any other; an
+    See :func:`tokenised` for the pieces.  Without a ``capacity`` sequences
+    hold TOKENS tokens, and at most SPARE times the documents that a full one
+    has on average (:func:`fitting`).  Pieces are dealt evenly to groups of
+    about ``GROUP``, whatever the documents' ids, and each group is packed by
+    itself; then the sequences that are not full are taken apart, and their
+    pieces packed again in fewer groups, until one group is left or a round
+    saves nothing.  Null ids and repeated rows are packed like any other; an
     empty table gives no rows; only the two named columns are read.
     """
-    parts = stored(tokenised(docs, path, end_id, capacity.tokens, id_col, text_col), "pieces")
-    groups = max(1, -(-parts.count() // GROUP))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    tokens = TOKENS if capacity is None else capacity.tokens
+    parts = stored(tokenised(docs, path, end_id, tokens, id_col, text_col), "pieces")
+    count, total = parts.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    limit = fitting(count, total) if capacity is None else capacity
+    left, done, round_, before = parts, [], 0, None
+    while True:
+        groups = max(1, -(-count // GROUP))
+        packed = _grouped(left, groups, round_, limit, weights, rule)
+        if groups == 1:
+            done.append(packed.drop("filled"))
+            break
+        packed = stored(packed, "packed")
+        open_ = packed.where(F.col("filled") < limit.tokens)
+        again, bins, tokens_again = open_.agg(F.count("*"), F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        fewest = -(-tokens_again // limit.tokens)
+        if not again or bins <= fewest or (before is not None and bins >= before):
+            done.append(packed.drop("filled"))  # nothing is left to gain, or the last round gained nothing
+            break
+        done.append(packed.where(F.col("filled") >= limit.tokens).drop("filled"))
+        left, count, round_, before = open_.select(*parts.columns), again, round_ + 1, bins
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def fitting(pieces: int, tokens: int) -> Capacity:
+    """The capacity for so many pieces of so many tokens in all.
+
+    The documents of a sequence are limited to SPARE times those of an
+    average full one, so that short pieces are spread; as every piece has its
+    place on average, that need not cost a sequence.  Attention cannot be
+    limited below the square of the tokens: a full piece needs that much.
+    """
+    mean = pieces * TOKENS / max(1, tokens)
+    return Capacity(TOKENS, min(TOKENS, max(LEAST_DOCUMENTS, math.ceil(SPARE * mean))), TOKENS * TOKENS)
+
+
+def _grouped(parts: DataFrame, groups: int, round_: int, capacity: Capacity, weights: tuple[float, float, float], rule: str) -> DataFrame:
+    """``parts`` packed in ``groups``, with ``sequence_id``, ``offset`` and the tokens that the sequence has in all, ``filled``."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
-        bins, offset = best_fit(table.column("length").to_numpy(), capacity, weights, rule)
+        sizes = table.column("length").to_numpy()
+        bins, offset = best_fit(sizes, capacity, weights, rule)
+        filled = np.bincount(bins, sizes).astype(np.int64)[bins]
+        names = bins + (round_ << 56) + (group << 24)  # at most GROUP-like numbers of bins in a group
         out = table.drop_columns(["group"])
-        return out.append_column("sequence_id", pa.array(bins + (group << 32))).append_column("offset", pa.array(offset))
+        return out.append_column("sequence_id", pa.array(names)).append_column("offset", pa.array(offset)).append_column("filled", pa.array(filled))
 
     # A digest of the whole row: repeated rows of one document must not fall into one group by its id.
-    group = F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
+    group = F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id(), F.lit(round_)), F.lit(groups))
     return parts.withColumn("group", group).groupBy("group").applyInArrow(run, schema)
