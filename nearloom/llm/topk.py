@@ -11,6 +11,7 @@ few possible members are rescored exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,10 +20,10 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearloom.session import ship
+from nearloom.llm.runtime import cut, ship
 
-#: Vectors in a block of the index, queries in a batch; a task holds one of each.
-BLOCK, BATCH = 65_536, 512
+#: Vectors in a block of the index, queries in a batch, and queries that pass by a block in one task, which holds a block and a batch.
+BLOCK, BATCH, LANE = 65_536, 512, 4_096
 #: Impact levels of a dimension.
 LEVELS = 32
 #: Possible members that are few enough to be rescored, as a multiple of k.
@@ -106,19 +107,19 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite)
 
 
-def _sizes(column: pa.ChunkedArray) -> np.ndarray:
-    return pa.compute.list_value_length(column).to_numpy()
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows as a matrix; shorter ones end with zeros."""
     sizes = _sizes(column)
     out = np.zeros((len(sizes), width), np.int64)
-    out[np.arange(width) < sizes[:, None]] = pa.compute.list_flatten(column).to_numpy()
+    out[np.arange(width) < sizes[:, None]] = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False)
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, block: int = BLOCK, batch: int = BATCH, lane: int = LANE) -> DataFrame:
     """For each row of ``queries`` the ``k`` rows of ``vectors`` with the highest scores: ``(query_id, rank, vec_id, score)``.
 
     Score: the integer inner product of the components, each multiplied by
@@ -126,32 +127,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     candidate.  Rows without an id, null vectors and those with null or
     non-finite components take no part; of vectors of different length the
     shorter counts as ended by zeros; repeated candidates are ranked each,
-    repeated queries are one.  With fewer than ``k`` candidates all are returned.
+    repeated queries are one, and different queries of one id are ranked each.  With fewer than ``k`` candidates all are returned.
 
-    Both sides are cut in pieces of bounded size by their ids' hashes; each
-    pair of pieces is one task's search, and the blocks' best are ranked per
-    query.  Work is that of the stated query set against all rows.
+    Vectors are dealt to blocks of bounded size.  A task builds a block's
+    index once and then lets queries pass by in batches, so it holds a block
+    and a batch; a block is copied and built once per ``lane`` of queries.
+    The blocks' best are ranked per query.  Work is that of the stated query
+    set against all rows.
     """
     ship(vectors.sparkSession)
     ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", whole_numbers(F.col("v"), scale).alias("v"))
     pieces = lambda df, size: max(1, -(-df.count() // size))
-    rows, asked = ready(vectors), ready(queries).distinct()
-    blocks, batches = pieces(vectors, block), pieces(queries, batch)
-    dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    rows = ready(vectors)
+    asked = cut(ready(queries).distinct().withColumn("q", F.monotonically_increasing_id()))
+    blocks, lanes = pieces(vectors, block), pieces(asked, lane)
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("id", "v", dealt(blocks, 1).alias("b"), every(batches).alias("s"))
-    right = asked.select("id", "v", dealt(batches, 2).alias("s"), every(blocks).alias("b"))
-
-    def run(own: pa.Table, ask: pa.Table) -> pa.Table:
-        width = int(max([0, *(_sizes(t.column("v")).max(initial=0) for t in (own, ask))]))
-        out: list[tuple[int, int, int]] = []
-        if own.num_rows and ask.num_rows:
-            index = build(own.column("id").to_numpy(), _matrix(own.column("v"), width))
-            for q, v in zip(ask.column("id").to_pylist(), _matrix(ask.column("v"), width), strict=True):
-                out += [(q, i, score) for score, i in search(index, v, q, k)]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # By id and vector and a number, so that neither one id nor repeated rows fill a block of their own.
+    left = rows.select(dealt(blocks, "id", "v", F.monotonically_increasing_id()).alias("b"), every(lanes).alias("s"), F.lit(-1).cast("long").alias("q"), "id", "v")
+    right = asked.select(every(blocks).alias("b"), dealt(lanes, "q").alias("s"), "q", "id", "v")
+    both = left.unionByName(right).repartition(blocks * lanes, "b", "s").sortWithinPartitions("b", "s", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, index, known = None, [], None, 0
+
+        def answers(ask: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal index, known
+            width = int(_sizes(ask.column(4)).max(initial=0))
+            if index is None or width > known:  # shorter vectors end with zeros, so a wider query does not change them
+                known = max(width, known, *(int(_sizes(b.column(4)).max(initial=0)) for b in own))
+                index = build(np.concatenate([b.column(3).to_numpy() for b in own]), np.concatenate([_matrix(b.column(4), known) for b in own]))
+            out = [(q, i, vec, score) for q, i, v in zip(ask.column(2).to_pylist(), ask.column(3).to_pylist(), _matrix(ask.column(4), known), strict=True) for score, vec in search(index, v, i, k)]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q", "query_id", "vec_id", "score"])
+
+        for whole in batches:
+            keys = np.stack([whole.column(0).to_numpy(), whole.column(1).to_numpy(), whole.column(2).to_numpy() >= 0], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if i == j:
+                    continue
+                if (key := tuple(keys[i][:2])) != at:
+                    at, own, index, known = key, [], None, 0
+                part = whole.slice(i, j - i)
+                if not keys[i][2]:
+                    own.append(part)
+                elif own:
+                    for k_ in range(0, part.num_rows, batch):
+                        yield answers(part.slice(k_, batch))
+
+    found = both.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,6 +57,40 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack(docs.limit(0), BYTE_BPE).count() == 0
 
 
+def test_later_rounds_fill_what_groups_leave(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab ", k=rng.choice([3, 40, 900, 2500, 9000]))) for _ in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def sequences():
+        by = defaultdict(list)
+        for r in packing.pack(docs, BYTE_BPE).collect():
+            by[r["sequence_id"]].append(r)
+        for own in by.values():
+            own.sort(key=lambda r: r["offset"])
+            assert [r["offset"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist() and sum(r["length"] for r in own) <= 1024
+        return by
+
+    whole = sequences()
+    monkeypatch.setattr(packing, "GROUP", 60)
+    parts = sequences()
+    assert sorted((r["doc_id"], r["piece"]) for v in parts.values() for r in v) == sorted((r["doc_id"], r["piece"]) for v in whole.values() for r in v)
+    assert len(parts) <= 1.005 * len(whole)  # groups of 60 pieces, where production has 4,000
+    for v in whole, parts:
+        pieces, tokens = sum(map(len, v.values())), sum(r["length"] for x in v.values() for r in x)
+        limit = packing.fitting(pieces, tokens)
+        assert max(map(len, v.values())) <= limit.documents < 1024
+
+
+@pytest.mark.parametrize("limit", [packing.Capacity(100, 3, 10_000), packing.Capacity(100, 100, 4_000)])
+def test_each_capacity_rejects_a_placement(limit):
+    plain, _ = packing.best_fit(np.full(10, 20), packing.Capacity(100, 100, 10_000))
+    bound, _ = packing.best_fit(np.full(10, 20), limit)
+    assert np.bincount(plain).max() == 5 and np.bincount(bound).max() == (3 if limit.documents == 3 else 5)
+    mixed, _ = packing.best_fit(np.array([60, 30, 10]), limit)
+    assert len(set(mixed.tolist())) == (1 if limit.documents == 3 else 2)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_constraint(rule):
     rng = np.random.default_rng(1)
@@ -296,6 +330,14 @@ def test_top_k_over_tables(spark):
         found[r["query_id"]].append((r["vec_id"], r["score"]))
         assert r["rank"] == len(found[r["query_id"]])
     assert found == slow_top(good, [g for g in good if g[0] % 20 == 0], 20)
+    for sizes in ({"block": 500, "batch": 2, "lane": 4}, {"block": 20, "batch": 50, "lane": 100}):
+        again = topk.top_k(df, df.where(F.col("vec_id") % 20 == 0), **sizes).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in again] == [(q, i, s) for q in sorted(found) for i, s in found[q]]
+    # Two different queries of one id, and one id for all vectors.
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    base = spark.createDataFrame([(7, [float(i), -float(i)]) for i in range(60)], two.schema)
+    got = sorted((r["rank"], r["score"]) for r in topk.top_k(base, two, k=2, block=7, batch=1).collect())
+    assert got == [(1, 0), (1, 59 * 4096), (2, -4096), (2, 58 * 4096)]
     few = topk.top_k(df.limit(3), df.limit(1))
     assert few.count() == 2 and topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
