@@ -102,7 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_HREFS = ", ".join(f"regexp_extract(html, '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in (*urls.CANONICAL, *urls.REFRESH))
+
+def _attribute(name: str) -> str:
+    """SQL for the value of a tag's attribute, without its quotes; the empty string if it has none."""
+    value = rf"""regexp_extract(tag, '(?is)[\s"''/]{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)', 1)"""
+    return f"""CASE WHEN substr({value}, 1, 1) IN ('"', '''') THEN substr({value}, 2, length({value}) - 2) ELSE {value} END"""
+
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": f"""
@@ -115,7 +120,12 @@ WITH RECURSIVE raw AS (
     regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail
   FROM raw
 ), hrefs AS (
-  SELECT DISTINCT host, path, host || tail AS a, trim(replace(unnest([{_HREFS}]), '&amp;', '&')) AS href FROM p WHERE regexp_matches(html, '(?i)canonical|refresh')
+  SELECT DISTINCT host, path, a, trim(replace(named, '&amp;', '&')) AS href FROM (
+    SELECT host, path, a, CASE
+      WHEN lower(substr(tag, 2, 4)) = 'link' THEN CASE WHEN list_contains(regexp_split_to_array(lower({_attribute("rel")}), '\\s+'), 'canonical') THEN {_attribute("href")} END
+      WHEN lower(trim({_attribute("http-equiv")})) = 'refresh' THEN regexp_replace(trim(regexp_extract({_attribute("content")}, '(?is)url\\s*=\\s*(.*)$', 1)), '^(?:"([^"]*).*|''([^'']*).*)$', '\\1\\2') END AS named
+    FROM (SELECT host, path, host || tail AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b(?:[^>=]|=\\s*(?:"[^"]*"|''[^'']*'')?)*>')) AS tag FROM p)
+  ) WHERE named IS NOT NULL
 ), resolved AS (
   SELECT a, CASE
     WHEN href = '' OR href LIKE '#%' THEN NULL

@@ -19,21 +19,12 @@ from nearloom.llm.runtime import cut
 
 #: Rules are literals of the plan; more than this many would not belong there.
 MAX_RULES = 10_000
+#: Keys that the pages of one url are dealt to.
+SALTS = 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Patterns over a page's html: a canonical link, and a refresh that names a url, attributes in either order.  The SQL twin reads
-# only these, the first of each; see TAG for what the operator reads.
-CANONICAL = (
-    r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']([^"'>]*)["']""",
-    r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"'>]*)["'][^>]*\brel\s*=\s*["']?canonical\b""",
-)
-REFRESH = (
-    r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>]*)["']""",
-    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>]*)["'][^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-)
-
-# The same read attribute by attribute: tags (quotes count only after an equals sign, and a quoted value may hold any other
+# Links and refreshes are read attribute by attribute: tags (quotes count only after an equals sign, and a quoted value may hold any other
 # character), what sets an attribute in one, and the url of a refresh.  The parts are bounded for the sake of the matcher's stack.
 TAG = r"""(?is)<(?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,1000}+>"""
 ATTRIBUTE = r"""(?is)([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
@@ -173,5 +164,10 @@ def judge(
     name, action = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "_action": action})
     bad = blocked_nodes(alias_edges(pages, url_col, html_col) if edges is None else edges, rules)
-    by_alias = rows.join(bad.withColumn("_bad", F.lit("block")), F.col("_node") == F.col("node"), "left")
+    # Urls without a node would all meet under one key that no alias has: each gets a key of its own.  Those of one node are
+    # dealt to SALTS keys, so that a page that a third of all rows name is no single task's.
+    row = F.monotonically_increasing_id()
+    rows = rows.withColumns({"_salt": F.pmod(row, F.lit(SALTS)).cast("int"), "_key": F.when(F.col("_node") == "", F.concat(F.lit("\0"), row.cast("string"))).otherwise(F.col("_node"))})
+    bad = bad.select("node", F.lit("block").alias("_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of"))
+    by_alias = rows.join(bad, (F.col("_key") == F.col("node")) & (F.col("_salt") == F.col("_of")), "left")
     return by_alias.select("page_id", "host", "path", "rule", F.coalesce("_action", "_bad", F.lit("allow")).alias("verdict"))

@@ -4,8 +4,11 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -250,6 +253,100 @@ def test_every_form_of_alias_is_read(spark):
     assert {r["b"] for r in urls.alias_edges(rows.where("page_id = 9")).collect()} == {"b.net/fr/o'neil"}
 
 
+class Named(HTMLParser):
+    """The urls that a page names, by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.urls = []
+        self.feed(html or "")
+
+    def handle_starttag(self, tag, attrs):
+        of = {}
+        for k, v in attrs:
+            of.setdefault(k, v or "")
+        if tag == "link" and "canonical" in of.get("rel", "").lower().split():
+            self.urls.append(of.get("href", ""))
+        elif tag == "meta" and of.get("http-equiv", "").strip().lower() == "refresh" and (m := re.search(r"(?is)url\s*=\s*(.*)$", of.get("content", ""))):
+            value = m[1].strip()
+            self.urls.append(value[1:].split(value[0])[0] if value[:1] in ("'", '"') else value)
+
+    handle_startendtag = handle_starttag
+
+
+def slow_verdicts(pages):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def node(url):
+        parts = urlsplit(url)
+        return parts.netloc.lower() + parts.path + ("?" + parts.query if parts.query else "")
+
+    for _, url, html in pages:
+        for named in Named(html).urls:
+            target = urljoin(url, named.strip())
+            if target.startswith("http"):
+                parent[root(node(url))] = root(node(target))
+    bad = {root(n) for n in list(parent) if (r := slow_judge("http://" + n)[2]) and r.action == "block"}
+    out = {}
+    for i, url, _ in pages:
+        best = slow_judge(url)[2]
+        out[i] = best.action if best else "block" if node(url) in parent and root(node(url)) in bad else "allow"
+    return out
+
+
+def linked_pages():
+    """Chains, hubs, cycles and strangers, their links in many forms."""
+    rng = random.Random(12)
+    url = lambda g, i: f"http://{['a.org', 'B.org', 'c.com', 'd.net', 'www.example.com'][(g + i) % 5]}/p{g}/{i}" + ("?x=1&y=2" if i % 4 == 0 else "")
+    forms = [
+        '<link rel="canonical" href="{}">', "<link href={} rel=canonical >", "<LINK REL='alternate canonical' HREF='{}'/>", '<meta http-equiv="refresh" content="3; url={}">', """<meta content="0;URL='{}'" http-equiv='Refresh'>""",
+        "<meta http-equiv=refresh content=0;url={}>", '<link rel="stylesheet" href="{}">', '<meta name="refresh" content="0;url={}">',
+    ]
+    pages = []
+    for g in range(120):
+        n = rng.randrange(1, 30)
+        shape = g % 4
+        for i in range(n):
+            to = {0: i + 1, 1: 0, 2: (i + 1) % n, 3: rng.randrange(n)}[shape]
+            target = url(g, to)
+            if rng.random() < 0.3 and url(g, i).split("/")[2] == target.split("/")[2]:
+                target = target[target.index("/", 8) :]  # root-relative
+            html = f"<html><head>{'<link rel=icon href=x>' * (i % 3)}{rng.choice(forms).format(target.replace('&', '&amp;'))}{rng.choice(forms).format('http://e.org/' + str(rng.randrange(500))) if i % 7 == 0 else ''}</head>"
+            pages.append((1000 * g + i, url(g, i), html))
+        if g % 9 == 0:
+            pages.append((1000 * g + 900, f"http://bad{g}.net/fr/x", f'<link rel="canonical" href="{url(g, 0)}">'))
+    return pages
+
+
+def test_components_of_linked_pages_match_union_find_and_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from nearloom.llm import queries
+
+    pages = linked_pages()
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    verdict = {r["page_id"]: r["verdict"] for r in urls.judge(rows, RULES).collect()}
+    want = slow_verdicts(pages)
+    assert verdict == want and 50 < sum(v == "block" for v in want.values()) < len(pages) - 50
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert dict(con.sql(f"SELECT page_id, verdict FROM ({queries.ORACLES['op2_url_filters']})").fetchall()) == want
+
+
+def test_judging_null_and_very_long_pages(spark):
+    long = "http://a.org/" + "x" * 500_000
+    pages = [(i, None, None) for i in range(50)] + [(100, long, "<link " * 20_000 + "=" * 300_000), (101, "http://b.net/fr/1", f"<p>{'canonical ' * 60_000}</p><link rel=canonical href={long}>")]
+    verdict = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert verdict == dict.fromkeys(range(50), "allow") | {100: "block", 101: "block"}
+
+
 # Toxicity.
 
 
