@@ -15,10 +15,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearloom.llm.runtime import ship, slices
+from nearloom.llm.runtime import ship, slices, stored
 
 #: Labelled documents that the chain is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
@@ -75,9 +75,6 @@ class Rows(NamedTuple):
         sums = np.concatenate([[0.0], np.cumsum(weights[self.columns])])
         return sums[self.starts[1:]] - sums[self.starts[:-1]]
 
-    def back(self, residual: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.columns, np.repeat(residual, np.diff(self.starts)), minlength=width)
-
     def only(self, features: np.ndarray) -> "Rows":
         """The columns in the sorted ``features``, renumbered."""
         at = np.searchsorted(features, self.columns)
@@ -119,16 +116,8 @@ def _newton(x: np.ndarray, dense: np.ndarray, y: np.ndarray, ridge: float, round
     return w[:width], w[width:-1], float(w[-1])
 
 
-def _fit_link(category: str, x: Rows, earlier: np.ndarray, y: np.ndarray) -> Link:
-    """Screen the features one by one, then weigh the strongest together."""
-    width = int(x.columns.max(initial=-1)) + 1
-    texts = np.bincount(x.columns, minlength=width)
-    hits = x.back(y.astype(float), width)
-    rate = y.mean()
-    z = (hits - texts * rate) / np.sqrt(np.maximum(texts * rate * (1 - rate), 1e-9))
-    z[(texts < LEAST_TEXTS) | (np.abs(z) < LEAST_Z)] = 0
-    strong = np.sort(np.argsort(-np.abs(z), kind="stable")[:CONSIDERED])
-    strong = strong[z[strong] != 0]
+def _fit_link(category: str, x: Rows, strong: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Link:
+    """Weigh the features ``strong``, which were screened one by one, together."""
     w, chained, bias = _newton(x.only(strong).dense(len(strong)), earlier, y, RIDGE, ROUNDS)
     return Link(category, strong, w, chained, bias)
 
@@ -142,28 +131,54 @@ def _apply(link: Link, x: Rows, earlier: np.ndarray) -> np.ndarray:
     return _sigmoid(x.only(link.features).dot(link.weights) + earlier @ link.chained + link.bias)
 
 
-def fit_chain(x: Rows, labels: dict[str, np.ndarray], folds: int = FOLDS) -> list[Link]:
-    """The chain over ``labels``, in their order; ``labels`` are arrays of 0 and 1."""
+def fit_chain(x: Rows, labels: dict[str, np.ndarray], fold: np.ndarray, strong: dict[tuple[str, int], np.ndarray], folds: int = FOLDS) -> list[Link]:
+    """The chain over ``labels`` (arrays of 0 and 1), in their order.
+
+    ``fold`` has the fold of each row; ``strong`` the sorted features of each
+    category without the rows of a fold, and of all rows under fold -1.
+    """
     chain: list[Link] = []
-    # Features in too few texts could never be chosen: leave them out at once, and number the others from 0.
-    counts = np.bincount(x.columns, minlength=1)
-    known = np.flatnonzero(counts >= LEAST_TEXTS).astype(np.int32)
-    x = x.only(known)
     earlier = np.zeros((len(x), 0))
-    fold = np.arange(len(x)) % folds
+    none = np.zeros(0, np.int32)
     for category, y in labels.items():
         unseen = np.full(len(x), y.mean() if len(y) else 0.5)
         for f in range(folds):
             own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
             if len(own) and len(rest):
-                unseen[own] = _apply(_fit_link(category, x.take(rest), earlier[rest], y[rest]), x.take(own), earlier[own])
+                link = _fit_link(category, x.take(rest), strong.get((category, f), none), earlier[rest], y[rest])
+                unseen[own] = _apply(link, x.take(own), earlier[own])
         bar = np.quantile(unseen[y == 0], 1 - FALSE_RATE, method="higher") if (y == 0).any() else HIGHEST
-        chain.append(_fit_link(category, x, earlier, y)._replace(threshold=float(np.clip(bar, LOWEST, HIGHEST))))
+        chain.append(_fit_link(category, x, strong.get((category, -1), none), earlier, y)._replace(threshold=float(np.clip(bar, LOWEST, HIGHEST))))
         earlier = np.concatenate([earlier, _logit(unseen)[:, None]], axis=1)
-    chain = [link._replace(features=known[link.features]) for link in chain]
     return chain
 
 
+def screened(rows: DataFrame, categories: Sequence[str], folds: int = FOLDS, considered: int = CONSIDERED) -> DataFrame:
+    """``(category, fold, feature)``: the features that tell most about a category in the rows outside a fold, and in all (fold -1).
+
+    ``rows`` are ``(y0, y1, ..., fold, f)``.  A feature counts by its standard
+    errors from independence; ties go to the smaller one.  Counts are
+    aggregated where the rows are; only the best are kept.
+    """
+    ys = [f"y{i}" for i in range(len(categories))]
+    parts = [-1, *range(folds)]
+    outside = lambda f: F.lit(True) if f < 0 else F.col("fold") != f
+    sums = {f"n{f}": F.count_if(outside(f)) for f in parts} | {f"{y}_{f}": F.sum(F.when(outside(f), F.col(y)).otherwise(0)) for y in ys for f in parts}
+    named = [v.alias(k) for k, v in sums.items()]
+    whole = rows.agg(*named).first().asDict()
+    texts = rows.select(*ys, "fold", F.explode("f").alias("feature")).groupBy("feature").agg(*named).where(F.col("n-1") >= LEAST_TEXTS)
+
+    def z(i: int, f: int) -> Column:
+        rate = (whole[f"y{i}_{f}"] or 0) / max(whole[f"n{f}"] or 0, 1)
+        n = F.col(f"n{f}")
+        return F.when(n >= LEAST_TEXTS, F.abs((F.col(f"y{i}_{f}") - n * rate) / F.sqrt(F.greatest(n * (rate * (1 - rate)), F.lit(1e-9))))).otherwise(0.0)
+
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(f).alias("fold"), z(i, f).alias("z")) for i, c in enumerate(categories) for f in parts]))
+    found = texts.select("feature", each.alias("at")).select("at.*", "feature").where(F.col("z") >= LEAST_Z)
+    best = Window.partitionBy("category", "fold").orderBy(F.desc("z"), "feature")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= considered).select("category", "fold", "feature")
+
+
 def as_rows(features: Sequence[Sequence[int]]) -> Rows:
     arrays = [np.unique(np.asarray(f, np.int32)) for f in features]
     return Rows(np.concatenate([np.zeros(0, np.int32), *arrays]), np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int64))
@@ -181,10 +196,12 @@ def predict(chain: Sequence[Link], x: Rows) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> list[Link]:
     """Fit the chain on at most ``most`` labelled documents.
 
-    Labels with a null id or category are left out, of repeated ids the
-    largest labels count, and documents without text train as empty ones.
-    Without any labelled document every probability is one half and nothing
-    is flagged.
+    Labels with a null id or category are left out; of repeated ids the
+    largest labels and the smallest text count; documents without text train
+    as empty ones.  Without any labelled document every probability is one
+    half and nothing is flagged.  Features are screened by a distributed
+    count, so the driver takes in those that are used alone: at most
+    CONSIDERED per category and fold.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -198,15 +215,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qual
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int32()))], [*b.schema.names[:-1], "f"])
 
     ys = [f"y{i}" for i in range(len(categories))]
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "_id").select("_id", *ys, "t")
-    found = texts.mapInArrow(run, f"_id {dict(known.dtypes)['_id']}, {', '.join(f'{y} int' for y in ys)}, f array<int>").toArrow().combine_chunks()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "_id").groupBy("_id", *ys).agg(F.min("t").alias("t"))
+    fold = F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int")
+    rows = stored(texts.select("_id", *ys, fold.alias("fold"), "t").mapInArrow(run, f"_id {dict(known.dtypes)['_id']}, {', '.join(f'{y} int' for y in ys)}, fold int, f array<int>"), "features")
+    best: dict[tuple[str, int], list[int]] = {}
+    for category, part, feature in screened(rows, categories).collect():
+        best.setdefault((category, part), []).append(feature)
+    used = sorted({f for v in best.values() for f in v})
+    keep = F.array_intersect("f", F.split(F.lit(",".join(map(str, used))), ",").cast("array<int>")) if used else F.array().cast("array<int>")
+    found = rows.select("_id", *ys, "fold", keep.alias("f")).orderBy("_id").toArrow().combine_chunks()
     if not found.num_rows:
         none = np.zeros(0)
         return [Link(c, none.astype(np.int32), none, np.zeros(i), 0.0) for i, c in enumerate(categories)]
-    _, first = np.unique(found.column("_id").to_numpy(), return_index=True)  # by id, repeated ones once
-    lists = found.column("f").chunk(0) if found.column("f").num_chunks else found.column("f").combine_chunks()
-    x = Rows(lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)).take(first)
-    return fit_chain(x, {c: found.column(y).to_numpy()[first] for c, y in zip(categories, ys, strict=True)})
+    x = as_rows(found.column("f").to_pylist())
+    strong = {k: np.array(sorted(v), np.int32) for k, v in best.items()}
+    return fit_chain(x, {c: found.column(y).to_numpy() for c, y in zip(categories, ys, strict=True)}, found.column("fold").to_numpy(), strong)
 
 
 def classify(docs: DataFrame, chain: Sequence[Link], threshold: float | None = None, text_col: str = "text", flag: str = "toxic") -> DataFrame:

@@ -375,6 +375,80 @@ def test_toxicity_finds_held_out_documents(spark):
     assert sum(r["is_toxic"] for r in held if not r["truth"]) <= 0.01 * len(held)
 
 
+def slow_chain(rows, labels, fold):
+    """Probabilities of a chain over plain sets and dense double matrices, for texts ``rows``."""
+    words = [{w for w in re.findall(r"[^\W\d_]+", t.lower())} for t in rows]
+    feats = [{f for w in ws for f in toxicity.word_features(w)} for ws in words]
+
+    def fit(own, y, earlier):
+        n, rate = len(own), sum(y[i] for i in own) / len(own)
+        scored = []
+        for f in sorted({f for i in range(len(rows)) for f in feats[i]}):
+            texts = [i for i in own if f in feats[i]]
+            if len(texts) >= toxicity.LEAST_TEXTS and sum(f in s for s in feats) >= toxicity.LEAST_TEXTS:
+                z = abs(sum(y[i] for i in texts) - len(texts) * rate) / max(len(texts) * rate * (1 - rate), 1e-9) ** 0.5
+                if z >= toxicity.LEAST_Z:
+                    scored.append((-z, f))
+        strong = [f for _, f in sorted(scored)[: toxicity.CONSIDERED]]
+        row = lambda i: [float(f in feats[i]) for f in strong] + list(earlier[i]) + [1.0]
+        a, t = np.array([row(i) for i in own]), np.array([float(y[i]) for i in own])
+        ones = max(t.sum(), 0.5)
+        weigh = np.where(t > 0, n / (2 * ones), n / (2 * max(n - ones, 0.5)))
+        penalty = np.full(a.shape[1], toxicity.RIDGE)
+        penalty[-1] = 1e-3
+        w = np.zeros(a.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+            h = (a * (weigh * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(penalty)
+            step = np.linalg.solve(h, a.T @ (weigh * (p - t)) + penalty * w)
+            w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
+        return lambda i, e: 1 / (1 + np.exp(-np.clip(np.array([float(f in feats[i]) for f in strong] + list(e) + [1.0]) @ w, -35, 35)))
+
+    every = list(range(len(rows)))
+    trained, applied, out = [[] for _ in rows], [[] for _ in rows], []
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    for y in labels:
+        unseen = [0.0] * len(rows)
+        for f in range(toxicity.FOLDS):
+            model = fit([i for i in every if fold[i] != f], y, trained)
+            for i in every:
+                if fold[i] == f:
+                    unseen[i] = model(i, trained[i])
+        model = fit(every, y, trained)
+        p = [model(i, applied[i]) for i in every]
+        out.append(p)
+        for i in every:
+            trained[i] = [*trained[i], logit(unseen[i])]
+            applied[i] = [*applied[i], logit(p[i])]
+    return out
+
+
+def test_chain_matches_a_dense_one(spark):
+    rng = random.Random(16)
+    common = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 6))) for _ in range(60)]
+    rows, quality, toxic = [], [], []
+    for _ in range(240):
+        own, t, q = rng.choices(common, k=20), rng.random() < 0.3, rng.random() < 0.4
+        rows.append(" ".join([*own, *["vexno"] * (t and rng.random() < 0.9), *["clickbait"] * (q or t and rng.random() < 0.5)]))
+        quality.append(int(not q))
+        toxic.append(int(t))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(3, "zzz zzz"), (3, None)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(zip(quality, toxic, strict=True))], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    fold = [r[0] for r in spark.range(240).orderBy("id").select(F.pmod(F.xxhash64("id"), F.lit(toxicity.FOLDS))).collect()]
+    rows[3] = min(rows[3], "zzz zzz")
+    want = slow_chain(rows, [quality, toxic], fold)
+    got = {r["doc_id"]: (r["p_quality"], r["p_toxic"]) for r in toxicity.classify(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), chain).collect()}
+    assert max(abs(got[i][k] - want[k][i]) for i in range(240) for k in (0, 1)) < 2e-3
+    assert any(len(link.features) for link in chain) and len(chain[1].chained) == 1
+
+
+def test_toxicity_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 2_000_000), (3, " ".join(f"w{chr(97 + i % 26)}{'q' * (i % 50)}" for i in range(100_000)))], "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert toxicity.classify(docs, chain).count() == 3
+
+
 def test_toxicity_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -387,8 +461,8 @@ def test_sparse_rows_match_dense():
     rng = np.random.default_rng(0)
     dense = rng.random((20, 12)) < 0.3
     rows = toxicity.as_rows([np.flatnonzero(r) for r in dense])
-    w, v = rng.random(12), rng.random(20)
-    assert np.allclose(rows.dot(w), dense @ w) and np.allclose(rows.back(v, 12), dense.T @ v)
+    w = rng.random(12)
+    assert np.allclose(rows.dot(w), dense @ w)
     assert np.allclose(rows.take(np.array([3, 1, 1])).dot(w), dense[[3, 1, 1]] @ w)
     assert np.allclose(rows.only(np.array([2, 5, 11])).dot(w[[2, 5, 11]]), dense[:, [2, 5, 11]] @ w[[2, 5, 11]])
 
