@@ -28,6 +28,8 @@ from nearloom.llm.runtime import ship, slices, stored
 GROUP = 4_000
 #: The fewest and the usual documents of a sequence: the limit is so many times what an average one needs.
 LEAST_DOCUMENTS, SPARE = 16, 4
+#: A sequence that is less full than this is taken apart for the next round.
+OPEN = 0.95
 #: Encodings that a Python worker keeps from batch to batch, and the longest chunk kept.
 KEPT, LONG = 400_000, 64
 
@@ -203,9 +205,9 @@ def pack(
     hold TOKENS tokens, and at most SPARE times the documents that a full one
     has on average (:func:`fitting`).  Pieces are dealt evenly to groups of
     about ``GROUP``, whatever the documents' ids, and each group is packed by
-    itself; then the sequences that are not full are taken apart, and their
-    pieces packed again in fewer groups, until one group is left or a round
-    saves nothing.  Null ids and repeated rows are packed like any other; an
+    itself; then the sequences that are less than OPEN full are taken apart,
+    and their pieces packed again in fewer groups, until one group is left or
+    a round saves nothing.  Null ids and repeated rows are packed like any other; an
     empty table gives no rows; only the two named columns are read.
     """
     tokens = TOKENS if capacity is None else capacity.tokens
@@ -220,13 +222,13 @@ def pack(
             done.append(packed.drop("filled"))
             break
         packed = stored(packed, "packed")
-        open_ = packed.where(F.col("filled") < limit.tokens)
+        open_ = packed.where(F.col("filled") < OPEN * limit.tokens)
         again, bins, tokens_again = open_.agg(F.count("*"), F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
         fewest = -(-tokens_again // limit.tokens)
         if not again or bins <= fewest or (before is not None and bins >= before):
             done.append(packed.drop("filled"))  # nothing is left to gain, or the last round gained nothing
             break
-        done.append(packed.where(F.col("filled") >= limit.tokens).drop("filled"))
+        done.append(packed.where(F.col("filled") >= OPEN * limit.tokens).drop("filled"))
         left, count, round_, before = open_.select(*parts.columns), again, round_ + 1, bins
     out = done[0]
     for more in done[1:]:
