@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from typing import Any
 
 from nearloom.operators.codecs.camel import CamelDecoder, CamelEncoder
@@ -35,3 +36,8 @@ def encoder(algorithm: str, config: str | dict[str, int] | None = None, data_typ
 
 def decoder(algorithm: str, config: str | dict[str, int] | None = None, data_type: str = "Double") -> Any:
     return _make(1, algorithm, config, data_type)
+
+
+def copied(coder: Any) -> Any:
+    """An encoder or decoder of its own in the state of ``coder``: for coding on trial."""
+    return copy.deepcopy(coder)

@@ -94,12 +94,31 @@ def decompress(blocks: DataFrame, algorithm: str, config: dict[str, int] | str |
 
 
 def total_bits(series: DataFrame, algorithms: dict[str, tuple[str, dict[str, int] | None]]) -> DataFrame:
-    """``(algorithm, n_values, n_bits)`` over all series, for each ``{name: (codec, config)}``."""
-    out = None
-    for name, (codec, config) in algorithms.items():
-        one = compress(series, codec, config).agg(F.coalesce(F.sum("n_values"), F.lit(0)).alias("n_values"), F.coalesce(F.sum("n_bits"), F.lit(0)).alias("n_bits")).select(F.lit(name).alias("algorithm"), "n_values", "n_bits")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``(algorithm, n_values, n_bits)`` over all series, for each ``{name: (codec, config)}``; rows are sorted once, for all of them."""
+    for codec, config in algorithms.values():
+        encoder(codec, config)
+    ship(series.sparkSession)
+    rows = series.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("value").cast("double")).where("series_id IS NOT NULL AND value IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, coders, n = None, {}, 0
+        bits = dict.fromkeys(algorithms, 0)
+        for b in batches:
+            for sid, value in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if sid != now:
+                    now, coders = sid, {k: encoder(*v) for k, v in algorithms.items()}
+                n += 1
+                for k, coder in coders.items():
+                    out = BitWriter()
+                    coder.encode(value, out)
+                    bits[k] += out.n_bits
+        names = list(algorithms)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([n] * len(names), pa.int64()), pa.array([bits[k] for k in names], pa.int64())], ["algorithm", "n_values", "n_bits"])
+
+    sums = _ordered(rows, "pos", "value").mapInArrow(run, "algorithm string, n_values long, n_bits long")
+    # Every name has a row, whatever the table holds.
+    names = series.sparkSession.createDataFrame([(k, 0, 0) for k in algorithms], "algorithm string, n_values long, n_bits long")
+    return sums.unionByName(names).groupBy("algorithm").agg(F.sum("n_values").alias("n_values"), F.sum("n_bits").alias("n_bits"))
 
 
 def double_bits(x: Column) -> Column:

@@ -37,7 +37,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(at)
     files.deleteOnExit(at)
-    return path
+    return f"{path}/data"
 
 
 def cut(df: DataFrame) -> DataFrame:

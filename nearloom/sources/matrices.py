@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,17 @@ def read_csv(spark: SparkSession, path: str, width: int | None = None) -> DataFr
 
 
 def write_csv(rows: DataFrame, path: str, vector: str = "vector", precision: int = 1) -> None:
-    """Each vector as a line of fixed-point numbers with ``precision`` decimals."""
-    shown = F.transform(vector, lambda x: F.format_string(f"%.{precision}f", x.cast("double")))
-    rows.select(F.concat_ws(",", shown).alias("value")).write.mode("overwrite").text(path)
+    """Each vector as a line of fixed-point numbers with ``precision`` decimals, each the nearest to its double's exact value.
+
+    The JVM's formatter rounds the shortest decimal form instead, so lines are formatted in Python, per Arrow batch.
+    """
+    shown = f"%.{precision}f"
+
+    @F.pandas_udf("string")
+    def line(v: pd.Series) -> pd.Series:
+        return v.map(lambda xs: ",".join(shown % x for x in xs))
+
+    rows.select(line(F.col(vector).cast("array<double>")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_numbers(spark: SparkSession, path: str) -> list[int]:

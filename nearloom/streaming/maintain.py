@@ -8,6 +8,7 @@ snapshot, since ranking needs a whole batch.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nearloom.operators.codecs.bits import BitWriter
-from nearloom.operators.codecs.gorilla import GorillaEncoder
+from nearloom.operators.codecs.registry import encoder
 from nearloom.operators.search import knn
 from nearloom.session import ship
 
@@ -71,24 +72,29 @@ def answer(queries: DataFrame, base: DataFrame, k: int, sink: Callable[[DataFram
     return queries.writeStream.foreachBatch(step).outputMode("append")
 
 
-def gorilla_sizes(series: DataFrame) -> DataFrame:
-    """Running Gorilla sizes of a stream ``(series_id, pos, value)``: ``(series_id, n_values, n_bits)`` as batches come.
+def deduplicated(rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """A stream without rows that repeat ``keys`` within ``delay`` of each other by the column ``time``; state is dropped behind the watermark."""
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
-    The state of a series is its encoder: the last bits and window.
+
+def codec_sizes(series: DataFrame, algorithm: str, config: dict[str, int] | None = None) -> DataFrame:
+    """Running sizes of a stream ``(series_id, pos, value)`` under a codec: ``(series_id, n_values, n_bits)`` as batches come.
+
+    The state of a series is its encoder; the rows of a series in one
+    micro-batch are coded in order of ``pos``.
     """
+    encoder(algorithm, config)  # unknown names and parameters raise here
     ship(series.sparkSession)
 
     def step(key: tuple, batches, state: GroupState):
-        code, n, bits = GorillaEncoder(), 0, 0
-        if state.exists:
-            last, code.lead, code.tail, n, bits = state.get
-            code.last = last & (1 << 64) - 1
+        kept, n, bits = state.get if state.exists else (None, 0, 0)
+        code = pickle.loads(kept) if kept else encoder(algorithm, config)
         rows = pd.concat(list(batches)).sort_values("pos", kind="stable")
         for value in rows["value"]:
             out = BitWriter()
             code.encode(value, out)
             n, bits = n + 1, bits + out.n_bits
-        state.update((code.last - (1 << 64) if code.last >> 63 else code.last, code.lead, code.tail, n, bits))
+        state.update((pickle.dumps(code), n, bits))
         yield pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits]})
 
-    return series.groupBy("series_id").applyInPandasWithState(step, "series_id string, n_values long, n_bits long", "last long, lead int, tail int, n long, bits long", "update", GroupStateTimeout.NoTimeout)
+    return series.groupBy("series_id").applyInPandasWithState(step, "series_id string, n_values long, n_bits long", "code binary, n long, bits long", "update", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nearloom.operators.codecs import CODECS, decoder, encoder, parse_config, series
+from nearloom.operators.codecs import CODECS, copied, decoder, encoder, parse_config, series
 from nearloom.operators.codecs.bits import BitReader, BitWriter, decimal, from_decimal, leading_zeros, to_bits, trailing_zeros
 
 VARIANTS = [("Gorilla", None), ("Elf", None), ("Camel", None), ("DeXOR", None), ("DeXOR", {"buffer_bits": 3}), ("DeXOR", {"skip_available": 2}), ("DeXOR", {"rho": 2})]
@@ -98,3 +98,26 @@ def test_double_bits_keep_signs_and_nulls(spark):
     rows = spark.createDataFrame([(v,) for v in (0.0, -0.0, 1.5, float("nan"), None)], "x double")
     want = [None if v is None else struct.unpack(">q", struct.pack(">d", v))[0] for v in (0.0, -0.0, 1.5, float("nan"), None)]
     assert [r[0] for r in rows.select(series.double_bits(F.col("x"))).collect()] == want
+
+
+@pytest.mark.parametrize("codec,config", VARIANTS)
+def test_a_copied_encoder_codes_on_trial(codec, config):
+    own, out = encoder(codec, config), BitWriter()
+    for v in (1.25, 1.5, 100.75):
+        own.encode(v, out)
+    trial, spare = copied(own), BitWriter()
+    for v in (7.0, 8.25, -3.5):
+        trial.encode(v, spare)
+    own.encode(101.5, out)
+    again, whole = encoder(codec, config), BitWriter()
+    for v in (1.25, 1.5, 100.75, 101.5):
+        again.encode(v, whole)
+    assert out.take() == whole.take() and spare.n_bits
+
+
+def test_total_sizes_in_one_pass(spark):
+    names = {"a": ("Gorilla", None), "b": ("Elf", None), "c": ("DeXOR", {"buffer_bits": 3})}
+    got = {r["algorithm"]: (r["n_values"], r["n_bits"]) for r in series.total_bits(table(spark), names).collect()}
+    want = {k: tuple(series.compress(table(spark), *v).agg(F.sum("n_values"), F.sum("n_bits")).first()) for k, v in names.items()}
+    assert got == want
+    assert {tuple(r) for r in series.total_bits(table(spark).where("false"), names).collect()} == {(k, 0, 0) for k in names}

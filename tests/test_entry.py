@@ -8,7 +8,7 @@ import __spark_entry__ as entry_points
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "customer documents embeddings events orders supplier".split()
-CORE = sorted(n for n in entry_points.catalog.ORACLES)
+CORE = sorted(entry_points.catalog.ORACLES)
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
