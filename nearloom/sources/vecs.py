@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -136,9 +137,12 @@ def write(df: DataFrame, path: str, kind: str, vector: str = "vector") -> None:
         own = f"{name}/_{part:06d}-{TaskContext.get().taskAttemptId()}"
         with files.open_output_stream(own) as out:
             for b in batches:
-                rows = b.column(0).to_pylist()
-                out.write(encode(np.array(rows), kind) if rows else b"")
-                count += len(rows)
+                sizes = pa.compute.list_value_length(b.column(0)).to_numpy(zero_copy_only=False)
+                if len(sizes) and (b.column(0).null_count or (sizes != sizes[0]).any()):
+                    raise ValueError("vectors must be there and of one length")
+                if len(sizes):
+                    out.write(encode(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1), kind))
+                count += len(sizes)
         final = f"{name}/part-{part:06d}.{kind}"
         if files.get_file_info(final).type != fs.FileType.NotFound:
             files.delete_file(final)  # of a lost run of this task
