@@ -438,6 +438,19 @@ def test_codec_round_trip_and_counts(spark):
     assert piece_codec.encode(empty(spark), MODEL).count() == 0
 
 
+def test_null_ids_and_repeated_rows_are_counted_and_encoded(spark):
+    rows = spark.createDataFrame([(None, "the house"), (None, None), (4, "the house"), (4, "the house"), (5, "")], "doc_id long, text string")
+    counts = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.token_counts(rows, MODEL).collect())
+    n = len(piece_codec.encode_text("the house", MODEL))
+    assert counts == sorted([("None", n), ("None", 0), ("4", n), ("4", n), ("5", 0)])
+    back = piece_codec.decode(piece_codec.encode(rows, MODEL), MODEL).collect()
+    assert sorted((str(r["doc_id"]), r["decoded"]) for r in back) == sorted([("None", "the house"), ("None", ""), ("4", "the house"), ("4", "the house"), ("5", "")])
+    lists = spark.createDataFrame([(i, [i % 200 + 5] * (i % 4), None if i % 9 == 0 else [7, None, 8]) for i in range(700)], "k int, ids array<int>, more array<int>").coalesce(1)
+    one = {r["k"]: r["decoded"] for r in piece_codec.decode(lists, MODEL).collect()}
+    assert one == {i: piece_codec.decode_ids([i % 200 + 5] * (i % 4), MODEL) for i in range(700)}  # several slices of one batch
+    assert {r["decoded"] for r in piece_codec.decode(lists, MODEL, "more").collect()} == {"", piece_codec.decode_ids([7, 8], MODEL)}
+
+
 def test_trie_counts_share_prefixes():
     model, auto = pieces.load(MODEL), piece_codec.automaton(MODEL)
     found = {w for s in range(30) for w in pieces.pre_tokens(words(80, s) + " " + PROSE, model)} | {"", "▁", "▁▁▁▁▁", "▁é漢"}
