@@ -17,7 +17,8 @@ and nothing is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -153,8 +154,8 @@ def links(classes: DataFrame, segments: int = SEGMENTS, max_bits: int = 2, large
     link is found, once; a fingerprint has no more links than there are
     fingerprints so near to it.  No fingerprints give no rows.
     """
-    if not 0 <= max_bits <= 8 or segments not in (1, 2, 4):
-        raise ValueError("max_bits must lie in 0..8 and segments be 1, 2 or 4")
+    if not 0 <= max_bits <= 8 or segments not in (1, 2, 3, 4):
+        raise ValueError("max_bits must lie in 0..8 and segments in 1..4")
     tables, found = _tables([None], segments), []
     start = classes.withColumns({"flips": F.lit(0).cast("long"), "parent": F.lit(-1)})
     members, probes = _members(start, tables), _probes(start, tables, max_bits)
@@ -188,13 +189,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     they link nothing by themselves.  Repeated rows are repeated; an empty
     table gives no rows; other columns of ``docs`` are not touched.
     """
-    fps = cut(fingerprints(docs, id_col, text_col))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = cut(classes)
+    return grouped(fingerprints(docs, id_col, text_col), max_bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of :func:`fingerprints`; see :func:`near_duplicates`."""
+    fps = cut(fps)
+    named = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = components(links(named.where(F.col("rep").isNotNull()), max_bits=max_bits))
-    of_fp = named.join(groups, F.col("rep") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return fps.join(of_fp, F.col("fp") == F.col("_fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of_fp = named.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+def shingles(text: Column, size: int) -> Column:
+    """The set of a text's word shingles as hashes; a text of fewer words is one shingle, one without words none."""
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    starts = lambda ws: F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.greatest(F.size(ws) - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    # The words are bound by a lambda, or each use would split again.
+    return F.get(F.transform(F.array(words), lambda ws: F.array_distinct(F.transform(starts(ws), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, size), " "))))), F.lit(0))
+
+
+def similar(docs: DataFrame, fps: DataFrame, id_col: str, text_col: str = "text", max_bits: int = 5, segments: int = 3, size: int = 5, at_least: float = 0.8) -> DataFrame:
+    """``(a, b, likeness)``: pairs of ``docs`` within ``max_bits`` whose shingles of ``size`` words are ``at_least`` as alike.
+
+    ``fps (doc_id, fp)`` are their fingerprints.  Fingerprints find the
+    candidates, which their whole texts confirm.  Of documents with one
+    fingerprint only that with the smallest id is compared; ids are not null
+    and name one row each; an empty table gives no rows.
+    """
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    pairs = stored(links(classes, segments, max_bits), "candidates")
+    of = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    sets = stored(docs.join(of, F.col(id_col) == F.col("_id"), "left_semi").select(F.col(id_col).alias("id"), shingles(F.col(text_col), size).alias("set")), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    scored = both.withColumn("n", common).select("a", "b", F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(F.col("n") / (F.size("x") + F.size("y") - F.col("n"))).alias("likeness"))
+    return scored.where(F.col("likeness") >= at_least)
