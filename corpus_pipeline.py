@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearloom.llm import packing, secrets, simhash, toxicity
+from nearloom.llm.components import components
 from nearloom.llm.queries import BYTE_BPE, table
 from nearloom.llm.runtime import stored
 
@@ -17,13 +18,23 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group one row with the smallest id. Rows without an id stay, and so do different texts of one id."""
+    """Of each group of near copies one row with the smallest id.  Rows without an id stay, and so do different texts of one id.
+
+    Texts are near copies if their fingerprints differ in two bits or fewer.
+    Of what that leaves, those within five bits are too, if their texts
+    confirm it: five-word shingles 0.8 alike or more.
+    """
     # Rows are grouped by numbers of their own, stored so that they stay the same: one doc_id may name several texts.
     rows = stored(docs.where(F.col("doc_id").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id")
-    ranked = rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")).join(groups, "_row")
-    kept = ranked.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("it")).select(F.col("it._row").alias("_row"))
-    one = rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    first = F.min(F.struct("doc_id", "_hash", "_row")).alias("it")
+    named = rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash"))
+    groups = stored(simhash.grouped(simhash.fingerprints(rows, "_row")).select(F.col("doc_id").alias("_row"), "fp", "component_id"), "groups")
+    kept = named.join(groups, "_row").groupBy("component_id").agg(first).select(F.col("it._row").alias("_row"))
+    one = stored(rows.join(kept, "_row", "left_semi"), "one")
+    prints = groups.join(kept, "_row", "left_semi").select(F.col("_row").alias("doc_id"), "fp")
+    wider = stored(components(simhash.similar(one, prints, "_row")).withColumnRenamed("node", "_row"), "wider")
+    stay = named.join(wider, "_row").groupBy("component").agg(first).select(F.col("it._row").alias("_row"))
+    one = one.join(wider.join(stay, "_row", "left_anti"), "_row", "left_anti").select(*docs.columns)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
