@@ -290,9 +290,9 @@ class VectorIndex(_Index):
         free = self.deleted_count() - seen["restored"] if replace_deleted else 0
         slots = self.meta.slots + max(0, seen["fresh"] - free)
         self._fits(slots)
-        change = mutations.replace_deleted if replace_deleted else mutations.upsert
-        before = self.rows
-        self._commit(change(before, rows, self.meta.slots), slots=slots, next_label=self.meta.next_label + seen["rows"])
+        before, known = self.rows, not seen["fresh"]
+        after = mutations.replace_deleted(before, rows, self.meta.slots) if replace_deleted and not known else mutations.upsert(before, rows, self.meta.slots, known)
+        self._commit(after, slots=slots, next_label=self.meta.next_label + seen["rows"])
         self._changed(rows.select("label"), before.select("label").join(self.rows.select("label"), "label", "left_anti") if replace_deleted else None)
 
     def deleted_count(self) -> int:
@@ -368,7 +368,7 @@ class FlatIndex(_Index):
         slots = self.meta.slots + seen["fresh"]
         self._fits(slots)
         next_slot = self.rows.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
-        self._commit(mutations.upsert(self.rows, rows, next_slot), slots=slots, next_label=self.meta.next_label + seen["rows"])
+        self._commit(mutations.upsert(self.rows, rows, next_slot, not seen["fresh"]), slots=slots, next_label=self.meta.next_label + seen["rows"])
 
     def delete_vector(self, label: Iterable[int] | DataFrame | int) -> None:
         """Remove labels; unknown ones are ignored."""

@@ -39,12 +39,15 @@ def _over(now: DataFrame, new: DataFrame, slots: DataFrame) -> DataFrame:
     )
 
 
-def upsert(now: DataFrame, rows: DataFrame, count: int) -> DataFrame:
+def upsert(now: DataFrame, rows: DataFrame, count: int, known: bool = False) -> DataFrame:
     """``rows (label, vector, doc_id)`` written over ``now`` of ``count`` slots.
 
     A known label keeps its slot, and is restored if it was deleted; new
-    labels take the next slots in order of label.
+    labels take the next slots in order of label.  If all are ``known``
+    nothing is numbered.
     """
+    if known:
+        return _over(now, _written(rows), now.sparkSession.createDataFrame([], "label long, _slot long"))
     fresh = rows.select("label").distinct().join(now.select("label"), "label", "left_anti")
     return _over(now, _written(rows), ranked(fresh, "_slot", ["label"], count))
 
