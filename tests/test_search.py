@@ -56,7 +56,7 @@ def test_both_routes_and_the_column_form_agree(spark, data, space, monkeypatch):
     want = slow(x, q, space, 10)
     assert got(search.knn(make(spark, x), ask(spark, q), 10, space)) == want
     assert got(search.knn(make(spark, x), ask(spark, q), 10, distances.COLUMNS[space])) == want
-    for name, size in (("SENT_QUERIES", 3), ("BLOCK", 70), ("BATCH", 6)):
+    for name, size in (("SENT_QUERIES", 3), ("BLOCK", 70), ("BATCH", 6), ("LANE", 10)):
         monkeypatch.setattr(search, name, size)
     assert got(search.knn(make(spark, x), ask(spark, q), 10, space)) == want
     assert got(search.knn(make(spark, x), ask(spark, q), 10, distances.COLUMNS[space])) == want
