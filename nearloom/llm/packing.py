@@ -63,10 +63,11 @@ class Ids:
         self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
+    def __call__(self, text: str | None, special: bool = True) -> bytes:
+        """The ids of ``text``; without ``special`` the special tokens' strings are plain text."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if special and any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > KEPT:
             self.known.clear()

@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import packing, piece_codec, secrets, simhash, spotsigs, token_counts, topk, toxicity, urls, warc
+from nearloom.llm import alignment, licenses, packing, piece_codec, secrets, simhash, spelling, spotsigs, token_counts, topk, toxicity, urls, warc
+from nearloom.llm.runtime import stored
 
 #: The tokenizer files; their folder is a parameter of the operators.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -86,6 +87,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between the tokens of two tokenizers."""
+    return alignment.cross_counts(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_MODEL)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with its form and root: ``word, form, root, n, n_near, form_n``."""
+    return spelling.variants(stored(spelling.words(table(spark, sf_dir, "documents")), "words"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or holds a notice of."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc,
         op9_toxicity,
         op10_exact_top_k,
+        op11_cross_tokenizer_alignment,
+        op12_spelling_variants,
+        op13_license_scans,
     )
 }
 
@@ -182,4 +201,6 @@ WITH v AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """,
+    "op12_spelling_variants": spelling.oracle(),
+    "op13_license_scans": licenses.oracle(),
 }
