@@ -9,7 +9,7 @@ dot product of demand and residual.
 
 from __future__ import annotations
 
-import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +26,6 @@ from nearloom.llm.runtime import ship, slices, stored
 
 #: Pieces that one task packs together; what its last sequences leave free, later rounds fill with other groups' pieces.
 GROUP = 4_000
-#: The fewest and the usual documents of a sequence: the limit is so many times what an average one needs.
-LEAST_DOCUMENTS, SPARE = 16, 4
 #: A sequence that is less full than this is taken apart for the next round.
 OPEN = 0.95
 #: Encodings that a Python worker keeps from batch to batch, and the longest chunk kept.
@@ -72,7 +70,7 @@ class Ids:
         if len(self.known) > KEPT:
             self.known.clear()
         first, *rest = text.split(" ")
-        if any(not w or w[0].isspace() for w in rest):
+        if _SPACES.search(text):
             merged = [first]
             for w in rest:
                 if not w or w[0].isspace():
@@ -80,12 +78,10 @@ class Ids:
                 else:
                     merged.append(w)
             first, *rest = merged
-        out = [self._chunk(first)] if first else []
-        known = self.known
-        for w in rest:
-            got = known.get(w)
-            out.append(self._spaced(w) if got is None else got)
-        return b"".join(out)
+        out = list(map(self.known.get, rest))
+        if None in out:
+            out = [(self.known.get(w) or self._spaced(w)) if got is None else got for w, got in zip(rest, out, strict=True)]
+        return b"".join([self._chunk(first), *out] if first else out)
 
     def _chunk(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
@@ -97,6 +93,9 @@ class Ids:
         return ids
 
 
+# A space that no word follows: what comes after it belongs to it.
+_SPACES = re.compile(r" (?:\s|\Z)")
+
 # The pre-tokens of the byte-level tokenizer: a fixed pattern of its format.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -203,9 +202,8 @@ def pack(
     """All documents in sequences: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, a row per piece.
 
     See :func:`tokenised` for the pieces.  Without a ``capacity`` sequences
-    hold TOKENS tokens, and at most SPARE times the documents that a full one
-    has on average (:func:`fitting`).  Pieces are dealt evenly to groups of
-    about ``GROUP``, whatever the documents' ids, and each group is packed by
+    hold TOKENS tokens of any number of documents: nothing else may cost a
+    sequence.  Pieces are dealt evenly to groups of about ``GROUP``, whatever the documents' ids, and each group is packed by
     itself; then the sequences that are less than OPEN full are taken apart,
     and their pieces packed again in fewer groups, until one group is left or
     a round saves nothing.  Null ids and repeated rows are packed like any other; an
@@ -213,8 +211,8 @@ def pack(
     """
     tokens = TOKENS if capacity is None else capacity.tokens
     parts = stored(tokenised(docs, path, end_id, tokens, id_col, text_col), "pieces")
-    count, total = parts.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    limit = fitting(count, total) if capacity is None else capacity
+    count = parts.count()
+    limit = Capacity() if capacity is None else capacity
     left, done, round_, before = parts, [], 0, None
     while True:
         groups = max(1, -(-count // GROUP))
@@ -237,18 +235,6 @@ def pack(
     return out
 
 
-def fitting(pieces: int, tokens: int) -> Capacity:
-    """The capacity for so many pieces of so many tokens in all.
-
-    The documents of a sequence are limited to SPARE times those of an
-    average full one, so that short pieces are spread; as every piece has its
-    place on average, that need not cost a sequence.  Attention cannot be
-    limited below the square of the tokens: a full piece needs that much.
-    """
-    mean = pieces * TOKENS / max(1, tokens)
-    return Capacity(TOKENS, min(TOKENS, max(LEAST_DOCUMENTS, math.ceil(SPARE * mean))), TOKENS * TOKENS)
-
-
 def _grouped(parts: DataFrame, groups: int, round_: int, capacity: Capacity, weights: tuple[float, float, float], rule: str) -> DataFrame:
     """``parts`` packed in ``groups``, with ``sequence_id``, ``offset`` and the tokens that the sequence has in all, ``filled``."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from nearloom.llm.runtime import shared_path, ship, slices, stored
 
 VERSION = b"WARC/1.0\r\n"
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, BEGIN, BLANK = b"\x1f\x8b\x08", b"WARC/", b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Bytes of an archive that one task scans, and bytes read at once.
 SPLIT, BLOCK = 32 << 20, 1 << 20
@@ -32,8 +32,8 @@ CHUNK = 16 << 10
 MOST_TASKS = 100_000
 #: Digests of repeated payloads that are few enough to be broadcast (28 bytes each).
 SENT_DIGESTS = 200_000
-#: A place whose decompressed beginning has no blank line within so many bytes is no record.
-MOST_HEADER = 1 << 20
+#: Bytes that are decompressed at once until a record's headers have ended, whatever their length.
+LOOK = 1 << 20
 
 
 def digest32(payload: bytes) -> str:
@@ -134,31 +134,33 @@ class _Window:
 def _member_at(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
     """``(headers, block, end)`` of the record whose gzip member starts where ``window`` does; None if there is none.
 
-    What decompresses is looked at as it comes, so a place that is no record
-    is given up after MOST_HEADER bytes at most.
+    What decompresses is looked at as it comes, so a place that does not begin
+    like a record is given up at once; one that does is read to its blank line.
     """
     unpack, out, found = zlib.decompressobj(31), bytearray(), None
-    done = 0
+    done = looked = 0
     while not unpack.eof:
         if done == len(window.held) and not window.more(CHUNK):
             return None
         part = bytes(window.held[done : done + CHUNK])
         done += len(part)
-        try:
-            # No more at once than tells whether this is a record at all.
-            out += unpack.decompress(part, 0 if found else MOST_HEADER)
-            while unpack.unconsumed_tail:
-                if found is None:
-                    found = _headers(out)
-                    if found is None and (len(out) >= MOST_HEADER or not VERSION.startswith(bytes(out[:5]))):
-                        return None
-                out += unpack.decompress(unpack.unconsumed_tail, 0 if found else MOST_HEADER)
-        except zlib.error:
-            return None
-        if found is None:
-            found = _headers(out)
-            if found is None and (len(out) >= MOST_HEADER or out[:5] != VERSION[: len(out[:5])]):
+        while not unpack.eof:
+            most = 0 if found else LOOK  # no more at once than tells whether this is a record at all
+            try:
+                got = unpack.decompress(part, most)
+            except zlib.error:
                 return None
+            out += got
+            if found is None:
+                if not BEGIN.startswith(bytes(out[: len(BEGIN)])):
+                    return None
+                end = out.find(BLANK, max(0, looked - len(BLANK)))
+                looked = len(out)
+                if end >= 0 and (found := _headers(out[:end])) is None:
+                    return None
+            part = unpack.unconsumed_tail
+            if not part and (not most or len(got) < most):
+                break
     if found is None:
         return None
     headers, body = found
@@ -167,14 +169,15 @@ def _member_at(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
     return (headers, bytes(out[body : body + length]), end) if len(out) >= body + length else None
 
 
+def _number(text: str | None) -> bool:
+    return text is not None and text.isascii() and text.isdigit()
+
+
 def _headers(data: bytes | bytearray) -> tuple[dict[str, str], int] | None:
-    """The headers at the beginning of ``data``, by lower-case name, and where the block starts."""
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
-    if not data.startswith(b"WARC/") or end < 0:
-        return None
-    lines = data[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """The headers ``data``, up to their blank line, by lower-case name, and where the block starts; None if a record's are not there."""
+    lines = data.decode("utf-8", "replace").split("\r\n")[1:]
     of = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return (of, end + 4) if of.get("content-length", "").isdigit() and "warc-type" in of else None
+    return (of, len(data) + len(BLANK)) if _number(of.get("content-length")) and "warc-type" in of else None
 
 
 def records(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -231,7 +234,7 @@ def read(spark: SparkSession, source: str, split: int = SPLIT) -> DataFrame:
                 rows, size = [], 0
                 with files.open_input_file(name) as f:
                     for at, h, block in records(f, start, min(start + split, f.size())):
-                        length = h.get("x-payload-length") or h["content-length"]
+                        length = h["x-payload-length"] if _number(h.get("x-payload-length")) else h["content-length"]
                         rows.append((path, at, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), int(length), block))
                         size += len(block)
                         if size > 8 << 20:
@@ -247,7 +250,10 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     """``pages`` written as an archive in the shared folder and read back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
     A response's size and digest are taken from the payload that was read; a
-    revisit has its response's, which its headers state.
+    revisit has its response's, which its headers state.  Urls may be of any
+    length.  Null urls and payloads are empty, a null id stays null, repeated
+    rows are records each; an empty table gives no rows; only the three named
+    columns are read.
     """
     spark = pages.sparkSession
     target = shared_path(spark, "warc")
