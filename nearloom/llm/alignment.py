@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.packing import Ids, _byte_letters
+from nearloom.llm.packing import KEPT, LONG, Ids, _byte_letters
 from nearloom.llm.runtime import ship, slices, stored
 
 #: Id pairs whose counts may be sent to every task: those of the most documents.  Rarer ones are joined.
@@ -35,13 +35,48 @@ TEXT_AT_ONCE = 4_000_000
 NONE, A_END, B_END, BOTH = b"-", b"a", b"b", b"="
 _LETTER = np.frombuffer(NONE + A_END + B_END + BOTH, np.uint8)
 _SPAN = re.compile(b"[^=]*=")
+# A piece that goes on past a space.
+_PAST = re.compile("[^\u2581]\u2581")
+
+
+class PieceIds:
+    """Ids of whole texts by a piece model, as 32-bit numbers; words are encoded once and kept.
+
+    No piece of such a model goes on past a space, so a text may be cut before
+    each; where spaces follow each other, begin or end a text, or stand in it
+    as U+2581, it is encoded whole, and so are all texts of a model with other
+    pieces.
+    """
+
+    def __init__(self, path: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.whole = re.compile("(?s:.)" if any(_PAST.search(p) for p in pieces) else "\u2581|  |\\A | \\Z")
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.whole.search(text):
+            return np.array(self.model.encode(text, out_type=int, num_threads=1), np.int64)
+        if len(self.known) > KEPT:
+            self.known.clear()
+        words = text.split(" ")
+        out = list(map(self.known.get, words))
+        if None in out:
+            out = [(self.known.get(w) or self._word(w)) if got is None else got for w, got in zip(words, out, strict=True)]
+        return np.frombuffer(b"".join(out), np.int32).astype(np.int64)
+
+    def _word(self, word: str) -> bytes:
+        ids = np.array(self.model.encode(word, out_type=int, num_threads=1), np.int32).tobytes()
+        if len(word) <= LONG:
+            self.known[word] = ids
+        return ids
 
 
 class Sides(NamedTuple):
     """The two tokenizers and, per id, a token's bytes and their number."""
 
     a: Ids
-    b: sentencepiece.SentencePieceProcessor
+    b: PieceIds
     a_bytes: list[bytes]
     b_bytes: list[bytes]
     a_size: np.ndarray
@@ -51,8 +86,8 @@ class Sides(NamedTuple):
 
 @lru_cache(maxsize=2)
 def sides(a_path: str, b_path: str) -> Sides:
-    a = Ids(a_path)
-    b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a, pieces = Ids(a_path), PieceIds(b_path)
+    b = pieces.model
     byte_of = {c: x for x, c in _byte_letters().items()}
     vocabulary = a.whole.get_vocab(with_added_tokens=False)
     a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -64,7 +99,7 @@ def sides(a_path: str, b_path: str) -> Sides:
         b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace("▁", " ").encode())
     size = lambda said: np.array([len(x) for x in said], np.int64)
     decimal = {after: np.array([f"{i}{after}" for i in range(max(len(a_bytes), len(b_bytes)))], object) for after in ",|;"}
-    return Sides(a, b, a_bytes, b_bytes, size(a_bytes), size(b_bytes), decimal)
+    return Sides(a, pieces, a_bytes, b_bytes, size(a_bytes), size(b_bytes), decimal)
 
 
 def tokens(text: str | None, both: Sides) -> tuple[np.ndarray, np.ndarray] | None:
@@ -72,11 +107,11 @@ def tokens(text: str | None, both: Sides) -> tuple[np.ndarray, np.ndarray] | Non
     if not text:
         return None
     a = np.frombuffer(both.a(" " + text, special=False), "<u4").astype(np.int64)
-    b = both.b.encode(text, out_type=int, num_threads=1)
+    b = both.b(text)
     said = b" " + text.encode()
-    if b"".join(map(both.b_bytes.__getitem__, b)) != said or b"".join(map(both.a_bytes.__getitem__, a.tolist())) != said:
+    if any(b"".join(map(of.__getitem__, ids.tolist())) != said for of, ids in ((both.b_bytes, b), (both.a_bytes, a))):
         return None
-    return a, np.array(b, np.int64)
+    return a, b
 
 
 def labels(a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
@@ -89,15 +124,10 @@ def labels(a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
 
 def groups_of(labelled: bytes) -> np.ndarray:
     """Per group: the byte where it ends, its tokens of A and of B."""
-    shape: dict[bytes, tuple[int, int, int]] = {}
-    out = []
-    for span in _SPAN.findall(labelled):
-        known = shape.get(span)
-        if known is None:
-            both = span.count(BOTH)
-            known = shape[span] = (len(span), span.count(A_END) + both, span.count(B_END) + both)
-        out.append(known)
-    found = np.array(out, np.int64).reshape(-1, 3)
+    spans = _SPAN.findall(labelled)
+    kinds = {span: i for i, span in enumerate(set(spans))}  # few: what they count is counted once
+    shape = np.array([(len(s), s.count(A_END) + s.count(BOTH), s.count(B_END) + s.count(BOTH)) for s in kinds], np.int64).reshape(-1, 3)
+    found = shape[np.fromiter(map(kinds.__getitem__, spans), np.int64, len(spans))]
     found[:, 0] = np.cumsum(found[:, 0])
     return found
 

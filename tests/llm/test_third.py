@@ -110,6 +110,16 @@ def test_alignment_of_no_rows_repeated_ids_and_long_texts(spark):
     assert same[0]["n_links"] == same[0]["n_a"] + same[0]["n_b"] - same[0]["n_groups"] > 80_000
 
 
+def test_words_are_encoded_as_in_whole_texts():
+    rng = random.Random(5)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    own = alignment.PieceIds(PIECES)
+    words = [*"the Größe 漢字 😀 a. 'tis don't x=1\n\ny \ttab \u3000 \u2581 <s> </s> <0x0A> \r\n \x00 naïve e\u0301 １２ ﬁ".split(" "), "", "", "aaaa" * 30]
+    for _ in range(1500):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 12)))
+        assert own(text).tolist() == model.encode(text), text
+
+
 def test_labels_and_groups():
     import numpy as np
 
