@@ -79,10 +79,21 @@ def test_later_rounds_fill_what_groups_leave(spark, monkeypatch):
     parts = sequences()
     assert sorted((r["doc_id"], r["piece"]) for v in parts.values() for r in v) == sorted((r["doc_id"], r["piece"]) for v in whole.values() for r in v)
     assert len(parts) <= 1.005 * len(whole)  # groups of 60 pieces, where production has 4,000
-    for v in whole, parts:
-        pieces, tokens = sum(map(len, v.values())), sum(r["length"] for x in v.values() for r in x)
-        limit = packing.fitting(pieces, tokens)
-        assert max(map(len, v.values())) <= limit.documents < 1024
+
+
+def test_short_pieces_cost_no_sequence_beside_full_ones(spark):
+    """1,000 pieces of 1,024 tokens and 10,000 of one need 1,010 sequences."""
+    rows = spark.range(11_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 == 0, F.concat(F.lit("a"), F.repeat(F.lit(" a"), 1022))).alias("text"))
+    sizes = packing.pack(rows, BYTE_BPE).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces"))
+    seen = sizes.agg(F.count("*"), F.max("n"), F.sum("n"), F.max("pieces")).first()
+    assert tuple(seen) == (1010, 1024, 1000 * 1024 + 10_000, 1024)
+
+
+def test_packing_takes_very_long_texts(spark):
+    long = "the long road goes on and on\n" * 40_000
+    rows = packing.pack(spark.createDataFrame([(1, long), (2, "x" * 100_000), (3, None)], "doc_id long, text string"), BYTE_BPE).collect()
+    own = sorted((r["piece"], r["start"], r["length"]) for r in rows if r["doc_id"] == 1)
+    assert len(own) > 250 and [s for _, s, _ in own] == np.cumsum([0, *[n for _, _, n in own]])[:-1].tolist() and all(n == 1024 for _, _, n in own[1:])
 
 
 @pytest.mark.parametrize("limit", [packing.Capacity(100, 3, 10_000), packing.Capacity(100, 100, 4_000)])
@@ -170,10 +181,29 @@ def test_reader_reads_an_archive_once():
     for at in range(0, len(data), split):
         found += [b for _, _, b in warc.records(f, at, min(at + split, len(data)))]
     assert found == bodies and f.bytes <= 2.6 * len(data)  # the largest record spans six ranges
-    fake = gzip.compress(b"WARC/1.0\r\n" + b"x: y\r\n" * 400_000 + b"\r\n")  # a header past MOST_HEADER
+    fake = gzip.compress(b"WARC/1.0\r\n" + b"x: y\r\n" * 400_000 + b"\r\n")  # headers, but not those of a record
     assert [b for _, _, b in warc.records(pa.BufferReader(fake + data), 0, len(fake) + 1)] == bodies[:1]
 
 
+def test_reader_takes_headers_of_any_length_and_foreign_numbers():
+    member = lambda url, body, **more: warc._member([("WARC-Type", "response"), ("WARC-Target-URI", url), *more.items()], body, 1)
+    long = "http://x/" + "q" * (3 << 20)
+    data = member("a", b"1") + member(long, b"2") + member("c", b"3", **{"X-Payload-Length": "²"})
+    foreign = gzip.compress("WARC/1.0\r\nWARC-Type: response\r\nContent-Length: ²\r\n\r\nxx\r\n\r\n".encode())
+    data = data + foreign + member("d", b"4")
+    found = list(warc.records(pa.BufferReader(data), 0, len(data)))
+    assert [b for _, _, b in found] == [b"1", b"2", b"3", b"4"] and found[1][1]["warc-target-uri"] == long
+    for split in (100, 1000, 4096):
+        assert [b for at in range(0, len(data), split) for _, _, b in warc.records(pa.BufferReader(data), at, at + split)] == [b"1", b"2", b"3", b"4"]
+
+
+def test_long_urls_and_payloads_come_back(spark):
+    rows = [(1, "http://x/" + "u" * (2 << 20), "body"), (2, None, "body"), (3, "http://y/", "z" * (9 << 20)), (None, "http://z/", None)]
+    found = {r["page_id"]: r for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == 4 and found[3]["payload_bytes"] == 9 << 20 and found[None]["payload_bytes"] == 0
+    assert (found[1]["record_type"], found[1]["refers_to"], found[2]["record_type"]) == ("revisit", 2, "response")
+
+
 def test_archive_of_many_repeated_payloads(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "u", f"body {i % 7}") for i in range(60)] + [(59, "u", "body 3"), (None, "u", "body 1")], "page_id long, url string, html string")
     tidy = lambda: sorted(map(str, warc.archived(pages).collect()))
