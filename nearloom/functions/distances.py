@@ -48,6 +48,12 @@ def _double(x: Column) -> Column:
     return x.cast("double")
 
 
+def finite(vector: Column | str) -> Column:
+    """Whether no component is infinite or not a number; nulls are not asked about."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    return F.coalesce(~F.exists(v, lambda x: F.isnan(_double(x)) | (F.abs(_double(x)) == float("inf"))), F.lit(True))
+
+
 def same_length(a: Column, b: Column) -> Column:
     """True, or an error that says the dimensions differ."""
     return F.when(F.size(a) == F.size(b), True).otherwise(F.raise_error(F.lit("Wrong dimensionality of the vectors")))

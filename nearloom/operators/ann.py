@@ -1,7 +1,8 @@
-"""Approximate search: an inverted file of k-means cells, and sharded proximity graphs.
+"""Approximate search by an inverted file of k-means cells, and measures of it and of graphs.
 
-Both rescore what they find exactly, so only recall is approximate; measure it
-with :func:`nearloom.operators.search.recall` against the exact answer.
+Graphs themselves are in :mod:`nearloom.operators.shards`.  What is found is
+rescored exactly, so only recall is approximate; measure it with
+:func:`nearloom.operators.search.recall` against the exact answer.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
-from nearloom.operators.graph import Graph, levels_of
-from nearloom.operators.policies import Policy, TopK
+from nearloom.operators import shards
+from nearloom.operators.policies import TopK
 from nearloom.operators.search import BATCH, BLOCK, FOUND, LANE, _docs, _Kept, _rows, _scan, matrix, recall
 from nearloom.session import ship
+from nearloom.shared import stored
 
 #: Vectors that cells are fitted on, at most: those with the smallest hashes of their labels.
 SAMPLE = 50_000
@@ -64,14 +66,14 @@ def ivf_knn(base: DataFrame, queries: DataFrame, k: int, space: str = "l2", cell
     to each part, so that no task holds a whole cell.
     """
     ship(base.sparkSession)
-    live = base.where(~F.col("deleted")).select("label", "vector", "doc_id")
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    live = base.where(~F.col("deleted")).where(distances.finite("vector")).select("label", "vector", "doc_id")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where(distances.finite("vector"))
     if space == "cosine":
         live, asked = (df.withColumn("vector", distances.normalize(F.col("vector"))) for df in (live, asked))
     centres = fit_cells(live.withColumn("deleted", F.lit(False)), cells, seed=seed)
     if not len(centres):
         return base.sparkSession.createDataFrame([], "query_id long, rank int, label long, doc_id long, distance double")
-    placed = _nearest_cells(live, "label", centres, 1)
+    placed = stored(_nearest_cells(live, "label", centres, 1), "cells")
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
     parts = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // BLOCK))])
     left = placed.withColumn("part", F.pmod(F.xxhash64("label"), parts[F.col("cell")]).cast("int"))
@@ -96,99 +98,14 @@ def ivf_knn(base: DataFrame, queries: DataFrame, k: int, space: str = "l2", cell
     return policy.choose(found).select("query_id", "rank", "label", "doc_id", "distance")
 
 
-EDGES = "shard int, level int, src long, dst array<long>"
-#: Vectors of one shard's graph.
-SHARD = 5_000
-
-
-def shard_of(shards: int) -> Column:
-    return F.pmod(F.xxhash64("label"), F.lit(shards)).cast("int")
-
-
-def build_graph(base: DataFrame, space: str | distances.Distance = "l2", links: int = 16, ef_construction: int = 200, seed: int = 100, shard_rows: int = SHARD, shards: int | None = None) -> DataFrame:
-    """Edges ``(shard, level, src, dst)`` of one proximity graph per shard of about ``shard_rows`` vectors.
-
-    All vectors of ``base`` are nodes, deleted ones too: a search passes
-    through them.  A shard's graph depends on its own vectors alone, so after
-    a change only the shards of the changed labels need to be built again,
-    with the same number of ``shards``.
-    """
-    ship(base.sparkSession)
-    rows = base.select("label", "vector")
-    shards = max(1, -(-rows.count() // shard_rows)) if shards is None else shards
-    dealt = rows.withColumn("shard", shard_of(shards))
-
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("label").to_numpy(), kind="stable")
-        labels = t.column("label").to_numpy()[order]
-        g = Graph(matrix(t.column("vector"), None)[order], space, links, ef_construction, levels_of(labels, links, seed))
-        rows = [(t.column("shard")[0].as_py(), level, int(labels[src]), labels[dst].tolist()) for level, src, dst in g.edges()]
-        return pa.table([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["shard", "level", "src", "dst"])
-
-    return dealt.groupBy("shard").applyInArrow(run, EDGES)
-
-
-def graph_search(
-    base: DataFrame, edges: DataFrame, queries: DataFrame, policy: Policy, space: str | distances.Distance = "l2", ef: int = 10, where: Column | None = None, shards: int | None = None, metrics: Observation | None = None
-) -> DataFrame:
-    """``(query_id, rank, label, doc_id, distance)`` by beam search in every shard's graph, the shards' best merged.
-
-    Deleted rows and those that ``where`` excludes stay in the graph: the beam
-    passes through them but neither returns nor counts them.  ``ef`` is the
-    width of the beam: candidates, those beyond a radius included, or
-    documents.  A shard and a lane of queries are one task's work.  ``metrics``
-    gets ``hops`` and ``computed`` distances of queries that found something.
-    """
-    ship(base.sparkSession)
-    allowed = ~F.col("deleted") if where is None else ~F.col("deleted") & F.coalesce(where, F.lit(False))
-    rows = base.select("label", "vector", "doc_id", allowed.alias("ok"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    lanes = max(1, -(-asked.count() // LANE))
-    if shards is None:
-        shards = (edges.agg(F.max("shard")).first()[0] or 0) + 1
-    nodes = edges.groupBy("shard", "src").agg(F.collect_list(F.struct("level", "dst")).alias("out")).join(rows, F.col("src") == F.col("label"))
-    left = nodes.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select("shard", "lane", "label", "vector", "doc_id", "ok", "out")
-    right = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def run(own: pa.Table, ask: pa.Table) -> pa.Table:
-        ids = ask.column("query_id").to_numpy()
-        kept = [_Kept() for _ in ids]
-        counts = np.zeros((len(ids), 2), np.int64)
-        if own.num_rows and ask.num_rows:
-            own = own.take(pa.array(np.argsort(own.column("label").to_numpy(), kind="stable")))
-            labels, docs, x = own.column("label").to_numpy(), _docs(own.column("doc_id")), matrix(own.column("vector"), None)
-            ok = own.column("ok").to_numpy(zero_copy_only=False)
-            g = Graph.restore(x, space, [(o["level"], i, np.searchsorted(labels, o["dst"])) for i, out in enumerate(own.column("out").to_pylist()) for o in out])
-            for i, q in enumerate(matrix(ask.column("vector"), x.shape[1])):
-                before = g.hops, g.computed
-                near = g.search(q, ef, ok, policy, docs)
-                counts[i] = g.hops - before[0], g.computed - before[1]
-                kept[i].add(labels[near], docs[near], distances.exact(space, q, x[near]), policy)
-        found = _rows(ids, kept)
-        sizes = np.array([len(k.label) for k in kept], np.int64)
-        first = np.zeros((found.num_rows, 2), np.int64)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = counts[sizes > 0]
-        return pa.Table.from_arrays([*found.columns, pa.array(first[:, 0]), pa.array(first[:, 1])], [*found.schema.names, "hops", "computed"])
-
-    found = left.groupBy("shard", "lane").cogroup(right.groupBy("shard", "lane")).applyInArrow(run, f"{FOUND}, hops long, computed long")
-    if metrics is not None:
-        found = found.observe(metrics, F.coalesce(F.sum("hops"), F.lit(0)).alias("hops"), F.coalesce(F.sum("computed"), F.lit(0)).alias("computed"))
-    return policy.choose(found.drop("hops", "computed")).select("query_id", "rank", "label", "doc_id", "distance")
-
-
-def graph_knn(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, space: str | distances.Distance = "l2", ef: int = 10, **more: object) -> DataFrame:
-    """The ``k`` nearest by :func:`graph_search`, with a beam of ``ef`` or ``k`` if that is more."""
-    return graph_search(base, edges, queries, TopK(k), space, max(ef, k), **more)
-
-
-def recall_sweep(base: DataFrame, edges: DataFrame, queries: DataFrame, truth: DataFrame, k: int, efs: Sequence[int], space: str = "l2") -> list[dict[str, float]]:
-    """``ef``, ``recall`` and ``seconds_per_query`` of the graph for each beam width, to choose one by."""
+def recall_sweep(graph: shards.Shards, queries: DataFrame, truth: DataFrame, k: int, efs: Sequence[int], probes: int | None = None) -> list[dict[str, float]]:
+    """``ef``, ``recall``, ``seconds_per_query`` and ``computed`` distances a query of a graph for each beam width, to choose one by."""
     out = []
     asked = max(1, queries.count())
     for ef in efs:
-        began = time.perf_counter()
-        share = recall(graph_knn(base, edges, queries, k, space, ef), truth).first()["recall"]
-        out.append({"ef": ef, "recall": share, "seconds_per_query": (time.perf_counter() - began) / asked})
+        began, seen = time.perf_counter(), Observation()
+        share = recall(shards.knn(graph, queries, k, ef, probes=probes, metrics=seen), truth).first()["recall"]
+        out.append({"ef": ef, "recall": share, "seconds_per_query": (time.perf_counter() - began) / asked, "computed": seen.get["computed"] / asked})
     return out
 
 

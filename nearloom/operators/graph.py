@@ -28,6 +28,9 @@ def levels_of(labels: np.ndarray, links: int, seed: int) -> np.ndarray:
     return np.floor(-np.log(1.0 - (turn - np.floor(turn))) / np.log(float(max(links, 2)))).astype(int)
 
 
+_NONE = np.zeros(0, np.int64)
+
+
 class _Best:
     """What a beam has found that it may return, and whether it may stop at a distance."""
 
@@ -75,6 +78,27 @@ class Graph:
         for node, level in enumerate(levels_of(np.arange(len(x)), links, 100) if levels is None else levels):
             self._add(node, int(level))
 
+    @classmethod
+    def packed(cls, x: np.ndarray, space: str, links: int, ef_construction: int, top: int, heads: bytes, ends: bytes) -> Graph:
+        """The graph that :meth:`pack` wrote, which can be searched and changed."""
+        g = cls(np.zeros((0, x.shape[1])), space, links, ef_construction)
+        g.x, g.top = x, None if top < 0 else top
+        flat = np.frombuffer(ends, np.int32).astype(np.int64)
+        at = 0
+        for level, node, degree in np.frombuffer(heads, np.int32).reshape(-1, 3).tolist():
+            while len(g.out) <= level:
+                g.out.append({})
+            g.out[level][node] = flat[at : at + degree]
+            at += degree
+        return g
+
+    def pack(self) -> tuple[int, bytes, bytes]:
+        """The entry node (-1: none), ``(level, node, degree)`` of each list of links, and all links; 32-bit numbers."""
+        rows = list(self.edges())
+        heads = np.array([(level, src, len(dst)) for level, src, dst in rows], np.int32).reshape(-1, 3)
+        ends = np.concatenate([np.zeros(0, np.int64), *(dst for _, _, dst in rows)]).astype(np.int32)
+        return -1 if self.top is None else self.top, heads.tobytes(), ends.tobytes()
+
     @classmethod
     def restore(cls, x: np.ndarray, space: str, edges: Iterable[tuple[int, int, np.ndarray]]) -> Graph:
         g = cls(np.zeros((0, x.shape[1])), space)
@@ -129,7 +153,7 @@ class Graph:
 
     def _diverse(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Of ``found``, nearest first, those nearer to the centre than to any kept before."""
-        if len(found) <= most:
+        if len(found) < most:
             return [n for _, n in found]
         kept: list[int] = []
         for d, n in found:
@@ -169,6 +193,74 @@ class Graph:
         if level >= before:
             self.top = node
 
+    def insert(self, x: np.ndarray, levels: np.ndarray) -> None:
+        """Append the rows of ``x`` as nodes."""
+        first = len(self.x)
+        self.x = np.concatenate([self.x, x]) if len(x) else self.x
+        for i, level in enumerate(levels):
+            self._add(first + i, int(level))
+
+    def unlink(self, nodes: np.ndarray) -> None:
+        """Take ``nodes`` out of the graph and mend the links of those that led to them.
+
+        A node that is left with less than half of the links that it may have
+        chooses anew among its other neighbours and those that it reached
+        through what went, two steps away; where whole neighbourhoods go,
+        through more steps.  The rows of ``x`` stay.
+        """
+        gone = np.zeros(len(self.x), bool)
+        gone[nodes] = True
+        for level, lists in enumerate(self.out):
+            most = 2 * self.links if level == 0 else self.links
+            torn = [n for n, ends in lists.items() if len(ends) and not gone[n] and gone[ends].any()]
+            before = {n: lists[n] for n in torn}
+            for n in torn:
+                rest = before[n][~gone[before[n]]]
+                if 2 * len(rest) >= most:  # enough are left, and what comes back links to it again
+                    lists[n] = rest
+                    continue
+                pool, past = set(before[n].tolist()), set()
+                while lost := [m for m in pool if gone[m] and m not in past]:
+                    past.update(lost)
+                    pool.update(*(lists.get(m, _NONE).tolist() for m in lost))
+                    if len(pool) - len(past) > most:
+                        break
+                near = np.array(sorted(m for m in pool if not gone[m] and m != n), np.int64)
+                if len(near) < most:  # none has to be left out
+                    lists[n] = near
+                    continue
+                d = self._to(self.x[n], near)
+                order = np.argsort(d, kind="stable")
+                lists[n] = np.array(self._diverse([(float(d[i]), int(near[i])) for i in order], most), np.int64)
+            for n in nodes.tolist():
+                lists.pop(n, None)
+        while self.out and not self.out[-1]:
+            self.out.pop()
+        if self.top is None or gone[self.top]:
+            self.top = min(self.out[-1]) if self.out else None
+
+    def update(self, nodes: np.ndarray, x: np.ndarray) -> None:
+        """Move ``nodes`` to the rows of ``x``: their neighbourhoods are mended, and they are linked anew where they are now."""
+        levels = np.zeros(len(self.x), int)
+        for level, lists in enumerate(self.out):
+            levels[[n for n in nodes.tolist() if n in lists]] = level
+        self.unlink(nodes)
+        self.x = self.x.copy()
+        self.x[nodes] = x
+        for n in nodes.tolist():
+            self._add(n, int(levels[n]))
+
+    def remove(self, nodes: np.ndarray) -> np.ndarray:
+        """Take ``nodes`` out for good; the others are numbered anew.  Returns the old numbers of those that stay."""
+        self.unlink(nodes)
+        stay = np.setdiff1d(np.arange(len(self.x)), nodes)
+        new = np.full(len(self.x), -1, np.int64)
+        new[stay] = np.arange(len(stay))
+        self.out = [{int(new[n]): new[ends] for n, ends in lists.items()} for lists in self.out]
+        self.top = None if self.top is None else int(new[self.top])
+        self.x = self.x[stay]
+        return stay
+
     def search(self, q: np.ndarray, width: int, allowed: np.ndarray | None = None, policy: Policy | None = None, docs: np.ndarray | None = None) -> np.ndarray:
         """Nodes found by a beam of ``width``, nearest first; see :meth:`_beam`."""
         if self.top is None:

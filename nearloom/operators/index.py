@@ -16,15 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
-from nearloom.operators import ann, mutations, policies
+from nearloom.operators import mutations, policies, shards
 from nearloom.operators.rows import numbered
 from nearloom.operators.search import enough, knn, search
+from nearloom.operators.snapshots import Layer, Layered
 from nearloom.shared import stored
 
 MOST_LINKS = 10_000
 STRATEGIES = ("exact", "graph")
-#: Changes of flags that a snapshot carries as joins before it is written anew.
-MOST_PENDING = 8
 
 
 @dataclass(frozen=True)
@@ -44,6 +43,7 @@ class Meta:
     next_label: int = 0
     slots: int = 0
     strategy: str = "exact"
+    probes: int = 0
 
 
 class _Index:
@@ -52,13 +52,15 @@ class _Index:
     def __init__(self, spark: SparkSession, space: str, dim: int):
         self.spark = spark
         self.meta = Meta(distances.check_space(space), dim, self.kind)
-        self.rows = mutations.empty(spark)
+        self.table = Layered("label", Layer(mutations.empty(spark), 0))
         self.ready = False
-        self._pending = 0  # changes of flags that are joined to the last written snapshot
+        self._versions: dict[str, int] = {}  # by path, the saved version that this index was read from or saved as
 
     def __repr__(self) -> str:
         return f"<{type(self).__name__}(space={self.space!r}, dim={self.dim})>"
 
+    #: The snapshot as a table; what was changed since its base was written is merged as it is read.
+    rows = property(lambda self: self.table.rows)
     space = property(lambda self: self.meta.space)
     dim = property(lambda self: self.meta.dim)
     max_elements = property(lambda self: self.meta.max_elements)
@@ -89,9 +91,10 @@ class _Index:
     def _incoming(self, data: DataFrame, ids: str | None) -> tuple[DataFrame, dict[str, int]]:
         """``(label, vector, doc_id, seq)``, materialised, with labels from column ``ids`` or the running counter; and counts.
 
-        The counts are of ``rows``, of labels that the index does not have
-        (``fresh``) and of deleted ones that it has (``restored``).  One
-        aggregate finds them and all errors.
+        The counts are of ``rows`` and ``labels``, of labels that the index
+        does not have (``fresh``) and of deleted ones that it has
+        (``restored``).  Vectors that are null, of another length or not
+        finite raise.
         """
         self._need()
         vector = F.col("vector").cast("array<double>")
@@ -102,31 +105,40 @@ class _Index:
             data, ids = numbered(data, "_label", self.meta.next_label), "_label"
         rows = stored(data.select(F.col(ids).cast("long").alias("label"), vector.alias("vector"), doc.alias("doc_id"), F.monotonically_increasing_id().alias("seq")), "incoming")
         bad = F.col("vector").isNull() | (F.size("vector") != self.dim) | F.exists("vector", lambda x: x.isNull())
-        per = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).join(self.rows.select("label", "deleted"), "label", "left")
+        per = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(~distances.finite("vector")).alias("endless"))
         seen = per.agg(
-            F.sum("n").alias("rows"), F.sum("bad").alias("bad"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("unnamed"),
-            F.count_if(F.col("deleted").isNull()).alias("fresh"), F.count_if("deleted").alias("restored"),
+            F.sum("n").alias("rows"), F.count("*").alias("labels"), F.sum("bad").alias("bad"), F.sum("endless").alias("endless"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("unnamed"),
         ).first().asDict()
         if seen["bad"]:
             raise RuntimeError("Wrong dimensionality of the vectors")
+        if seen["endless"]:
+            raise RuntimeError("The vectors must be finite")
         if seen["unnamed"]:
             raise RuntimeError("The input label shape does not match the input data vector shape")
-        return rows, seen | {"rows": seen["rows"] or 0}
+        known = {"known": 0, "restored": 0}
+        if self.meta.slots and seen["labels"]:
+            known = mutations.held(self.rows, rows.select("label").distinct(), seen["labels"], "deleted").agg(F.count("*").alias("known"), F.count_if("deleted").alias("restored")).first().asDict()
+        return rows, {"rows": seen["rows"] or 0, "labels": seen["labels"], "fresh": seen["labels"] - known["known"], "restored": known["restored"]}
 
-    def _commit(self, rows: DataFrame, **values: Any) -> None:
-        """Make ``rows`` the snapshot: written once, so that no later step computes it again."""
-        self.rows, self.meta, self._pending = stored(rows, "snapshot"), replace(self.meta, **values), 0
+    def _commit(self, delta: DataFrame, **values: Any) -> None:
+        """Write ``delta`` over the snapshot: as many rows as changed, and now and then what has gathered."""
+        self.table, self.meta = self.table.changed(delta), replace(self.meta, **values)
 
     def _fits(self, slots: int) -> None:
         if slots > self.meta.max_elements:
             raise RuntimeError("The number of elements exceeds the specified limit")
 
     def _queries(self, data: DataFrame) -> DataFrame:
-        wrong = data.where(F.col("vector").isNull() | (F.size("vector") != self.dim))
-        if not wrong.isEmpty():
-            raise RuntimeError("Wrong dimensionality of the vectors")
-        if "query_id" not in data.columns:
+        named = "query_id" in data.columns
+        if not named:
             data = numbered(data, "query_id")
+        wrong = F.col("vector").isNull() | (F.size("vector") != self.dim)
+        per = data.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong")) if named else data.select(F.lit(1).alias("n"), wrong.cast("int").alias("wrong"))
+        seen = per.agg(F.max("n"), F.sum("wrong")).first()
+        if seen[1]:
+            raise RuntimeError("Wrong dimensionality of the vectors")
+        if (seen[0] or 0) > 1:
+            raise RuntimeError("two queries have one query_id")
         return data.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
 
     def knn_query(self, data: DataFrame, k: int = 1, num_threads: int = -1, filter: Column | Callable | None = None, strict: bool | None = None) -> DataFrame:
@@ -149,33 +161,45 @@ class _Index:
         return self.rows.select("label")
 
     def save_index(self, path_to_index: str) -> None:
+        """Save as the next version below the path; what is there already is not written again, and older versions stay.
+
+        If another writer has saved there since this index was read from or
+        saved there, that raises :class:`nearloom.operators.snapshots.Conflict`.
+        """
         from nearloom.operators.persist import save
 
         self._need()
-        save(self.spark, path_to_index, self.meta, self.rows)
+        self._versions[path_to_index] = save(self.spark, path_to_index, self.meta, self.table, self._saved_graph(), self._versions.get(path_to_index))
+
+    def _saved_graph(self) -> shards.Shards | None:
+        return None
 
-    def load_index(self, path_to_index: str, max_elements: int = 0, allow_replace_deleted: bool = False) -> None:
-        """Read a saved index; its distance becomes this handle's ``space``, its capacity ``max_elements`` if that suffices."""
+    def load_index(self, path_to_index: str, max_elements: int = 0, allow_replace_deleted: bool = False, version: int | None = None) -> None:
+        """Read a saved index, its last version or an older one; its capacity becomes ``max_elements`` if that suffices."""
         from nearloom.operators.persist import load
 
-        meta, rows = load(self.spark, path_to_index)
+        meta, table, graph, number = load(self.spark, path_to_index, version)
         if meta.dim != self.dim:
             raise RuntimeError("The saved index has vectors of another dimension")
         room = max_elements if max_elements >= meta.slots and max_elements > 0 else meta.max_elements
         self.meta = replace(meta, space=self.space, kind=self.kind, max_elements=room, allow_replace_deleted=allow_replace_deleted)
-        self.rows, self.ready = rows, True
+        self.table, self.ready, self._versions[path_to_index] = table, True, number
+        self._loaded_graph(graph)
+
+    def _loaded_graph(self, graph: shards.Shards | None) -> None:
+        """Take over a saved graph, if this index has any use for one."""
 
     def to_dict(self) -> dict[str, Any]:
         """The parameters and the snapshot, for :meth:`from_dict`."""
-        return {"ser_version": 1, "meta": asdict(self.meta), "ready": self.ready, "rows": self.rows}
+        return {"ser_version": 1, "meta": asdict(self.meta), "ready": self.ready, "table": self.table, "versions": dict(self._versions)}
 
     @classmethod
     def from_dict(cls, state: dict[str, Any]) -> _Index:
         if state.get("ser_version") != 1:
             raise RuntimeError("this version of a serialised index is not known")
         meta = Meta(**state["meta"])
-        out = cls(state["rows"].sparkSession, meta.space, meta.dim)
-        out.meta, out.rows, out.ready = meta, state["rows"], state["ready"]
+        out = cls(state["table"].base.rows.sparkSession, meta.space, meta.dim)
+        out.meta, out.table, out.ready, out._versions = meta, state["table"], state["ready"], dict(state["versions"])
         return out
 
     def clone(self) -> _Index:
@@ -202,38 +226,43 @@ class VectorIndex(_Index):
 
     def __init__(self, spark: SparkSession, space: str, dim: int):
         super().__init__(spark, space, dim)
-        self._edges: DataFrame | None = None
-        self._shards = 0
-        self._stale: list[DataFrame] = []  # labels whose shards' graphs are out of date
+        self._graph: shards.Shards | None = None
+        self._stale: list[DataFrame] = []  # labels that the graph does not have as they are now
+
+    def init_index(self, max_elements: int, M: int = 16, ef_construction: int = 200, random_seed: int = 100, allow_replace_deleted: bool = False, strategy: str = "exact", probes: int = 0) -> None:
+        """``strategy`` is how queries are answered: ``exact``, or by beam search in proximity ``graph``s.
 
-    def init_index(self, max_elements: int, M: int = 16, ef_construction: int = 200, random_seed: int = 100, allow_replace_deleted: bool = False, strategy: str = "exact") -> None:
-        """``strategy`` is how queries are answered: ``exact``, or by beam search in proximity ``graph``s, where ``ef`` trades recall for work."""
+        There ``ef``, the width of the beam, and ``probes``, the shards that
+        a query visits (0: a fifth, or a few of few), trade recall for work.
+        """
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
         links = min(M, MOST_LINKS)
-        self._init(max_elements=max_elements, M=links, ef_construction=max(ef_construction, links), random_seed=random_seed, allow_replace_deleted=allow_replace_deleted, strategy=strategy)
-
-    def _changed(self, *labels: DataFrame | None) -> None:
-        if self._edges is not None:
-            self._stale += [df for df in labels if df is not None]
+        self._init(max_elements=max_elements, M=links, ef_construction=max(ef_construction, links), random_seed=random_seed, allow_replace_deleted=allow_replace_deleted, strategy=strategy, probes=probes)
 
-    def edges(self) -> DataFrame:
-        """The graphs' links, a graph per shard of labels; after changes only the shards that they touch are built again.
+    def graph(self) -> shards.Shards:
+        """The shards' graphs, after changes mended where those are: only the blocks that they touch are written.
 
         Deleted vectors stay in the graph, where the beam passes through them.
         """
         self._need()
-        m, parts = self.meta, max(1, -(-self.meta.slots // ann.SHARD))
-        build = lambda rows, shards: stored(ann.build_graph(rows, self.space, m.M, m.ef_construction, m.random_seed, shards=shards), "edges")
-        if self._edges is None or parts > 2 * self._shards:
-            self._edges, self._shards = build(self.rows, parts), parts
+        m = self.meta
+        if self._graph is None:
+            self._graph = shards.build(self.rows, self.space, m.M, m.ef_construction, m.random_seed)
         elif self._stale:
-            shard = ann.shard_of(self._shards)
-            touched = reduce(DataFrame.unionByName, self._stale).select(shard.alias("shard")).distinct()
-            again = build(self.rows.withColumn("shard", shard).join(touched, "shard", "left_semi").drop("shard"), self._shards)
-            self._edges = stored(self._edges.join(touched, "shard", "left_anti").select(*again.columns).unionByName(again), "edges")
+            touched = stored(reduce(DataFrame.unionByName, self._stale).distinct(), "touched")
+            written = stored(mutations.held(self.rows, touched, touched.count(), "vector", "doc_id"), "written")
+            self._graph = shards.changed(self._graph, written, touched.join(written.select("label"), "label", "left_anti"))
         self._stale = []
-        return self._edges
+        return self._graph
+
+    def edges(self) -> DataFrame:
+        """``(shard, level, src, dst)``: the graphs' links."""
+        return shards.edges(self.graph())
+
+    def _beam(self, data: DataFrame, policy: policies.Policy, ef: int, where: Column | None) -> DataFrame:
+        barred = F.col("deleted") if where is None else F.col("deleted") | ~F.coalesce(where, F.lit(False))
+        return shards.search(self.graph(), self._queries(data), policy, ef, self.meta.probes or None, self.rows.where(barred))
 
     def knn_query(self, data: DataFrame, k: int = 1, num_threads: int = -1, filter: Column | Callable | None = None, strict: bool | None = None) -> DataFrame:
         """As for any index; by the graph strategy approximate, with a beam of ``ef`` or ``k`` if that is more."""
@@ -245,36 +274,29 @@ class VectorIndex(_Index):
         where = label_filter(filter) if callable(filter) and not isinstance(filter, Column) else filter
         if strict is None or strict:
             enough(self.rows, k, where)
-        return ann.graph_search(self.rows, self.edges(), self._queries(data), policies.TopK(k), self.space, max(self.meta.ef, k), where, self._shards)
+        return self._beam(data, policies.TopK(k), max(self.meta.ef, k), where)
 
     def search(self, data: DataFrame, policy: policies.Policy, filter: Column | None = None) -> DataFrame:
         """The search under any stop policy; by the graph strategy the beam goes on until the policy lets it stop."""
         if self.meta.strategy == "exact":
             return super().search(data, policy, filter)
-        return ann.graph_search(self.rows, self.edges(), self._queries(data), policy, self.space, self.meta.ef, filter, self._shards)
-
-    def save_index(self, path_to_index: str) -> None:
-        super().save_index(path_to_index)
-        if self.meta.strategy == "graph":
-            from nearloom.operators.persist import save_edges
-
-            save_edges(path_to_index, self.edges(), self._shards, self.space)
+        self._need()
+        return self._beam(data, policy, self.meta.ef, filter)
 
-    def load_index(self, path_to_index: str, max_elements: int = 0, allow_replace_deleted: bool = False) -> None:
-        super().load_index(path_to_index, max_elements, allow_replace_deleted)
-        if self.meta.strategy == "graph":
-            from nearloom.operators.persist import load_edges
+    def _saved_graph(self) -> shards.Shards | None:
+        return self.graph() if self.meta.strategy == "graph" else None
 
-            self._edges, self._shards = load_edges(self.spark, path_to_index, self.space)
-            self._stale = []
+    def _loaded_graph(self, graph: shards.Shards | None) -> None:
+        # A graph that was built for another distance is of no use.
+        self._graph, self._stale = graph if graph is not None and graph.params.space == self.space else None, []
 
     def to_dict(self) -> dict[str, Any]:
-        return super().to_dict() | {"graph": (self._edges, self._shards, list(self._stale))}
+        return super().to_dict() | {"graph": (self._graph, list(self._stale))}
 
     @classmethod
     def from_dict(cls, state: dict[str, Any]) -> VectorIndex:
         out = super().from_dict(state)
-        out._edges, out._shards, out._stale = state["graph"]
+        out._graph, out._stale = state["graph"][0], list(state["graph"][1])
         return out
 
     def set_ef(self, ef: int) -> None:
@@ -290,30 +312,30 @@ class VectorIndex(_Index):
         free = self.deleted_count() - seen["restored"] if replace_deleted else 0
         slots = self.meta.slots + max(0, seen["fresh"] - free)
         self._fits(slots)
-        before, known = self.rows, not seen["fresh"]
-        after = mutations.replace_deleted(before, rows, self.meta.slots) if replace_deleted and not known else mutations.upsert(before, rows, self.meta.slots, known)
-        self._commit(after, slots=slots, next_label=self.meta.next_label + seen["rows"])
-        self._changed(rows.select("label"), before.select("label").join(self.rows.select("label"), "label", "left_anti") if replace_deleted else None)
+        if not seen["rows"]:
+            return
+        before = self.rows
+        change = mutations.replaced if replace_deleted and free and seen["fresh"] else mutations.upserted
+        delta = stored(change(before, rows, self.meta.slots, seen["labels"]), "change")
+        self._commit(delta, slots=slots, next_label=self.meta.next_label + seen["rows"])
+        if self._graph is not None:
+            self._stale.append(delta.select("label"))
 
     def deleted_count(self) -> int:
         return self.rows.where("deleted").count()
 
     def _flag(self, labels: Iterable[int] | DataFrame | int, deleted: bool) -> None:
         self._need()
-        wanted = as_labels(self.spark, labels)
-        state = wanted.join(self.rows.select("label", "deleted"), "label", "left").agg(F.count_if(F.col("deleted").isNull()), F.count_if("deleted"), F.count("*")).first()
-        if state[0]:
+        wanted = stored(as_labels(self.spark, labels), "flags")
+        size = wanted.count()
+        state = mutations.held(self.rows, wanted, size, "deleted").agg(F.count("*"), F.count_if("deleted")).first()
+        if state[0] < size:
             raise RuntimeError("Label not found")
         if deleted and state[1]:
             raise RuntimeError("The requested to delete element is already deleted")
-        if not deleted and state[1] != state[2]:
+        if not deleted and state[1] != size:
             raise RuntimeError("The requested to undelete element is not deleted")
-        # Only the labels are written; the vectors again only after so many changes.
-        rows = mutations.with_flag(self.rows, stored(wanted, "flags"), deleted)
-        if self._pending + 1 >= MOST_PENDING:
-            self._commit(rows)
-        else:
-            self.rows, self._pending = rows, self._pending + 1
+        self._commit(mutations.flagged(self.rows, wanted, deleted, size))
 
     def mark_deleted(self, label: Iterable[int] | DataFrame | int) -> None:
         self._flag(label, True)
@@ -368,13 +390,15 @@ class FlatIndex(_Index):
         slots = self.meta.slots + seen["fresh"]
         self._fits(slots)
         next_slot = self.rows.agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
-        self._commit(mutations.upsert(self.rows, rows, next_slot, not seen["fresh"]), slots=slots, next_label=self.meta.next_label + seen["rows"])
+        if seen["rows"]:
+            self._commit(mutations.upserted(self.rows, rows, next_slot, seen["labels"]), slots=slots, next_label=self.meta.next_label + seen["rows"])
 
     def delete_vector(self, label: Iterable[int] | DataFrame | int) -> None:
         """Remove labels; unknown ones are ignored."""
         self._need()
-        self._commit(mutations.removed(self.rows, as_labels(self.spark, label)))
-        self.meta = replace(self.meta, slots=self.rows.count())
+        wanted = stored(as_labels(self.spark, label), "removed")
+        self._commit(mutations.removed(self.rows, wanted, wanted.count()))
+        self.meta = replace(self.meta, slots=self.rows.select("label").count())
 
 
 class LazyIndex(VectorIndex):

@@ -1,9 +1,11 @@
-"""Changes of a vector table, as functions from one immutable snapshot to the next.
+"""Changes of a vector table, as rows to be written over it.
 
 A snapshot is ``(label, vector, doc_id, deleted, slot)``: one row per slot.
-Errors are found eagerly by one small aggregate; the new snapshot is lazy, but
-what numbers its slots is materialised (:mod:`nearloom.operators.rows`), and
-only labels and slots are sorted for that, never vectors.
+Each function gives the rows that a change writes, with GONE for labels that
+vanish (:class:`nearloom.operators.snapshots.Layered`): as many as the change
+names, whatever the size of the table.  Of the table only labels, slots and
+flags are read for that, and the rows that a change of flags concerns.
+Errors are found before, by one small aggregate.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearloom.operators.rows import numbered
+from nearloom.operators.snapshots import GONE, small
+from nearloom.shared import stored
+
 COLUMNS = ["label", "vector", "doc_id", "deleted", "slot"]
 
 
@@ -26,62 +32,60 @@ def last_written(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    return last_written(rows).select("label", F.col("vector").cast("array<double>").alias("_v"), F.col("doc_id").alias("_d"), F.lit(True).alias("_new"))
-
+def held(now: DataFrame, labels: DataFrame, size: int, *columns: str) -> DataFrame:
+    """Of ``labels (label)``, distinct and at most ``size``, those that ``now`` has, with ``columns`` of it."""
+    return now.select("label", *columns).join(small(labels, size), "label")
 
-def _over(now: DataFrame, new: DataFrame, slots: DataFrame) -> DataFrame:
-    """``new`` (:func:`_written`) over ``now``; labels that ``now`` lacks take theirs of ``slots (label, _slot)``."""
-    both = now.join(new, "label", "full").join(slots, "label", "left")
-    return both.select(
-        "label", F.when(F.col("_new"), F.col("_v")).otherwise(F.col("vector")).alias("vector"), F.when(F.col("_new"), F.col("_d")).otherwise(F.col("doc_id")).alias("doc_id"),
-        F.when(F.col("_new"), False).otherwise(F.col("deleted")).alias("deleted"), F.coalesce("slot", "_slot").alias("slot"),
-    )
 
-
-def upsert(now: DataFrame, rows: DataFrame, count: int, known: bool = False) -> DataFrame:
-    """``rows (label, vector, doc_id)`` written over ``now`` of ``count`` slots.
+def upserted(now: DataFrame, rows: DataFrame, count: int, size: int) -> DataFrame:
+    """What ``size`` ``rows (label, vector, doc_id)`` write over ``now`` of ``count`` slots.
 
     A known label keeps its slot, and is restored if it was deleted; new
-    labels take the next slots in order of label.  If all are ``known``
-    nothing is numbered.
+    labels take the next slots in order of label.
     """
-    if known:
-        return _over(now, _written(rows), now.sparkSession.createDataFrame([], "label long, _slot long"))
-    fresh = rows.select("label").distinct().join(now.select("label"), "label", "left_anti")
-    return _over(now, _written(rows), ranked(fresh, "_slot", ["label"], count))
+    labels = rows.select("label").distinct()
+    known = stored(held(now, labels, size, "slot"), "known") if count else None
+    fresh = labels if known is None else labels.join(small(known.select("label"), size), "label", "left_anti")
+    slots = ranked(fresh, "slot", ["label"], count).select("label", "slot")
+    return _written(rows, slots if known is None else slots.unionByName(known), size)
+
+
+def _written(rows: DataFrame, slots: DataFrame, size: int) -> DataFrame:
+    """The last of ``rows`` of each label, in its slot."""
+    last = last_written(rows).select("label", F.col("vector").cast("array<double>").alias("vector"), "doc_id")
+    return last.join(small(slots, size), "label").select("label", "vector", "doc_id", F.lit(False).alias("deleted"), "slot", F.lit(False).alias(GONE))
 
 
 def ranked(rows: DataFrame, name: str, keys: list[str], start: int = 0) -> DataFrame:
     """``rows`` with ``name``: their rank from ``start`` by ``keys``; a range-partitioned sort, numbered per partition."""
-    from nearloom.operators.rows import numbered
-
     return numbered(rows.drop(name).repartitionByRange(*keys).sortWithinPartitions(*keys), name, start)
 
 
-def replace_deleted(now: DataFrame, rows: DataFrame, count: int) -> DataFrame:
-    """Like :func:`upsert`, but each label that is not in ``now`` takes a deleted slot, the lowest first, while there are any.
+def replaced(now: DataFrame, rows: DataFrame, count: int, size: int) -> DataFrame:
+    """Like :func:`upserted`, but each label that is not in ``now`` takes a deleted slot, the lowest first, while there are any.
 
     The label that the slot had vanishes.
     """
     labels = rows.select("label").distinct()
-    fresh = ranked(labels.join(now.select("label"), "label", "left_anti"), "_rank", ["label"])
+    known = stored(held(now, labels, size, "slot"), "known")
+    fresh = ranked(labels.join(small(known.select("label"), size), "label", "left_anti"), "_rank", ["label"])
     # A deleted label that is written again is not free.
-    free = ranked(now.where("deleted").select("label", "slot").join(labels, "label", "left_anti").select(F.col("slot").alias("_free")), "_rank", ["_free"])
-    slots = fresh.join(free, "_rank", "left").select("label", F.coalesce("_free", F.col("_rank") + count - free.count()).alias("_slot"))
-    left = now.join(slots.select(F.col("_slot").alias("slot")), "slot", "left_anti").select(*COLUMNS)
-    return _over(left, _written(rows), slots)
+    free = now.where("deleted").select(F.col("label").alias("_old"), F.col("slot").alias("_free")).join(small(labels.withColumnRenamed("label", "_old"), size), "_old", "left_anti")
+    free = stored(ranked(free, "_rank", ["_free"]), "free")
+    taken = stored(fresh.join(free, "_rank", "left").withColumn("slot", F.coalesce("_free", F.col("_rank") + count - free.count())), "taken")
+    written = _written(rows, taken.select("label", "slot").unionByName(known), size)
+    vanished = taken.where("_old IS NOT NULL").select(F.col("_old").alias("label"))
+    return written.unionByName(vanished.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
 
 
-def with_flag(now: DataFrame, labels: DataFrame, deleted: bool) -> DataFrame:
-    """``now`` with the flag of ``labels (label)`` set to ``deleted``."""
-    wanted = labels.select("label").distinct().withColumn("_hit", F.lit(True))
-    return now.join(wanted, "label", "left").withColumn("deleted", F.when(F.col("_hit"), deleted).otherwise(F.col("deleted"))).select(*COLUMNS)
+def flagged(now: DataFrame, labels: DataFrame, deleted: bool, size: int) -> DataFrame:
+    """The rows of ``labels (label)`` with their flag set to ``deleted``."""
+    return held(now, labels, size, "vector", "doc_id", "slot").withColumns({"deleted": F.lit(deleted), GONE: F.lit(False)})
 
 
-def removed(now: DataFrame, labels: DataFrame) -> DataFrame:
-    """``now`` without ``labels``; unknown ones are ignored."""
-    return now.join(labels.select("label").distinct(), "label", "left_anti").select(*COLUMNS)
+def removed(now: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """Labels of ``now`` that vanish; unknown ones are ignored."""
+    return held(now, labels.select("label").distinct(), size).select("label", *(F.lit(None).cast(t).alias(c) for c, t in zip(COLUMNS[1:], ("array<double>", "long", "boolean", "long"), strict=True)), F.lit(True).alias(GONE))
 
 
 def from_log(log: DataFrame) -> DataFrame:

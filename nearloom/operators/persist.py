@@ -1,13 +1,17 @@
-"""Saved indexes: a folder with ``meta`` (one row), ``vectors`` and, of a graph, ``edges``, all Parquet."""
+"""Saved indexes: versions of a folder, each with the index's parameters, its vectors and, of a graph, its shards."""
 
 from __future__ import annotations
 
 from dataclasses import asdict, fields
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearloom.operators import shards
+from nearloom.operators.snapshots import Conflict, Layered, Store
+
 if TYPE_CHECKING:
     from nearloom.operators.index import Meta
 
@@ -15,34 +19,43 @@ if TYPE_CHECKING:
 HEADER, LINK, COUNT, LABEL = 96, 4, 4, 8
 
 
-def save(spark: SparkSession, path: str, meta: Meta, rows: DataFrame) -> None:
-    spark.createDataFrame([asdict(meta)]).write.mode("overwrite").parquet(f"{path}/meta")
-    rows.write.mode("overwrite").parquet(f"{path}/vectors")
+def save(spark: SparkSession, path: str, meta: Meta, table: Layered, graph: shards.Shards | None, after: int | None) -> int:
+    """Commit an index as the version that follows ``after`` (none: the last there is); raises if another has.
+
+    Layers that the folder holds already are named again; the others are
+    written, each to a folder of its own.
+    """
+    store = Store(spark, path)
+    last = store.latest()
+    if after is not None and last != after:
+        raise Conflict(f"the index at {path} is at version {last}, this one was read or saved at version {after}")
+    if not isinstance(meta.space, str):
+        raise ValueError("a distance of one's own cannot be saved")
+    manifest = {"meta": asdict(meta), "vectors": store.save(table)}
+    if graph is not None:
+        manifest["graph"] = shards.save(store, graph)
+    return store.commit(0 if last is None else last + 1, manifest)
 
 
-def load(spark: SparkSession, path: str) -> tuple[Meta, DataFrame]:
+def load(spark: SparkSession, path: str, version: int | None = None) -> tuple[Meta, Layered, shards.Shards | None, int]:
+    """The parameters, vectors, graph and number of a version, or of the last."""
     from nearloom.operators.index import Meta
 
-    stored = spark.read.parquet(f"{path}/meta").collect()
+    store = Store(spark, path)
+    manifest = store.read(version)
+    found: dict[str, Any] = manifest.get("meta", {})
     names = {f.name for f in fields(Meta)}
-    if len(stored) != 1 or not names <= set(stored[0].asDict()):
-        raise RuntimeError("Index seems to be corrupted or unsupported")
-    meta = Meta(**{k: v for k, v in stored[0].asDict().items() if k in names})
-    rows = spark.read.parquet(f"{path}/vectors")
-    if rows.count() != meta.slots:
-        raise RuntimeError("Index seems to be corrupted or unsupported")
-    return meta, rows
-
-
-def save_edges(path: str, edges: DataFrame, shards: int, space: str) -> None:
-    edges.withColumns({"shards": F.lit(shards), "space": F.lit(space)}).write.mode("overwrite").parquet(f"{path}/edges")
-
-
-def load_edges(spark: SparkSession, path: str, space: str) -> tuple[DataFrame | None, int]:
-    """The saved graphs and their number, or none if they were built for another distance."""
-    rows = spark.read.parquet(f"{path}/edges")
-    first = rows.select("shards", "space").first()
-    return (rows.drop("shards", "space"), first["shards"]) if first and first["space"] == space else (None, 0)
+    try:
+        if not names <= set(found):
+            raise ValueError("a parameter is missing")
+        meta, table = Meta(**{k: v for k, v in found.items() if k in names}), store.load(manifest["vectors"])
+        for layer in (table.base, *table.deltas):
+            if layer.rows.count() != layer.count:
+                raise ValueError("rows are missing")
+        graph = shards.load(store, manifest["graph"]) if "graph" in manifest else None
+    except (KeyError, ValueError, AnalysisException) as e:
+        raise RuntimeError("Index seems to be corrupted or unsupported") from e
+    return meta, table, graph, manifest["version"]
 
 
 def graph_bytes(rows: DataFrame, meta: Meta, edges: DataFrame | None = None) -> int:

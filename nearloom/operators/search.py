@@ -71,19 +71,28 @@ class _Kept:
 
 
 def _scan(kept: list[_Kept], queries: np.ndarray, label: np.ndarray, doc: np.ndarray, base: np.ndarray, space: str, policy: Policy, radius: float | None) -> None:
+    """Add to each query's best what ``base`` has; rows with a component that is not finite have no distance and are left out."""
+    whole = np.isfinite(base).all(axis=1)
+    if not whole.all():
+        label, doc, base = label[whole], doc[whole], base[whole]
     if not len(label) or not len(queries):
         return
-    rough = distances.block(space, queries, base)
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = distances.block(space, queries, base)
+        sizes = (base * base).sum(axis=1)
     few = policy.shortlist()
-    slack = 1e-9 * (1 + np.abs(rough).max())
     for i, q in enumerate(queries):
         row = rough[i]
+        # What rounding may be off by: for each row by its own size, so that a long vector does not blur the others.
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = 1e-9 * (1 + (np.abs(row) if isinstance(space, distances.Distance) else sizes + q @ q))
+            low, high = row - slack, row + slack
         bound = np.inf if radius is None else radius
         if few is not None and few < len(row):
-            bound = min(bound, np.partition(row, few - 1)[few - 1]) if few else -np.inf
+            bound = min(bound, np.partition(high, few - 1)[few - 1]) if few else -np.inf
         if few is not None and len(kept[i].label) >= few > 0:
             bound = min(bound, kept[i].distance[few - 1])
-        near = np.flatnonzero(row <= bound + slack)
+        near = np.flatnonzero(~(low > bound))  # what overflows is asked exactly
         if len(near):
             kept[i].add(label[near], doc[near], distances.exact(space, q, base[near]), policy)
 
@@ -110,8 +119,9 @@ def search(base: DataFrame, queries: DataFrame, space: str | Callable[[Column, C
     are left out before anything is compared.  Ties go to the smaller label.
     ``space`` is a name of :data:`distances.SPACES` or a function from two
     vector columns to a distance column.  Null vectors and vectors of another
-    length raise.  Fewer rows than asked for are returned as they are; an
-    empty base or no queries give no rows.  ``metrics`` gets ``candidates``,
+    length raise; vectors with a component that is not finite have no distance:
+    they are left out, and as queries get no rows.  Fewer rows than asked for
+    are returned as they are; an empty base or no queries give no rows.  ``metrics`` gets ``candidates``,
     the rows that each query is compared with, once the answer is computed.
     """
     live = base.where(~F.col("deleted"))
@@ -119,12 +129,12 @@ def search(base: DataFrame, queries: DataFrame, space: str | Callable[[Column, C
         live = live.where(where)
     if metrics is not None:
         live = live.observe(metrics, F.count(F.lit(1)).alias("candidates"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where(distances.finite("vector"))
     # Counted before anything is fetched: few vectors may be long ones.
     size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
     small = size[0] <= SENT_QUERIES and size[1] <= SENT_VALUES
     if callable(space) and not isinstance(space, distances.Distance):
-        found = _by_column(live, asked, space, size[0], small and size[0] <= BATCH)
+        found = _by_column(live.where(distances.finite("vector")), asked, space, size[0], small and size[0] <= BATCH)
         return policy.choose(found).select("query_id", "rank", "label", "doc_id", "distance")
     distances.check_space(space)
     ship(base.sparkSession)
@@ -216,7 +226,7 @@ def _by_column(live: DataFrame, asked: DataFrame, distance: Callable[[Column, Co
 
 def enough(base: DataFrame, k: int, where: Column | None = None) -> None:
     """Raise if there are fewer than ``k`` rows that a query may find; it is the same for every query."""
-    live = base.where(~F.col("deleted"))
+    live = base.where(~F.col("deleted")).where(distances.finite("vector"))
     if (live if where is None else live.where(where)).limit(k).count() < k:
         raise RuntimeError("Cannot return the results in a contiguous 2D array: some queries have fewer than k neighbours")
 

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
-from nearloom.operators import ann, mutations, policies
+from nearloom.operators import ann, joins, mutations, policies, shards
 from nearloom.operators import search as exact
+from nearloom.operators.codecs import blocks
 from nearloom.operators.codecs import series as codecs
 from nearloom.operators.index import FlatIndex, LazyIndex, ObjectIndex, VectorIndex
 from nearloom.shared import shared_path
-from nearloom.sources import matrices, vecs
+from nearloom.sources import matrices, series_blocks, vecs
 from nearloom.streaming import maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,29 @@ def knn_custom_l1(spark: SparkSession, d: str) -> DataFrame:
     return shown(exact.knn(base(spark, d), asked(spark, d), 10, distances.l1))
 
 
+@query(knn_sql(where="b.doc_id NOT IN (3, 5)"))
+def knn_nonfinite(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of two documents have a component that is not a number or not finite: they are left out."""
+    odd = F.when(F.col("doc_id") == 3, float("nan")).when(F.col("doc_id") == 5, float("-inf"))
+    rows = base(spark, d).withColumn("vector", F.transform("vector", lambda x, i: F.when(odd.isNotNull() & (i == 2), odd).otherwise(x.cast("double"))))
+    return shown(exact.knn(rows, asked(spark, d), 10))
+
+
+@query(knn_sql())
+def knn_join(spark: SparkSession, d: str) -> DataFrame:
+    return shown(joins.knn_join(joins.pivoted(base(spark, d), block_rows=50), asked(spark, d), 10))
+
+
+@query(knn_sql("cosine"))
+def knn_join_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return shown(joins.knn_join(joins.pivoted(base(spark, d), "cosine", block_rows=50), asked(spark, d), 10))
+
+
+@query(knn_sql(k=1 << 40, epsilon=1.1))
+def radius_join(spark: SparkSession, d: str) -> DataFrame:
+    return shown(joins.radius_join(joins.pivoted(base(spark, d), block_rows=50), asked(spark, d), 1.1))
+
+
 @query("WITH k AS (" + knn_sql(columns="query_id, rk, label, round(d, 6) + 0.0 AS distance") + ") SELECT query_id, array_to_string(list(label ORDER BY rk), ',') AS labels, max(distance) AS farthest FROM k GROUP BY query_id")
 def knn_closer_first(spark: SparkSession, d: str) -> DataFrame:
     rows = exact.wide(shown(exact.knn(base(spark, d), asked(spark, d), 10)))
@@ -323,14 +347,13 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
 @query(AT_FLOOR)
 def ann_graph_recall(spark: SparkSession, d: str) -> DataFrame:
     rows = base(spark, d)
-    edges = ann.build_graph(rows, ef_construction=80, shard_rows=500)
-    found = ann.graph_knn(rows, edges, asked(spark, d), 10, ef=100)
+    found = shards.knn(shards.build(rows, ef_construction=80, shard_rows=500), asked(spark, d), 10, ef=100)
     return at_floor(found, exact.knn(rows, asked(spark, d), 10))
 
 
 @query("SELECT count(*) AS nodes, 0::BIGINT AS loops, 0::BIGINT AS repeated, 0::BIGINT AS strangers, 0::BIGINT AS without_inbound FROM embeddings")
 def graph_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return ann.graph_integrity(ann.build_graph(base(spark, d), ef_construction=80, shard_rows=500)).select("nodes", "loops", "repeated", "strangers", "without_inbound")
+    return ann.graph_integrity(shards.edges(shards.build(base(spark, d), ef_construction=80, shard_rows=500))).select("nodes", "loops", "repeated", "strangers", "without_inbound")
 
 
 def graphed(spark: SparkSession, d: str, ef: int = 100) -> VectorIndex:
@@ -365,6 +388,33 @@ def index_graph_documents(spark: SparkSession, d: str) -> DataFrame:
     return at_floor(found, exact.search(base(spark, d), asked(spark, d), "l2", policy)).select("at_floor").join(F.broadcast(beyond))  # one row each
 
 
+COPIES = 8
+
+
+@query(f"SELECT count(*) * {COPIES * 10} AS total, true AS at_floor, true AS a_fifth_visited, true AS a_quarter_computed FROM embeddings")
+def routed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector and slightly moved copies of it, in many small shards: the recall of visiting a fifth of them."""
+    moved = F.transform("vector", lambda x, i: x + 0.02 * F.sin(F.col("copy") * 37 + F.col("label") * 11 + i * 5))
+    rows = doubles(spark, d).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    rows = rows.select((F.col("label") * COPIES + F.col("copy")).alias("label"), F.when(F.col("copy") == 0, F.col("vector")).otherwise(moved).alias("vector"), "doc_id", F.lit(False).alias("deleted"))
+    queries = rows.select(F.col("label").alias("query_id"), "vector")
+    graph, seen = shards.build(rows, ef_construction=50, shard_rows=100), Observation()
+    found = shards.knn(graph, queries, 10, ef=30, metrics=seen)
+    out = at_floor(found, exact.knn(rows, queries, 10)).first()
+    asked_, held = rows.count(), len(graph.held)
+    shares = (seen.get["visits"] <= asked_ * -(-held // 5), seen.get["computed"] <= asked_ * asked_ / 4)
+    return spark.createDataFrame([(out["total"], out["at_floor"], *shares)], "total long, at_floor boolean, a_fifth_visited boolean, a_quarter_computed boolean")
+
+
+@query("SELECT count(*) * 10 AS total, true AS at_floor FROM embeddings")
+def graph_updates(spark: SparkSession, d: str) -> DataFrame:
+    """A graph that is mended after a tenth of its vectors moved, answers as well as one that is built anew."""
+    index = graphed(spark, d)
+    index.graph()
+    index.add_items(_reversed(doubles(spark, d).where("doc_id = 3")), ids="label")
+    return at_floor(index.knn_query(asked(spark, d), k=10), exact.knn(index.rows, asked(spark, d), 10))
+
+
 # Lookups and metadata.
 
 
@@ -546,6 +596,31 @@ def save_load_knn(spark: SparkSession, d: str) -> DataFrame:
     return shown(index.knn_query(asked(spark, d), k=10))
 
 
+def _saved_again(spark: SparkSession, d: str) -> str:
+    """An index that was saved, loaded, changed and saved over itself."""
+    path = _saved(spark, d, "l2")
+    index = VectorIndex(spark, "l2", 64)
+    index.load_index(path)
+    index.save_index(path)
+    index.mark_deleted(doubles(spark, d).where("doc_id = 3").select("label"))
+    index.save_index(path)
+    return path
+
+
+@query(knn_sql(where="b.doc_id <> 3"))
+def save_over_own_path(spark: SparkSession, d: str) -> DataFrame:
+    index = VectorIndex(spark, "l2", 64)
+    index.load_index(_saved_again(spark, d))
+    return shown(index.knn_query(asked(spark, d), k=10))
+
+
+@query(knn_sql())
+def load_older_version(spark: SparkSession, d: str) -> DataFrame:
+    index = VectorIndex(spark, "l2", 64)
+    index.load_index(_saved_again(spark, d), version=0)
+    return shown(index.knn_query(asked(spark, d), k=10))
+
+
 @query(knn_sql("ip"))
 def load_other_space(spark: SparkSession, d: str) -> DataFrame:
     index = VectorIndex(spark, "ip", 64)
@@ -760,6 +835,62 @@ def codec_bits_total(spark: SparkSession, d: str) -> DataFrame:
     return codecs.total_bits(rows.select(F.col("series_id").cast("string"), "pos", F.round(F.col("value").cast("double"), 4).alias("value")), SIZED)
 
 
+EXCEPTIONS = "s AS (SELECT (i - 1)::VARCHAR AS series_id, vec_id AS pos, embedding[i]::DOUBLE * 1e-30::DOUBLE AS value FROM embeddings, range(1, 65) t(i))"
+
+
+def exceptions_sql(marks: str, rho: int = 8) -> str:
+    """Sizes of DeXOR's exceptions: the width of exponent differences as it grows and shrinks, value by value."""
+    return f"""WITH RECURSIVE {EXCEPTIONS}, n AS (
+  SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS nth, count(*) OVER (PARTITION BY series_id) AS n, ('0b' || substr((value::BIT)::VARCHAR, 2, 11))::INT AS exponent FROM s
+), run(series_id, nth, exponent, width, small, bits) AS (
+  SELECT DISTINCT series_id, 0::BIGINT, 1023, 1, 0, 0::BIGINT FROM n
+  UNION ALL
+  SELECT r.series_id, v.nth, v.exponent,
+    CASE WHEN abs(v.exponent - r.exponent) > (1 << (r.width - 1)) - 1 THEN least(10, r.width + 1)
+      WHEN r.width > 1 AND abs(v.exponent - r.exponent) <= (1 << (r.width - 2)) - 1 AND r.small + 1 = {rho} THEN r.width - 1 ELSE r.width END,
+    CASE WHEN abs(v.exponent - r.exponent) > (1 << (r.width - 1)) - 1 OR r.width = 1 THEN CASE WHEN r.width = 1 AND v.exponent = r.exponent THEN r.small ELSE 0 END
+      WHEN abs(v.exponent - r.exponent) > (1 << (r.width - 2)) - 1 OR r.small + 1 = {rho} THEN 0 ELSE r.small + 1 END,
+    r.bits + r.width + CASE WHEN abs(v.exponent - r.exponent) <= (1 << (r.width - 1)) - 1 THEN 53 ELSE 64 END
+  FROM run r JOIN n v ON v.series_id = r.series_id AND v.nth = r.nth + 1
+) SELECT r.series_id, n.n AS n_values, (r.bits + 2 * {marks})::BIGINT AS n_bits FROM run r JOIN n ON n.series_id = r.series_id AND n.nth = r.nth AND n.nth = n.n"""
+
+
+def _exceptions(name: str, config: dict[str, int], marks: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Values too small for any decimal form: all are exceptions."""
+        rows = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("series_id", "value"), F.col("vec_id").alias("pos"))
+        rows = rows.select(F.col("series_id").cast("string").alias("series_id"), "pos", (F.col("value").cast("double") * F.lit(1e-30)).alias("value"))
+        return codecs.compress(rows, "DeXOR", config).groupBy("series_id").agg(F.sum("n_values").alias("n_values"), F.sum("n_bits").alias("n_bits"))
+
+    query(exceptions_sql(marks), name)(run)
+
+
+_exceptions("dexor_exceptions", {}, "n.n")
+_exceptions("dexor_exceptions_skip", {"skip_available": 4}, "least(n.n, 4)")
+
+
+@query(f"WITH {SERIES} SELECT series_id, pos, value FROM s")
+def series_blocks_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_path(spark, "blocks")
+    series_blocks.write(series(spark, d), path)
+    return series_blocks.read(spark, path)
+
+
+@query(f"WITH {SERIES} SELECT series_id, pos, value FROM s WHERE pos BETWEEN 1000 AND 3000 AND value > 100")
+def series_blocks_range(spark: SparkSession, d: str) -> DataFrame:
+    """A range of positions and values: of the stored blocks those that may hold any are decoded."""
+    path = shared_path(spark, "blocks")
+    series_blocks.write(series(spark, d), path, rows=500)
+    return series_blocks.read(spark, path).where("pos BETWEEN 1000 AND 3000 AND value > 100")
+
+
+@query(f"WITH {SERIES} SELECT count(*) AS n_values, true AS smallest FROM s")
+def codec_trial(spark: SparkSession, d: str) -> DataFrame:
+    """No block is larger than any codec alone would make it."""
+    sizes = blocks.sizes(blocks.compress(series(spark, d), 2000))
+    return sizes.agg(F.sum("n_values").alias("n_values"), F.bool_and(F.col("n_bits") <= F.array_min("each")).alias("smallest"))
+
+
 @query("""WITH b AS (SELECT o_orderkey, (o_totalprice::DOUBLE::BIT)::VARCHAR AS b FROM orders)
 SELECT o_orderkey, (instr(b, '1') - 1)::INT AS lead, (instr(reverse(b), '1') - 1)::INT AS trail, length(replace(b, '0', ''))::INT AS ones FROM b""")
 def float_bits(spark: SparkSession, d: str) -> DataFrame:

@@ -1,43 +1,43 @@
 """Index maintenance and search on streams.
 
-A stream of mutations becomes versioned snapshots, one per micro-batch, whose
-path holds the batch's number, so a batch that runs twice writes the same
-version.  Queries on a stream are answered per micro-batch against a
+A stream of mutations becomes versions of a table, one per micro-batch and of
+its number, so a batch that runs twice is committed once; each writes the rows
+that it changes.  Queries on a stream are answered per micro-batch against a
 snapshot, since ranking needs a whole batch.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nearloom.operators.codecs.bits import BitWriter
 from nearloom.operators.codecs.registry import encoder
 from nearloom.operators.search import knn
+from nearloom.operators.snapshots import GONE, Conflict, Layer, Layered, Store, small
 from nearloom.session import ship
+from nearloom.shared import stored
 
 STATE = "label long, vector array<double>, deleted boolean, seq long"
 
 
-def _version(path: str, batch: int) -> str:
-    return f"{path}/version={batch:012d}"
-
+def read_version(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The state after micro-batch ``batch``; empty before the first."""
+    return _state(Store(spark, path), batch).rows
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-
-def read_version(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """The snapshot after micro-batch ``batch``; empty before the first."""
-    own = _version(path, batch)
-    return spark.read.schema(STATE).parquet(own) if batch >= 0 and _exists(spark, f"{own}/_SUCCESS") else spark.createDataFrame([], STATE)
+def _state(store: Store, batch: int) -> Layered:
+    """The table of the last version up to ``batch``."""
+    number = max((n for n in store.versions() if n <= batch), default=None)
+    table = Layered("label", Layer(store.spark.createDataFrame([], STATE), 0)) if number is None else store.load(store.read(number)["state"])
+    return replace(table, store=store)
 
 
 def apply_log(state: DataFrame, log: DataFrame) -> DataFrame:
@@ -53,14 +53,32 @@ def apply_log(state: DataFrame, log: DataFrame) -> DataFrame:
     return both.where(F.col("vector").isNotNull())
 
 
-def maintain(log: DataFrame, path: str) -> DataStreamWriter:
-    """A writer that turns a stream of mutations into snapshots below ``path``; start it with a checkpoint location."""
+def apply_batch(log: DataFrame, path: str, number: int) -> None:
+    """Commit micro-batch ``number`` of mutations as a version of that number below ``path``.
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        apply_log(read_version(spark, path, number - 1), batch).write.mode("overwrite").parquet(_version(path, number))
+    It writes the rows of the labels that the batch names, and now and then
+    folds what has gathered.  A batch that runs again, after a failure, finds
+    its version committed and changes nothing.
+    """
+    store = Store(log.sparkSession, path)
+    if number in store.versions():
+        return
+    before = _state(store, number - 1)
+    log = stored(log.select("seq", "op", "label", "vector"), "log")
+    labels = log.select("label").distinct()
+    touched = before.rows.join(small(labels, log.count()), "label", "left_semi") if before.base.count or before.deltas else before.rows
+    try:
+        store.commit(number, {"state": store.save(before.changed(apply_log(touched, log).withColumn(GONE, F.lit(False))))})
+    except Conflict:  # another run of the same batch was first, and did the same
+        pass
 
-    return log.writeStream.foreachBatch(step).outputMode("append")
+
+def maintain(log: DataFrame, path: str) -> DataStreamWriter:
+    """A writer that turns a stream of mutations into versions below ``path``; start it with a checkpoint location.
+
+    Old versions stay until :meth:`nearloom.operators.snapshots.Store.expire`.
+    """
+    return log.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, path, number)).outputMode("append")
 
 
 def answer(queries: DataFrame, base: DataFrame, k: int, sink: Callable[[DataFrame, int], None], space: str = "l2") -> DataStreamWriter:
@@ -98,3 +116,65 @@ def codec_sizes(series: DataFrame, algorithm: str, config: dict[str, int] | None
         yield pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits]})
 
     return series.groupBy("series_id").applyInPandasWithState(step, "series_id string, n_values long, n_bits long", "code binary, n long, bits long", "update", GroupStateTimeout.NoTimeout)
+
+
+class _InOrder(StatefulProcessor):
+    """A series' encoder, and its rows that the watermark has not passed yet."""
+
+    def __init__(self, algorithm: str, config: dict[str, int] | None, idle: int | None):
+        self.algorithm, self.config, self.idle = algorithm, config, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.coder = handle.getValueState("coder", "code binary, n long, bits long, last long")
+        self.waiting = handle.getListState("waiting", "ms long, pos long, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new = new[new["value"].notna()]
+        if len(new):
+            self.waiting.appendList([(int(ms), int(pos), float(v)) for ms, pos, v in zip(new["_ms"], new["pos"], new["value"], strict=True)])
+            self.handle.registerTimer(int(new["_ms"].max()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready, left = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        code, n, bits, last = self.coder.get() if self.coder.exists() else (None, 0, 0, 0)
+        if ready:
+            state = pickle.loads(code) if code else encoder(self.algorithm, self.config)
+            for ms, _, value in ready:
+                out = BitWriter()
+                state.encode(value, out)
+                n, bits, last = n + 1, bits + out.n_bits, ms
+            self.coder.update((pickle.dumps(state), n, bits, last))
+            self.waiting.put(left) if left else self.waiting.clear()
+            if self.idle is not None:
+                self.handle.registerTimer(last + self.idle)
+            yield pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits], "closed": [False]})
+        elif self.idle is not None and code and not left and last + self.idle <= passed:
+            self.coder.clear()
+            yield pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits], "closed": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def codec_sizes_in_order(series: DataFrame, algorithm: str, config: dict[str, int] | None = None, time: str = "ts", delay: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """Running sizes of a stream ``(series_id, pos, value, <time>)`` under a codec, coded in order of time: ``(series_id, n_values, n_bits, closed)``.
+
+    Rows wait in state until the watermark, ``delay`` behind the latest time
+    seen, has passed them; then they are coded in order of time and ``pos``, so
+    rows that come out of order give the sizes of ordered ones.  Rows behind
+    the watermark are dropped.  A series without rows for ``idle`` is closed
+    with a last row, and its state is dropped.  Rows without a value count
+    nothing.  The session's state store must be RocksDB.
+    """
+    encoder(algorithm, config)  # unknown names and parameters raise here
+    ship(series.sparkSession)
+    pause = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = series.select("series_id", "pos", F.col("value").cast("double").alias("value"), F.col(time).alias("_time"), F.unix_millis(time).alias("_ms")).withWatermark("_time", delay)
+    return rows.groupBy("series_id").transformWithStateInPandas(
+        _InOrder(algorithm, config, pause), "series_id string, n_values long, n_bits long, closed boolean", "Update", "EventTime"
+    )

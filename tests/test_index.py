@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearloom.operators import ann, mutations, search
+from nearloom.operators import mutations, search, shards
 from nearloom.operators.index import FlatIndex, LazyIndex, ObjectIndex, VectorIndex
 from nearloom.operators.rows import numbered
+from nearloom.operators.snapshots import Store
 from nearloom.sources import matrices, vecs
 from nearloom.streaming import maintain
 
@@ -114,7 +115,8 @@ def test_save_load_clone_and_stats(spark, index, tmp_path):
     assert index.index_file_size() > 96 + 6 * (2 * 4 + 8 + 132)
     with pytest.raises(RuntimeError, match="dimension"):
         VectorIndex(spark, "l2", 3).load_index(str(tmp_path / "i"))
-    spark.createDataFrame([], index.rows.schema).write.mode("overwrite").parquet(str(tmp_path / "i" / "vectors"))
+    folder = Store(spark, str(tmp_path / "i")).read()["vectors"]["base"]["folder"]
+    spark.createDataFrame([], index.rows.schema).write.mode("overwrite").parquet(str(tmp_path / "i" / "data" / folder))
     with pytest.raises(RuntimeError, match="corrupted"):
         VectorIndex(spark, "l2", 2).load_index(str(tmp_path / "i"))
 
@@ -162,7 +164,7 @@ def test_numbers_do_not_depend_on_how_jobs_partition(spark):
 
 
 def test_graph_strategy_answers_saves_and_repairs(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD", 200)
+    monkeypatch.setattr(shards, "SHARD", 200)
     rng = np.random.default_rng(8)
     x = rng.random((600, 8))
     table = lambda ids, x: spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "label long, vector array<double>")
@@ -249,8 +251,12 @@ def test_csv_matrices(spark, tmp_path):
 
 def test_a_batch_that_runs_twice_writes_the_same_version(spark, tmp_path):
     log = spark.createDataFrame([(1, "add", 1, [1.0]), (2, "add", 2, [2.0])], "seq long, op string, label long, vector array<double>")
+    assert maintain.read_version(spark, str(tmp_path), -1).count() == 0
     for _ in range(2):
-        maintain.apply_log(maintain.read_version(spark, str(tmp_path), -1), log).write.mode("overwrite").parquet(maintain._version(str(tmp_path), 0))
+        maintain.apply_batch(log, str(tmp_path), 0)
     more = spark.createDataFrame([(3, "delete", 2, None), (4, "add", 3, [3.0])], log.schema)
-    now = maintain.apply_log(maintain.read_version(spark, str(tmp_path), 0), more)
-    assert sorted((r["label"], r["deleted"]) for r in now.collect()) == [(1, False), (2, True), (3, False)]
+    for _ in range(2):
+        maintain.apply_batch(more, str(tmp_path), 1)
+    state = lambda n: sorted((r["label"], r["deleted"], r["seq"]) for r in maintain.read_version(spark, str(tmp_path), n).collect())
+    assert state(1) == state(9) == [(1, False, 1), (2, True, 3), (3, False, 4)]
+    assert state(0) == [(1, False, 1), (2, False, 2)] and Store(spark, str(tmp_path)).versions() == [0, 1]

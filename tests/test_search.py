@@ -6,7 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from nearloom.functions import distances
-from nearloom.operators import ann, policies, search
+from nearloom.operators import ann, policies, search, shards
 
 
 def make(spark, x, docs=None, deleted=()):
@@ -126,16 +126,17 @@ def test_beam_filters_deletes_and_stops(spark):
     x, q = rng.random((900, 8)), rng.random((20, 8))
     docs = [int(i) % 40 for i in range(900)]
     base, asked = make(spark, x, docs, deleted=set(range(0, 900, 3))), ask(spark, q)
-    edges = ann.build_graph(base, links=12, ef_construction=60, shard_rows=450)
+    graph = shards.build(base, links=12, ef_construction=60, shard_rows=450)
+    hidden = base.where("deleted OR label % 2 = 0")
     where = F.col("label") % 2 == 1
     for policy, ef in ((policies.TopK(8), 60), (policies.Radius(0.25), 30), (policies.Radius(0.25, most=4), 40), (policies.Documents(5), 25)):
         truth = search.search(base, asked, "l2", policy, where)
         seen = Observation("beam")
-        found = ann.graph_search(base, edges, asked, policy, "l2", ef, where, metrics=seen)
+        found = shards.search(graph, asked, policy, ef, hidden=hidden, metrics=seen)
         assert found.where("label % 3 = 0 OR label % 2 = 0").count() == 0
         assert search.recall(found, truth).first()["recall"] >= 0.95, policy
         assert seen.get["computed"] > seen.get["hops"] > 0
-    assert ann.graph_search(base, edges, asked, policies.TopK(3), where=F.lit(False)).count() == 0
+    assert shards.search(graph, asked, policies.TopK(3), hidden=base).count() == 0
 
 
 def test_metrics_count_candidates(spark, data):
@@ -159,11 +160,12 @@ def test_approximate_strategies_reach_the_recall_floor(spark):
     base, asked = make(spark, x), ask(spark, q)
     truth = search.knn(base, asked, 10)
     assert search.recall(ann.ivf_knn(base, asked, 10, cells=16, probes=10), truth).first()["recall"] >= 0.95
-    edges = ann.build_graph(base, links=16, ef_construction=60, shard_rows=500)
-    found = ann.graph_knn(base, edges, asked, 10, ef=80)
+    graph = shards.build(base, links=16, ef_construction=60, shard_rows=500)
+    found = shards.knn(graph, asked, 10, ef=80)
     assert search.recall(found, truth).first()["recall"] >= 0.95
-    sweep = ann.recall_sweep(base, edges, asked, truth, 10, [10, 80])
+    sweep = ann.recall_sweep(graph, asked, truth, 10, [10, 80])
     assert sweep[0]["recall"] <= sweep[1]["recall"] and sweep[1]["recall"] >= 0.95
+    edges = shards.edges(graph)
     checks = ann.graph_integrity(edges).first()
     assert checks["nodes"] == 1200 and checks["loops"] == checks["repeated"] == checks["strangers"] == 0
     assert edges.where("level = 0 AND size(dst) > 32 OR level > 0 AND size(dst) > 16").count() == 0
