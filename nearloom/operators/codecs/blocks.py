@@ -113,7 +113,7 @@ def cut(batches: Iterator[pa.RecordBatch], rows: int = ROWS, tried: Sequence[tup
 
 def ordered(series: DataFrame, tasks: int | None = None) -> DataFrame:
     """``(series_id, pos, value)`` in ranges of series, position and value; rows without a series, a position or a value are left out."""
-    rows = series.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("value").cast("double")).na.drop()
+    rows = series.select(F.col("series_id").cast("string"), F.col("pos").cast("long"), F.col("value").cast("double")).where("series_id IS NOT NULL AND pos IS NOT NULL AND value IS NOT NULL")
     by = ["series_id", "pos", "value"]
     return (rows.repartitionByRange(*by) if tasks is None else rows.repartitionByRange(tasks, *by)).sortWithinPartitions(*by)
 

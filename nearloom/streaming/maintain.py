@@ -133,8 +133,8 @@ class _InOrder(StatefulProcessor):
         new = pd.concat(list(rows))
         new = new[new["value"].notna()]
         if len(new):
-            self.waiting.appendList([(int(ms), int(pos), float(v)) for ms, pos, v in zip(new["_ms"], new["pos"], new["value"], strict=True)])
-            self.handle.registerTimer(int(new["_ms"].max()))
+            self.waiting.appendList([(int(ms), int(pos), float(v)) for ms, pos, v in zip(new["millis"], new["pos"], new["value"], strict=True)])
+            self.handle.registerTimer(int(new["millis"].max()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -142,20 +142,26 @@ class _InOrder(StatefulProcessor):
         rows = sorted(self.waiting.get()) if self.waiting.exists() else []
         ready, left = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
         code, n, bits, last = self.coder.get() if self.coder.exists() else (None, 0, 0, 0)
+        state = pickle.loads(code) if code else encoder(self.algorithm, self.config)
+        size = lambda closed: pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits], "closed": [closed]})
+        idle = lambda now: self.idle is not None and n > 0 and now > last + self.idle
+        for ms, _, value in ready:
+            if idle(ms):
+                yield size(True)
+                state, n, bits = encoder(self.algorithm, self.config), 0, 0
+            out = BitWriter()
+            state.encode(value, out)
+            n, bits, last = n + 1, bits + out.n_bits, ms
         if ready:
-            state = pickle.loads(code) if code else encoder(self.algorithm, self.config)
-            for ms, _, value in ready:
-                out = BitWriter()
-                state.encode(value, out)
-                n, bits, last = n + 1, bits + out.n_bits, ms
-            self.coder.update((pickle.dumps(state), n, bits, last))
             self.waiting.put(left) if left else self.waiting.clear()
-            if self.idle is not None:
-                self.handle.registerTimer(last + self.idle)
-            yield pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits], "closed": [False]})
-        elif self.idle is not None and code and not left and last + self.idle <= passed:
+        if idle(passed):
+            yield size(True)
             self.coder.clear()
-            yield pd.DataFrame({"series_id": [key[0]], "n_values": [n], "n_bits": [bits], "closed": [True]})
+        elif ready:
+            self.coder.update((pickle.dumps(state), n, bits, last))
+            if self.idle is not None:
+                self.handle.registerTimer(last + self.idle + 1)
+            yield size(False)
 
     def close(self) -> None:
         pass
@@ -174,7 +180,7 @@ def codec_sizes_in_order(series: DataFrame, algorithm: str, config: dict[str, in
     encoder(algorithm, config)  # unknown names and parameters raise here
     ship(series.sparkSession)
     pause = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
-    rows = series.select("series_id", "pos", F.col("value").cast("double").alias("value"), F.col(time).alias("_time"), F.unix_millis(time).alias("_ms")).withWatermark("_time", delay)
+    rows = series.select("series_id", "pos", F.col("value").cast("double").alias("value"), F.col(time).alias("event_time"), F.unix_millis(time).alias("millis")).withWatermark("event_time", delay)
     return rows.groupBy("series_id").transformWithStateInPandas(
         _InOrder(algorithm, config, pause), "series_id string, n_values long, n_bits long, closed boolean", "Update", "EventTime"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nearloom.operators.codecs import blocks, encoder, series
 from nearloom.operators.codecs.bits import BitWriter, to_bits
+from nearloom.shared import stored
 from nearloom.sources import series_blocks
 
 NAN, INF = float("nan"), float("inf")
@@ -87,14 +88,13 @@ def test_one_series_keeps_all_tasks_busy(spark):
 
 
 def test_a_range_reads_the_blocks_that_it_needs(spark):
-    found = blocks.compress(table(spark), 50, tasks=3).cache()
+    found = stored(blocks.compress(table(spark), 50, tasks=3), "blocks")
     for bounds in ({"first": 300, "last": 600}, {"least": 110.0}, {"greatest": -1.0}, {"first": 2600, "least": 0.5, "greatest": 0.6}, {}):
         lo, hi, least, most = (bounds.get(k) for k in ("first", "last", "least", "greatest"))
         beyond = lambda v, m: math.isnan(v) or v > m
         want = {k: [(p, to_bits(v)) for i, v in enumerate(vs) for p in [3 * i] if (lo is None or p >= lo) and (hi is None or p <= hi) and (least is None or math.isnan(v) or v >= least) and (most is None or not beyond(v, most))] for k, vs in KINDS.items()}
         assert tidy(blocks.read_range(found, **bounds)) == {k: v for k, v in want.items() if v}
     assert found.where(blocks.within(first=300, last=600)).where("series_id = 'steps'").count() <= 4 < found.where("series_id = 'steps'").count()
-    found.unpersist()
 
 
 def test_the_data_source_stores_and_prunes(spark, tmp_path):
