@@ -181,3 +181,15 @@ def test_column_distances(spark):
     assert row.select(distances.to_u8(c("b"))).first()[0] == [127, 255]
     with pytest.raises(Exception, match="dimensionality"):
         row.select(distances.euclid(c("a"), F.array(F.lit(1.0)))).collect()
+
+
+def test_the_squared_distance_of_pairs_runs_on_blocks(spark):
+    """As columns, a window would sort all pairs; by its kernel only the nearest of a block leave a task."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 16)), np.ones((40, 16))])
+    found = search.knn(make(spark, x), ask(spark, x), 10, distances.l2)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted((r["query_id"], r["rank"], r["label"]) for r in df.collect())
+    assert key(found) == key(search.knn(make(spark, x), ask(spark, x), 10))
+    column = search.knn(make(spark, x), ask(spark, x), 10, lambda a, b: distances.l2(a, b))
+    assert key(found) == key(column)
