@@ -74,3 +74,15 @@ def test_blocks_are_read_where_they_lie(spark, data):
     base, asked = data
     plan = joins.radius_join(joins.pivoted(base, block_rows=100), asked, 0.3)._jdf.queryExecution().executedPlan().toString()
     assert all("query_id" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_a_query_goes_to_a_piece_once_however_many_rings_it_visits(spark):
+    """Vectors without clusters: every ring is within reach, yet a query is sent to as many pieces as hold the base, not to each ring."""
+    x = np.random.default_rng(4).normal(size=(2000, 24))
+    base, asked = make(spark, x), ask(spark, x[:200])
+    pivots = joins.pivoted(base, block_rows=20)
+    assert len(pivots.own) > 60 and pivots.blocks.count() == 1
+    sent = joins._visits(joins._asked(asked).selectExpr("*", "100D AS reach"), pivots, None)
+    assert {len(r["shards"]) for r in sent.collect()} == {1}
+    same(joins.knn_join(pivots, asked, 10), search.knn(base, asked, 10))
+    same(joins.radius_join(pivots, asked, 25.0), search.search(base, asked, "l2", policies.Radius(25.0)))
