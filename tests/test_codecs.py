@@ -121,3 +121,30 @@ def test_total_sizes_in_one_pass(spark):
     want = {k: tuple(series.compress(table(spark), *v).agg(F.sum("n_values"), F.sum("n_bits")).first()) for k, v in names.items()}
     assert got == want
     assert {tuple(r) for r in series.total_bits(table(spark).where("false"), names).collect()} == {(k, 0, 0) for k in names}
+
+
+@pytest.mark.parametrize("codec,config", VARIANTS)
+def test_segments_of_a_long_series_are_coded_as_one_stream(spark, codec, config, monkeypatch):
+    """Also where what leads up to a cut does not tell the coder's state: long runs of one value, exceptions long ago."""
+    monkeypatch.setattr(series, "SEGMENT", 96)
+    monkeypatch.setattr(series, "SAMPLED", 4)
+    monkeypatch.setattr(series, "LEAD", 2)
+    values = [0.1 + 0.2, 1e-300, 7.25, 7.5] + [7.5] * 400 + [round(math.sin(i) * 50, 2) for i in range(500)] + EDGE * 4 + [2.5] * 30
+    rows = [("long", 3 * i, v) for i, v in enumerate(values)] + [("short", i, v) for i, v in enumerate(EDGE)]
+    blocks = series.compress(spark.createDataFrame(rows, "series_id string, pos long, value double").repartition(5), codec, config)
+    assert blocks.where("series_id = 'long'").count() > 3
+    sizes = {r[0]: (r[1], r[2]) for r in blocks.groupBy("series_id").agg(F.sum("n_values"), F.sum("n_bits")).collect()}
+    assert sizes == {"long": (len(values), run(codec, config, values)), "short": (len(EDGE), run(codec, config, EDGE))}
+    back = [r["value"] for r in series.decompress(blocks.repartition(3), codec, config).where("series_id = 'long'").orderBy("idx").collect()]
+    assert bits_of(back) == bits_of(values)
+
+
+@pytest.mark.parametrize("codec,config", VARIANTS)
+def test_segments_of_ordinary_values_are_coded_once(spark, codec, config, monkeypatch):
+    monkeypatch.setattr(series, "SEGMENT", 400)
+    monkeypatch.setattr(series, "SAMPLED", 4)
+    calls, own = [], series._coded
+    monkeypatch.setattr(series, "_coded", lambda *a: calls.append(a) or own(*a))
+    values = [round(math.sin(i) * 50, 2) for i in range(3000)]
+    blocks = series.compress(spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "series_id string, pos long, value double"), codec, config)
+    assert len(calls) == 1 and blocks.count() > 4 and blocks.agg(F.sum("n_bits")).first()[0] == run(codec, config, values)
