@@ -1,7 +1,8 @@
 """Compressed series as a Spark data source, ``series_blocks``: rows ``(series_id, pos, value)``, stored in restartable blocks.
 
-A task writes one file, a Parquet row group per block, under a name of its
-own.  Files count once a manifest names them, which the driver writes when all
+A task writes files of at most MOST blocks, a Parquet row group per block, under
+names of their own, so neither who writes nor who reads one holds the footer
+of more.  Files count once a manifest names them, which the driver writes when all
 tasks are done; those of tasks or jobs that failed are never read.  Manifests
 state what each file holds, and files what each of their blocks holds, as the
 least and greatest of every column.  So a condition on series, position or
@@ -30,6 +31,8 @@ from nearloom.sources.vecs import open_path
 
 NAME = "series_blocks"
 ROW = "series_id string, pos bigint, value double"
+#: Blocks of a file.
+MOST = 1_024
 
 #: By column the least and the greatest.
 Bounds = dict[str, list[Any]]
@@ -129,8 +132,7 @@ class Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str
-    bounds: Bounds | None
+    files: list[dict[str, Any]]
 
 
 class Writer(DataSourceArrowWriter):
@@ -142,21 +144,24 @@ class Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, folder = open_path(self.path)
         files.create_dir(folder, recursive=True)
-        name, held = f"part-{uuid.uuid4().hex}.parquet", []
-        with files.open_output_stream(f"{folder}/{name}") as out, pq.ParquetWriter(out, blocks.SCHEMA, compression="none") as file:
-            for row in blocks.cut((b.select(["series_id", "pos", "value"]) for b in iterator), self.rows):
-                file.write_table(pa.Table.from_pylist([row], schema=blocks.SCHEMA))
-                held.append(_bounds(row))
-            file.add_key_value_metadata({"blocks": json.dumps(held)})
-        return _Written(name, _around(held) if held else None)
+        rows, written = blocks.cut((b.select(["series_id", "pos", "value"]) for b in iterator), self.rows), []
+        row = next(rows, None)
+        while row is not None:
+            name, held = f"part-{uuid.uuid4().hex}.parquet", []
+            with files.open_output_stream(f"{folder}/{name}") as out, pq.ParquetWriter(out, blocks.SCHEMA, compression="none") as file:
+                while row is not None and len(held) < MOST:
+                    file.write_table(pa.Table.from_pylist([row], schema=blocks.SCHEMA))
+                    held.append(_bounds(row))
+                    row = next(rows, None)
+                file.add_key_value_metadata({"blocks": json.dumps(held)})
+            written.append({"name": name, "bounds": _around(held)})
+        return _Written(written)
 
     def commit(self, messages: list) -> None:
-        """Name the files, at once; those without a block go."""
+        """Name the files, at once."""
         files, folder = open_path(self.path)
         files.create_dir(folder, recursive=True)
-        written = [m for m in messages if m is not None and m.bounds is not None]
-        self._delete([m for m in messages if m is not None and m.bounds is None])
-        text = json.dumps({"replaces": self.replaces, "files": [{"name": m.name, "bounds": m.bounds} for m in written]})
+        text = json.dumps({"replaces": self.replaces, "files": [f for m in messages if m is not None for f in m.files]})
         final = f"{folder}/commit-{time.time_ns():020d}-{uuid.uuid4().hex}.json"
         with files.open_output_stream(final + ".tmp") as out:
             out.write(text.encode())
@@ -168,9 +173,9 @@ class Writer(DataSourceArrowWriter):
 
     def _delete(self, messages: list) -> None:
         files, folder = open_path(self.path)
-        for m in messages:
-            if files.get_file_info(f"{folder}/{m.name}").type != fs.FileType.NotFound:
-                files.delete_file(f"{folder}/{m.name}")
+        for name in (f["name"] for m in messages for f in m.files):
+            if files.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:
+                files.delete_file(f"{folder}/{name}")
 
 
 class SeriesBlocks(DataSource):

@@ -150,3 +150,17 @@ def test_bounds():
     assert all(series_blocks.may_hold(held, [c]) for c in yes) and not any(series_blocks.may_hold(held, [c]) for c in no)
     assert series_blocks.may_hold(held, yes) and not series_blocks.may_hold(held, [yes[0], no[0]])
     assert blocks.ranges(np.array([NAN])) [0] != blocks.ranges(np.array([1.0]))[0]
+
+
+def test_files_hold_a_bounded_number_of_blocks(spark, tmp_path):
+    """Many short series: a task's blocks are dealt to files, so that no footer grows with the input."""
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "s")
+    rows = spark.range(6000).select(F.concat(F.lit("s"), F.col("id") % 3000).alias("series_id"), F.col("id").alias("pos"), (F.col("id") / 4).alias("value"))
+    series_blocks.write(rows, path, tasks=1)
+    files = series_blocks.committed(path)
+    groups = [pq.ParquetFile(f"{path}/{f['name']}").num_row_groups for f in files]
+    assert len(files) == 3 and max(groups) <= 1024 and sum(groups) == 3000
+    back = series_blocks.read(spark, path)
+    assert back.count() == 6000 and back.where("pos = 4000").collect()[0]["series_id"] == "s1000"
