@@ -55,3 +55,23 @@ def test_idle_series_are_closed(rocks, tmp_path):
     own = [f[1:] for f in found if f[0] == "a"]
     # Ten values, closed; what comes much later begins a series of its own, which is closed in turn.
     assert (10, True) in own and own[-1] == (1, True) and max(n for n, _ in own) == 10
+
+
+def test_streamed_sizes_take_bounded_batches(spark, monkeypatch):
+    """A long series comes in many micro-batches, in order, and has the sizes of one that is coded at once."""
+    from nearloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "STREAMED", 500)
+    d = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["stream_elf_bits"](spark, d)
+    assert len({r[0] for r in found.sparkSession.read.parquet(found.inputFiles()[0].split("/sizes/")[0] + "/sizes").select("batch").distinct().collect()}) >= 5
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, catalog.QUERIES["elf_bits"](spark, d).collect()))
+
+
+def test_gorilla_sizes_sort_no_whole_series(spark, monkeypatch):
+    monkeypatch.setattr(series, "SEGMENT", 200)
+    monkeypatch.setattr(series, "SAMPLED", 4)
+    rows = spark.range(3000).selectExpr("'s' AS series_id", "id AS pos", "round(sin(id) * 50, 2) AS value")
+    found = series.gorilla_bits(rows)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(found.first()) == tuple(series.compress(rows, "Gorilla").groupBy("series_id").agg(F.sum("n_values"), F.sum("n_bits")).first())
