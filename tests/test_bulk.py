@@ -95,3 +95,16 @@ def test_sizes_are_what_each_codec_alone_takes(spark):
     assert sorted((r["n_values"], r["n_bits"], list(r["each"])) for r in blocks.sizes(made).collect()) == want
     assert blocks.sizes(made.where("false")).count() == 0
     made.unpersist()
+
+
+def test_exceptions_do_not_go_through_the_encoders_either(monkeypatch):
+    """A few odd values, or none of a short decimal form: still in arrays."""
+    odd = [v if i % 50 else EDGE[i // 50] for i, v in enumerate(PRICES)]
+    noise = [random.Random(i).random() / 10 ** (i % 4) for i in range(500)]
+    wide = [float(f"{i + 1}e{i * 7 % 28 - 18}") for i in range(200)]
+    check([odd, noise, wide, noise[::-1] + odd])
+    want = bulk.sizes(np.array(odd + noise + wide), np.array([0, 500, 1000]), blocks.TRIED).tolist()
+    monkeypatch.setattr(bulk, "_alone", lambda *_: pytest.fail("coded by itself"))
+    every = [one for one in blocks.TRIED if one[0] != "Camel"]
+    found = bulk.sizes(np.array(odd + noise + wide), np.array([0, 500, 1000]), every).tolist()
+    assert found == [[n for n, one in zip(own, blocks.TRIED, strict=True) if one[0] != "Camel"] for own in want]
