@@ -231,3 +231,24 @@ def test_two_queries_of_one_id_raise(spark):
     with pytest.raises(RuntimeError, match="query_id"):
         index.knn_query(twice)
     assert index.knn_query(twice.select("vector")).count() == 2
+
+
+def test_many_queries_are_scanned_together_and_go_to_a_piece_once(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    x = clustered(rng, 1200, 8, 20)
+    base, asked = make(spark, x), ask(spark, x[:90] + 0.01)
+    graph = shards.build(base, ef_construction=40, shard_rows=200)
+    probes, truth = len(graph.held), sorted(search.knn(base, asked, 5).collect())
+    seen = Observation()
+    assert sorted(shards.search(graph, asked, policies.TopK(5), 10, probes=probes, metrics=seen).collect()) == truth
+    assert seen.get["hops"] == 0 and seen.get["visits"] == 90 * probes and seen.get["computed"] == 90 * 1200
+    monkeypatch.setattr(shards, "SENT_QUERIES", 5)
+    left, choose, seen = [], policies.TopK.choose, Observation()
+    monkeypatch.setattr(policies.TopK, "choose", lambda self, ranked: left.append(ranked.count()) or choose(self, ranked))
+    assert sorted(shards.search(graph, asked, policies.TopK(5), 10, probes=probes).collect()) == truth
+    assert left == [90 * 5]  # a prefix of each query, not one of each visit
+    monkeypatch.setattr(policies.TopK, "choose", choose)
+    few = sorted(shards.search(graph, asked, policies.TopK(5), 10, probes=2, metrics=seen).collect())
+    assert few and seen.get["visits"] == 90 * 2
+    monkeypatch.setattr(shards, "SENT_QUERIES", 500)
+    assert sorted(shards.search(graph, asked, policies.TopK(5), 40, probes=2).collect()) == few
