@@ -42,3 +42,21 @@ def test_few_rows_are_asked_exactly(monkeypatch, policy):
     base, queries = BASE[:3_000], QUERIES[:40]
     search._scan([search._Kept() for _ in queries], queries, LABEL[:3_000], DOC[:3_000], base, "l2", policy, getattr(policy, "epsilon", None))
     assert 0 < sum(asked) <= 40 * 30
+
+
+@pytest.mark.parametrize("space", [distances.l1, distances.l2], ids=["l1", "l2"])
+@pytest.mark.parametrize("base", [BASE[:2_000], BASE[3_000:3_030], BASE[3_030:3_050], RNG.integers(0, 3, (500, 24)).astype(float), np.ones((40, 24))], ids=["usual", "tiny", "huge", "few values", "equal"])
+def test_bounds_are_below_every_distance(space, base):
+    queries = np.concatenate([QUERIES[:45], base[:9], 3 * base[:3]])
+    low = space.below(base)(queries).astype(float)
+    assert (low <= np.stack([space.kernel(q, base) for q in queries])).all()
+
+
+@pytest.mark.parametrize("space", [distances.l1, distances.l2], ids=["l1", "l2"])
+@pytest.mark.parametrize("policy", [policies.TopK(10), policies.Documents(3)], ids=repr)
+def test_a_kernel_is_asked_for_few_pairs(space, policy):
+    rows, base = [], RNG.normal(size=(16_000, 24))
+    doc = np.arange(16_000) % 900
+    own = distances.Distance(space.column, lambda q, x: rows.append(len(x)) or space.kernel(q, x), space.below)
+    search._scan([search._Kept() for _ in range(40)], base[:40] + 0.1, np.arange(16_000), doc, base, own, policy, None)
+    assert 0 < sum(rows) <= 40 * 800  # 40 * 16,000 without bounds
