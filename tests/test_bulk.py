@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from nearloom.operators.codecs import CODECS, blocks, bulk, encoder
 from nearloom.operators.codecs.bits import BitWriter, decimal, to_bits
+from nearloom.operators.codecs.registry import stated
 
 NAN, INF = float("nan"), float("inf")
 TRIED = [*blocks.TRIED, ("DeXOR", {"buffer_bits": 1, "rho": 2}), ("DeXOR", {"skip_available": 2}), ("DeXOR", {"buffer_bits": 5})]
@@ -108,3 +109,33 @@ def test_exceptions_do_not_go_through_the_encoders_either(monkeypatch):
     every = [one for one in blocks.TRIED if one[0] != "Camel"]
     found = bulk.sizes(np.array(odd + noise + wide), np.array([0, 500, 1000]), every).tolist()
     assert found == [[n for n, one in zip(own, blocks.TRIED, strict=True) if one[0] != "Camel"] for own in want]
+
+
+def _series(kind):
+    rng = np.random.default_rng(8)
+    prices = np.round(np.cumsum(rng.normal(size=3_000)) * 3 + 100_000, 2)
+    odd = prices.copy()
+    odd[1_500:1_560:7] = [np.nan, -0.0, 1e300, np.inf, 0.1 + 0.2, 5e-324, -1e-9, 1e15, 3.0]
+    flat = np.where(np.arange(3_000) < 1_700, prices, 7.25)
+    return {"prices": prices, "odd": odd, "flat": flat, "raw": rng.normal(size=3_000), "whole": rng.integers(-9, 9, 3_000) * 1.0, "nan": np.full(3_000, np.nan), "1e-30": prices * 1e-30}[kind]
+
+
+@pytest.mark.parametrize("kind", ["prices", "odd", "flat", "raw", "whole", "nan", "1e-30"])
+@pytest.mark.parametrize("codec, config", [("Gorilla", None), ("Elf", None), ("Camel", None), ("DeXOR", None), ("DeXOR", {"buffer_bits": 3}), ("DeXOR", {"skip_available": 4})])
+def test_sizes_carry_on_in_arrays(kind, codec, config):
+    values, one, many, bits = _series(kind), encoder(codec, config), encoder(codec, config), 0
+    for part in np.split(values, [300, 310, 1_000, 1_900, 2_500]):
+        many, more = bulk.carried(many, part, codec, config)
+        out = BitWriter()
+        for v in part.tolist():
+            one.encode(v, out)
+        assert more == out.n_bits and stated(many) == stated(one)
+
+
+def test_sizes_of_prices_are_not_coded_one_by_one(monkeypatch):
+    values, coded = np.tile(_series("prices"), 3), []
+    for codec, config in (("Gorilla", None), ("Elf", None), ("Camel", None), ("DeXOR", {"buffer_bits": 3})):
+        state, _ = bulk.carried(encoder(codec, config), values, codec, config)
+        monkeypatch.setattr(type(state), "encode", lambda self, v, out, own=type(state).encode: coded.append(v) or own(self, v, out))
+        bulk.carried(state, values, codec, config)
+    assert 0 < len(coded) <= 4 * 3 * bulk.LED  # of 36,000
