@@ -75,3 +75,22 @@ def test_gorilla_sizes_sort_no_whole_series(spark, monkeypatch):
     found = series.gorilla_bits(rows)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(found.first()) == tuple(series.compress(rows, "Gorilla").groupBy("series_id").agg(F.sum("n_values"), F.sum("n_bits")).first())
+
+
+def test_many_series_share_the_state_of_few_groups(spark, tmp_path, monkeypatch):
+    """Series that come and go over micro-batches, one without a name, have the sizes of ones coded at once; and there are no more states than groups."""
+    monkeypatch.setattr(maintain, "GROUPS", 3)
+    rows = spark.range(3000).selectExpr("nullif('s' || id % 40, 's7') AS series_id", "id AS pos", "CAST(round(sin(id) * 50, 2) AS double) AS value")
+    for i in range(3):
+        rows.where(f"pos >= {i * 1000} AND pos < {i * 1000 + 1000} AND ({i} <> 1 OR pos % 40 < 20)").coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/rows")
+    sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")
+    run = maintain.codec_sizes(stream, "DeXOR", {"buffer_bits": 1}).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r["count"] for r in found.groupBy("batch").count().collect()) == [20, 40, 40]
+    last = {r[0]: tuple(r[1:]) for r in found.groupBy("series_id").agg(F.max("n_values"), F.max("n_bits")).collect()}
+    seen = spark.read.parquet(f"{tmp_path}/rows").selectExpr("coalesce(series_id, 'none') AS series_id", "pos", "value")
+    want = series.compress(seen, "DeXOR", {"buffer_bits": 1}).groupBy("series_id").agg(F.sum("n_values"), F.sum("n_bits")).collect()
+    assert {k or "none": v for k, v in last.items()} == {r[0]: tuple(r[1:]) for r in want}
